@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import attention_mil, decontaminate, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality_rules.fit_forest(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, forest).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "anomaly")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = attention_mil.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = attention_mil.score(docs, model)
+    return scored.select("doc_id", attention_mil.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination,)}
+    return {f.__name__: f for f in (op1_decontamination, op3_quality_rules, op5_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
