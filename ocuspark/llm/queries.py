@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_mil, chat, decontaminate, license_scan, mixing, quality_rules, secret_scan, substring
+from . import attention_mil, chat, decontaminate, license_scan, mixing, quality_rules, secret_scan, substring, suffix_family
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, forest).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "anomaly")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_family.remove_repeats(docs, with_bytes=False)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = attention_mil.fit(docs, _table(spark, sf_dir, "labels"))
@@ -59,7 +64,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_quality_rules, op5_quality_classifier, op6_secret_scan, op7_mixing, op8_license_scan, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_secret_scan, op7_mixing, op8_license_scan, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as K
 
@@ -161,3 +162,23 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """
     keyed = docs.withColumn("key", K.text_key(F.col("text")))
     return keyed.join(spans.hint("shuffle_hash"), "key", "left")
+
+
+def squeeze(docs: DataFrame) -> DataFrame:
+    """docs with text as compressed bytes (`packed`, null for null) and its key: what a shuffle of texts moves."""
+    rest = [f for f in docs.schema.fields if f.name != "text"]
+    keyed = docs.select(*[f.name for f in rest], K.text_key(F.col("text")).alias("key"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for whole in batches:
+            for batch in K.slices(whole, limit=CHUNK_BYTES):
+                packed = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], "packed"])
+
+    added = T.StructType.fromDDL("key binary, packed binary")
+    return keyed.mapInArrow(run, T.StructType([*rest, *added.fields]))
+
+
+def unsqueeze(packed: bytes | None) -> bytes:
+    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True) if packed is not None else b""
