@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .job import let
+from .job import cut, let
 from .textkit import text_key
 
 GRAM = 2
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -40,8 +40,8 @@ GAP, LEAST = 4, 0.6
 
 def words(text: Column) -> Column:
     """Words of a text with A-Z lower-cased; none for a null."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), upper, lower), F.lit(WORD), F.lit(0))
+    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
 def grams(w: Column) -> Column:
@@ -71,9 +71,11 @@ def matches(docs: DataFrame) -> DataFrame:
     templates = template_positions(docs.sparkSession)
     each = docs.select(text_key(F.col("text")).alias("key"), F.posexplode(grams(words(F.col("text")))).alias("at", "gram"))
     votes = each.join(F.broadcast(templates), "gram").select("key", "template", "label", "is_phrase", "n_grams", "place", "at").distinct()
-    diagonals = votes.groupBy("key", "template", "label", "is_phrase", "n_grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("n"), F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")
-    )
+    diagonals = cut(
+        votes.groupBy("key", "template", "label", "is_phrase", "n_grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+            F.count("*").alias("n"), F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")
+        )
+    )  # read twice below; without the cut, all texts would be scanned twice
     phrases = diagonals.where("is_phrase and n = n_grams").select("key", "label", "is_phrase", "first", (F.col("last") + GRAM - 1).alias("last"), F.lit(1.0).alias("share"))
     near = Window.partitionBy("key", "template").orderBy("diagonal")
     texts = diagonals.where("not is_phrase").withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(near) > GAP).cast("int"))
