@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_mil, chat, decontaminate, license_scan, mixing, quality_rules, secret_scan, substring, suffix_family
+from . import attention_mil, chat, decontaminate, jaccard, license_scan, mixing, quality_rules, secret_scan, substring, suffix_family
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_secret_scan, op7_mixing, op8_license_scan, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_secret_scan, op7_mixing, op8_license_scan, op9_substring_dedup, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
