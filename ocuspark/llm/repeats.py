@@ -1,6 +1,6 @@
 """Counting window hashes without a row for each window.
 
-A chunk is a few megabytes of text. Its window hashes are dealt to buckets by
+A chunk is two megabytes of text, or one long text. Its window hashes are dealt to buckets by
 their leading bits, each bucket's share is packed into one binary value, and
 only these values are shuffled. Windows that repeat inside a chunk are settled
 there and announced once, so a window that a third of all rows hold costs a
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
 LEAST_BITS = 8
 LEAST_BUCKETS = 512
@@ -182,3 +182,14 @@ def squeeze(docs: DataFrame) -> DataFrame:
 
 def unsqueeze(packed: bytes | None) -> bytes:
     return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True) if packed is not None else b""
+
+
+def one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each key in a task."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keep = []
+        for k in batch.column("key").to_pylist():
+            keep.append(k not in seen)
+            seen.add(k)
+        yield batch.filter(pa.array(keep, pa.bool_()))

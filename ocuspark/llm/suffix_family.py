@@ -33,7 +33,7 @@ from . import repeats as R
 from . import textkit as K
 from .job import cut, ship
 
-LENGTH, GRAM, BATCHES = 400, 120, 4
+LENGTH, GRAM, BATCHES = 400, 120, 3
 SAME, OPEN = 1, 2  # bits of an answer
 ENTRY, NOTES, ANSWER = -1, -2, -3  # kinds of rows; a level's rows have its number
 ROWS = "bucket int, kind int, chunk bigint, hashes binary, ids binary"
@@ -113,7 +113,9 @@ def _adder(merged: int):
                 h, c, many = _decode(hashes, ["<u8", "<u8", "u1"])
                 parts.append((h, c, many, np.full(len(h), chunk), R.unpack_ids(ids)))
             elif kind >= 0 and hashes:
-                levels[kind] = _decode(hashes, ["<u8", "<u8", "<i8", "<i4"])
+                n = int(np.frombuffer(hashes, dtype="<i8", count=1)[0])
+                lh, lc, which, lid = _decode(hashes[8 + 8 * n :], ["<u8", "<u8", "<u4", "<i4"])
+                levels[kind] = [lh, lc, np.frombuffer(hashes, dtype="<i8", count=n, offset=8)[which], lid]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunk, id, bits
         new = None
         if parts:
@@ -157,7 +159,9 @@ def _adder(merged: int):
         if below:
             h, c, chunk, ids = (np.concatenate(x) for x in zip(*below, strict=True))
             order = np.lexsort((c, h))
-            out.append((merged, 0, _encode(h[order], c[order], chunk[order].astype("<i8"), ids[order].astype("<i4")), b""))
+            known_chunks, which = np.unique(chunk[order], return_inverse=True)
+            head = np.int64(len(known_chunks)).tobytes() + known_chunks.astype("<i8").tobytes()
+            out.append((merged, 0, head + _encode(h[order], c[order], which.astype("<u4"), ids[order].astype("<i4")), b""))
         if found:
             chunk, ids, bits = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((ids, chunk))
@@ -231,17 +235,6 @@ def _by_text(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(list(out), pa.binary()), "same": pa.array([pick(o, SAME) for o in out.values()], pa.binary()), "open": pa.array([pick(o, OPEN) for o in out.values()], pa.binary())})
 
 
-def _one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each key in a task."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for k in batch.column("key").to_pylist():
-            keep.append(k not in seen)
-            seen.add(k)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def matched(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """key (text_key() of a text), same and spans (int32 pairs, in bytes): what is to be removed from each text.
 
@@ -265,7 +258,7 @@ def matched(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: in
 
 def _open_strings(docs: DataFrame, opened: DataFrame, bits: int, length: int, gram: int) -> DataFrame:
     """key and spans of the strings at open anchors that start anywhere else."""
-    texts = R.squeeze(docs.select("text")).mapInArrow(_one_of_each, "key binary, packed binary")
+    texts = R.squeeze(docs.select("text")).mapInArrow(R.one_of_each, "key binary, packed binary")
     one = texts.join(opened.hint("shuffle_hash"), "key").groupBy("key").agg(F.first("packed").alias("packed"), F.first("open").alias("open"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +300,8 @@ def _open_strings(docs: DataFrame, opened: DataFrame, bits: int, length: int, gr
                 out[keys[i]] = _spans(np.stack([at, at + length], axis=1)).astype("<i4").tobytes()
         return pa.table({"key": pa.array(list(out), pa.binary()), "spans": pa.array(list(out.values()), pa.binary())})
 
-    return R.settle(cut(one.mapInArrow(emit, R.ENTRIES)), R.shared_by_sorting).groupBy("chunk").applyInArrow(gather, "key binary, spans binary")
+    # sorted, so that a partition that is computed again has the same chunks
+    return R.settle(one.sortWithinPartitions("key").mapInArrow(emit, R.ENTRIES), R.shared_by_sorting).groupBy("chunk").applyInArrow(gather, "key binary, spans binary")
 
 
 def _spans(pairs: np.ndarray) -> np.ndarray:
