@@ -1 +1 @@
-
+"""Column functions and driver-side numerics."""

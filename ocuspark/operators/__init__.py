@@ -1 +1 @@
-
+"""Operators: functions from DataFrame to DataFrame."""

@@ -1 +1 @@
-
+"""Query catalogue and its SQL twins."""

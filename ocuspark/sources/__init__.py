@@ -1 +1 @@
-
+"""Reading and writing recordings, samples, targets and weights."""

@@ -1 +1 @@
-
+"""The same signal operators over streams."""
