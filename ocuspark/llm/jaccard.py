@@ -3,11 +3,14 @@
 A document's set is its distinct `SHINGLE`-word shingles. Two sets link at a
 Jaccard similarity of `PERCENT` hundredths or more.
 
-1. Shingles are counted over all sets (packed, see repeats.py). A shingle of
-   one set links nothing, and a set with too few shared shingles has no links
-   at all; what is left is small. Equal sets are one set from here on.
-2. Tokens are put in one global order, rare ones first. Sets that link share at
-   least c of their first |A| - ceil(0.8 |A|) + c tokens. Light sets publish all
+1. Of each set, the shingles of the smallest hashes are counted over all sets
+   (packed, see repeats.py): |A| - ceil(0.8 |A|) + c of them, of which sets that
+   link share c; c is a fifth of the set, and small sets are counted whole. A
+   set with fewer shared ones has no links at all; what is left is small. Equal
+   sets are one set from here on.
+2. The counted shingles, or tokens, are put in one global order, rare ones
+   first, and by the same rule sets that link share one token, or two, near the
+   front of it. Light sets publish all
    subsets of c = 2 of these; heavy sets, and light ones near the boundary, are
    put in the inverted lists of single tokens (c = 1). The boundary is the size
    for which subsets to enumerate and lists to scan cost least.
@@ -33,7 +36,10 @@ from .graph import components
 from .job import cut, ship
 
 SHINGLE, PERCENT, BLOCK = 5, 80, 1024
-MEMBERS = "doc_id bigint, has_doc boolean, n bigint, skey binary, tokens binary, codes binary"
+#: Cost of meeting a set in a list, against that of a published row: most are met in a class of their own, uncompared.
+MEETING = 0.05
+MEMBERS = "doc_id bigint, has_doc boolean, n bigint, skey binary, tkey binary, tokens binary, codes binary"
+WHOLE = 64
 
 
 def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +78,27 @@ def least_shared(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | in
     return -(-n * percent // 100)
 
 
+def counted(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Number of shingles of a set of n that are counted: those of the smallest hashes."""
+    return np.where(n <= WHOLE, n, n - least_shared(n, percent) + n // 5)
+
+
+def common(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray:
+    """Counted shingles that a set of n shares with the counted ones of any set that it links with, at least.
+
+    Sets A and B that link share the smallest min(c_A, c_B) of their common
+    shingles, counted for both. A partner has percent hundredths of n shingles or more.
+    """
+    n = np.asarray(n)
+    return np.where(100 * n <= percent * WHOLE, least_shared(n, percent), np.maximum(1, least_shared(n, percent) // 5))
+
+
 def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """MEMBERS: a row for each document, and one for each set (in a chunk) that may have links.
 
-    tokens: the set's shingles that other sets have too, rarest first; codes:
-    their rarity, about 8 log2 of the number of sets.
+    tokens: the set's counted shingles that other sets have too, rarest first;
+    codes: their rarity, about 8 log2 of the number of sets; tkey: text_key() of
+    a text that has the set.
     """
     ship(docs.sparkSession)
     bits = R.bucket_bits(docs)
@@ -96,6 +118,9 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                 mine = np.concatenate([hashes[starts[i] : starts[i + 1]] for i in chosen]) if len(chosen) else np.empty(0, dtype=np.uint64)
                 sizes = counts[chosen]
                 owner = np.repeat(np.arange(len(chosen)), sizes)
+                rank = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                few = rank < counted(sizes, percent)[owner]
+                mine, owner = mine[few], owner[few]
                 order = np.argsort(mine, kind="stable")
                 new = np.ones(len(mine), dtype=bool)
                 new[1:] = mine[order][1:] != mine[order][:-1]
@@ -114,7 +139,7 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                     more = np.flatnonzero(many[s:e] > 1)
                     head = np.int32(len(more)).tobytes() + more.astype("<i4").tobytes() + many[s:e][more].astype("<i4").tobytes()
                     rows.append((int(bucket[s]), chunk, head + R.pack(np.ascontiguousarray(mine[ids[s:e]])), R.pack_ids(ids[s:e])))
-                ids_of = batch.column("doc_id")
+                ids_of, text_keys = batch.column("doc_id"), batch.column("key").to_pylist()
                 notes = b"".join(
                     [
                         np.array([len(keys), len(chosen), len(again)], dtype="<i8").tobytes(),
@@ -123,6 +148,7 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                         of_doc.tobytes(),
                         sizes.astype("<i8").tobytes(),
                         b"".join(place),
+                        b"".join(text_keys[i] for i in chosen),
                         first[group[~new]].astype("<i4").tobytes(),  # a shingle's first place in the chunk,
                         owner[again].astype("<i4").tobytes(),  # and another set that has it
                     ]
@@ -174,7 +200,8 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
         doc_ids, valid, of_doc, sizes = read("<i8", n_docs), read("u1", n_docs), read("<i4", n_docs), read("<i8", n_sets)
         keys = [notes[at + 16 * i : at + 16 * i + 16] for i in range(n_sets)]
-        at += 16 * n_sets
+        text_keys = [notes[at + 16 * i : at + 16 * i + 16] for i in range(n_sets, 2 * n_sets)]
+        at += 32 * n_sets
         again_first, again_owner = read("<i4", n_again), read("<i4", n_again)
         ids, tokens, codes = [], [], []
         for n, i in rows:
@@ -183,10 +210,10 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                 ids.append(own)
                 codes.append(np.frombuffer(n, dtype="u1", count=len(own)))
                 tokens.append(R.unpack(n[len(own) :]))
-        out: list[tuple] = [(int(d) if v else None, True, int(sizes[s]) if s >= 0 else 0, keys[s] if s >= 0 else None, None, None) for d, v, s in zip(doc_ids, valid, of_doc, strict=True)]
+        out: list[tuple] = [(int(d) if v else None, True, int(sizes[s]) if s >= 0 else 0, keys[s] if s >= 0 else None, None, None, None) for d, v, s in zip(doc_ids, valid, of_doc, strict=True)]
         if ids:
             ids, tokens, codes = np.concatenate(ids), np.concatenate(tokens), np.concatenate(codes)
-            owner = np.repeat(np.arange(n_sets), sizes)
+            owner = np.repeat(np.arange(n_sets), counted(sizes, percent))
             order = np.argsort(ids)
             if n_again:
                 spot = order[np.minimum(np.searchsorted(ids, again_first, sorter=order), len(ids) - 1)]
@@ -194,30 +221,37 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                 tokens, codes = np.concatenate([tokens, tokens[spot]]), np.concatenate([codes, codes[spot]])
             else:
                 owner = owner[ids]
-            enough = np.bincount(owner, minlength=n_sets) >= least_shared(sizes, percent)
+            enough = np.bincount(owner, minlength=n_sets) >= common(sizes, percent)
             keep = enough[owner]
             owner, tokens, codes = owner[keep], tokens[keep], codes[keep]
             order = np.lexsort((tokens, codes, owner))
             owner, tokens, codes = owner[order], tokens[order], codes[order]
             ends = np.searchsorted(owner, np.arange(n_sets + 1))
             for s in np.flatnonzero(enough).tolist():
-                out.append((None, False, int(sizes[s]), keys[s], tokens[ends[s] : ends[s + 1]].tobytes(), codes[ends[s] : ends[s + 1]].tobytes()))
+                out.append((None, False, int(sizes[s]), keys[s], text_keys[s], tokens[ends[s] : ends[s + 1]].tobytes(), codes[ends[s] : ends[s + 1]].tobytes()))
         cols = list(zip(*out, strict=True))
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({f: pa.array(c, k) for f, c, k in zip(("doc_id", "has_doc", "n", "skey", "tokens", "codes"), cols, kinds, strict=True)})
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({f: pa.array(c, k) for f, c, k in zip(("doc_id", "has_doc", "n", "skey", "tkey", "tokens", "codes"), cols, kinds, strict=True)})
 
-    packed = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(emit, R.ENTRIES)
-    counted = packed.groupBy("bucket").applyInArrow(count, "chunk bigint, notes binary, ids binary")
-    return counted.groupBy("chunk").applyInArrow(gather, MEMBERS)
+    packed = docs.select(F.col("doc_id").cast("bigint"), K.text_key(F.col("text")).alias("key"), "text").mapInArrow(emit, R.ENTRIES)
+    answered = packed.groupBy("bucket").applyInArrow(count, "chunk bigint, notes binary, ids binary")
+    return answered.groupBy("chunk").applyInArrow(gather, MEMBERS)
 
 
 def _prefix(n: int, shared: int, percent: int) -> int:
-    """Of a set of n shingles, shared of which others have: shared tokens among its first |A| - least + 1."""
-    return n - int(least_shared(n, percent)) + 1 - (n - shared)
+    """Of a set of n shingles with so many shared tokens: how many of them, from the front, meet one of any set that it links with.
+
+    Tokens of one set only come first in the order, but meet nothing.
+    """
+    return shared - int(common(n, percent)) + 1
 
 
 def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
-    """Largest light size: that of least cost, where a light set costs its subsets and a heavy one the lists that it is in."""
+    """Largest light size: that of least cost.
+
+    A light set costs a row for each of its subsets; a heavy one costs a row for
+    each of its lists, and MEETING for each set in them.
+    """
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +260,7 @@ def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
                 p = _prefix(n, len(codes), percent)
                 sizes.append(int(4 * np.log2(n)))
                 light.append(float(max(p + 1, 0) * max(p, 0) / 2))
-                heavy.append(float((2.0 ** (np.frombuffer(codes[: max(p, 0)], dtype="u1") / 8)).sum()))
+                heavy.append(float((1 + MEETING * 2.0 ** (np.frombuffer(codes[: max(p, 0)], dtype="u1") / 8)).sum()))
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(light, pa.float64()), pa.array(heavy, pa.float64())], names=["step", "light", "heavy"])
 
     # a row for each quarter of a power of two, under 200 in all
@@ -334,16 +368,37 @@ def _with_leader(percent: int):
     return run
 
 
-def classes(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """skey and component (a set's key) of all sets that have links with other sets."""
-    sets = cut(members.where("tokens is not null").groupBy("skey").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("codes").alias("codes")))
-    tied = signatures(sets, boundary(sets, percent), percent)
-    tied = cut(tied)
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The columns of wanted (key, and others), and tokens: all shingles of the text of that key."""
+    texts = R.squeeze(docs.select("text"), distinct=True)
+    rest = [c for c in wanted.columns if c != "key"]
+    one = texts.join(wanted.hint("shuffle_hash"), "key").groupBy("key").agg(F.first("packed").alias("packed"), *[F.first(c).alias(c) for c in rest])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                plain = [R.unsqueeze(p) for p in batch.column("packed").to_pylist()]
+                counts, hashes = shingle_sets(pa.array(plain, pa.binary()).cast(pa.string()), size)
+                ends = np.cumsum(counts)
+                tokens = [hashes[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(tokens, pa.binary())], names=[*rest, "tokens"])
+
+    return one.mapInArrow(run, ", ".join(f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in rest) + ", tokens binary")
+
+
+def classes(docs: DataFrame, members: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """node and component (set keys) of all sets that may have links with other sets; members: shared_shingles(docs)."""
+    some = ("n", "tkey", "tokens", "codes")
+    sets = cut(members.where("tokens is not null").groupBy("skey").agg(*[F.first(c).alias(c) for c in some]))
+    tied = cut(signatures(sets, boundary(sets, percent), percent))
     leaders = tied.groupBy("sig").agg(F.min(F.struct("rank", "skey"))["skey"].alias("leader"), F.count("*").alias("members")).where("members > 1")
     stars = tied.join(leaders, "sig").where("skey <> leader").select(F.col("skey").alias("a"), F.col("leader").alias("b")).distinct()
     groups = components(stars)
     sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component")
-    placed = cut(sized.join(sets, F.col("node") == F.col("skey")).select("component", "members", "skey", "n", "tokens"))
+    rank = -F.octet_length("tokens") / F.col("n")
+    wanted = sized.join(sets, F.col("node") == F.col("skey")).select(F.col("tkey").alias("key"), "component", "members", "skey", "n", rank.alias("rank"))
+    placed = cut(full_sets(docs, wanted, size))
 
     task = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
     small = placed.where(F.col("members") <= block).select("component", task(F.lit(0), F.lit(0)).alias("task"), "skey", "n", "tokens", F.lit(False).alias("absorbed"))
@@ -352,8 +407,8 @@ def classes(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> D
     large = placed.where(F.col("members") > block)
     if large.isEmpty():
         return direct
-    rank = F.struct((F.lit(1.0) - F.octet_length("tokens") / 8 / F.col("n")).alias("rank"), "skey", F.col("n").alias("leader_n"), F.col("tokens").alias("leader_tokens"))
-    leader = large.groupBy("component").agg(F.min(rank).alias("l")).select("component", F.col("l.skey").alias("leader"), "l.leader_n", "l.leader_tokens")
+    first = F.struct("rank", "skey", F.col("n").alias("leader_n"), F.col("tokens").alias("leader_tokens"))
+    leader = large.groupBy("component").agg(F.min(first).alias("l")).select("component", F.col("l.skey").alias("leader"), "l.leader_n", "l.leader_tokens")
     split = cut(large.join(leader, "component").mapInArrow(_with_leader(percent), "component binary, skey binary, n bigint, tokens binary, leader binary, absorbed boolean"))
     at_once = split.where("absorbed").select(F.col("skey").alias("a"), F.col("leader").alias("b"))
     blocks = split.groupBy("component").agg(
@@ -380,7 +435,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     Other columns are not read.
     """
     members = cut(shared_shingles(docs, size, percent))
-    found = classes(members, percent).select(F.col("node").alias("skey"), F.col("component").alias("class"))
+    found = classes(docs, members, size, percent).select(F.col("node").alias("skey"), F.col("component").alias("class"))
     rows = members.where("has_doc").select("doc_id", "n", "skey")
     labelled = cut(rows.join(found, "skey", "left").select("doc_id", "n", F.coalesce("class", "skey").alias("class")))
     least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
@@ -394,4 +449,4 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     stay only if no row of their component has one.
     """
     dropped = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    return docs.join(dropped.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")

@@ -12,11 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parents[1]
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each Spark context."""
+    """Send this package to the executors' Python workers, once for each Spark context.
+
+    Rows are whole texts, so Arrow batches of Spark's usual 10,000 rows would be
+    tens of megabytes, several times over; unless the session says otherwise,
+    they get BATCH_ROWS rows.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     if getattr(context, "_ocuspark_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(), "ocuspark_src.zip")

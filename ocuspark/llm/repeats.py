@@ -164,15 +164,25 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return keyed.join(spans.hint("shuffle_hash"), "key", "left")
 
 
-def squeeze(docs: DataFrame) -> DataFrame:
-    """docs with text as compressed bytes (`packed`, null for null) and its key: what a shuffle of texts moves."""
+def squeeze(docs: DataFrame, distinct: bool = False) -> DataFrame:
+    """docs with text as compressed bytes (`packed`, null for null) and its key: what a shuffle of texts moves.
+
+    distinct: of rows of equal text, only the first in a task.
+    """
     rest = [f for f in docs.schema.fields if f.name != "text"]
     keyed = docs.select(*[f.name for f in rest], K.text_key(F.col("text")).alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
+        seen: set[bytes] = set()
         for whole in batches:
             for batch in K.slices(whole, limit=CHUNK_BYTES):
+                if distinct:
+                    keep = []
+                    for k in batch.column("key").to_pylist():
+                        keep.append(k not in seen)
+                        seen.add(k)
+                    batch = batch.filter(pa.array(keep, pa.bool_()))
                 packed = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], "packed"])
 
@@ -182,14 +192,3 @@ def squeeze(docs: DataFrame) -> DataFrame:
 
 def unsqueeze(packed: bytes | None) -> bytes:
     return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True) if packed is not None else b""
-
-
-def one_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each key in a task."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for k in batch.column("key").to_pylist():
-            keep.append(k not in seen)
-            seen.add(k)
-        yield batch.filter(pa.array(keep, pa.bool_()))

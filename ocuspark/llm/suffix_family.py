@@ -186,7 +186,7 @@ def suffix_entries(keyed: DataFrame, bits: int, length: int, gram: int) -> DataF
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = R.chunk_numbers()
         for whole in batches:
-            for batch in K.slices(whole, limit=R.CHUNK_BYTES):
+            for batch in K.slices(whole, limit=R.CHUNK_BYTES // 2):
                 chunk = next(numbers)
                 a = Anchors(*K.text_bytes(batch.column("text")), length, gram)
                 if not len(a.hash):
@@ -258,7 +258,7 @@ def matched(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: in
 
 def _open_strings(docs: DataFrame, opened: DataFrame, bits: int, length: int, gram: int) -> DataFrame:
     """key and spans of the strings at open anchors that start anywhere else."""
-    texts = R.squeeze(docs.select("text")).mapInArrow(R.one_of_each, "key binary, packed binary")
+    texts = R.squeeze(docs.select("text"), distinct=True)
     one = texts.join(opened.hint("shuffle_hash"), "key").groupBy("key").agg(F.first("packed").alias("packed"), F.first("open").alias("open"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

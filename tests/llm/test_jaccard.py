@@ -4,6 +4,7 @@ import re
 import numpy as np
 from ocuspark.llm import jaccard as J
 from ocuspark.llm.queries import op10_jaccard_join
+from pyspark.sql import functions as F
 
 from .conftest import SMALL
 
@@ -81,7 +82,8 @@ def test_edges_and_both_kinds_of_sets(spark):
         for r in tied:
             by_sig.setdefault(r.sig, set()).add(bytes(r.skey))
         by_set[x] = {frozenset((a, b)) for s in by_sig.values() for a in s for b in s if a != b}
-    rows = {bytes(r.skey): (r.n, set(np.frombuffer(r.tokens, dtype="<u8").tolist())) for r in sets.collect()}
+    wanted = members.where("tokens is not null").select(F.col("tkey").alias("key"), "skey", "n")
+    rows = {bytes(r.skey): (r.n, set(np.frombuffer(r.tokens, dtype="<u8").tolist())) for r in J.full_sets(df, wanted).collect()}
     linked = {frozenset((a, b)) for a in rows for b in rows if a < b and 100 * (i := len(rows[a][1] & rows[b][1])) >= 80 * (rows[a][0] + rows[b][0] - i)}
     assert linked and all(linked <= found for found in by_set.values())
     assert J.near_duplicates(df.limit(0)).collect() == []
@@ -101,8 +103,8 @@ def test_large_groups_are_compared_in_blocks(spark):
         docs.append((n, " ".join(w)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     members = J.cut(J.shared_shingles(df))
-    label = {bytes(r.node): bytes(r.component) for r in J.classes(members, block=8).collect()}
-    plain = {bytes(r.node): bytes(r.component) for r in J.classes(members).collect()}
+    label = {bytes(r.node): bytes(r.component) for r in J.classes(df, members, block=8).collect()}
+    plain = {bytes(r.node): bytes(r.component) for r in J.classes(df, members).collect()}
     same = lambda m: {frozenset(k for k in m if m[k] == c) for c in set(m.values())}
     assert {g for g in same(label) if len(g) > 1} == {g for g in same(plain) if len(g) > 1}
     assert len({c for _, _, c in brute(docs)}) > 1
