@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_mil, chat, decontaminate, jaccard, license_scan, mixing, quality_rules, secret_scan, substring, suffix_family
+from . import attention_mil, chat, decontaminate, jaccard, license_scan, mixing, quality_rules, secret_scan, sql, substring, suffix_family
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; tests hold the others against brute force."""
+    return {"op1_decontamination": sql.OP1, "op2_chat_formatting": sql.OP2, "op9_substring_dedup": sql.OP9, "op10_jaccard_join": sql.OP10}
