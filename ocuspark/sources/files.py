@@ -68,7 +68,7 @@ def save_targets(config: DataFrame, path: str) -> None:
 def load_targets(spark: SparkSession, path: str) -> DataFrame:
     """pos, name, skip and dataset_type of each target, in the order of the file."""
     check_not_empty(spark, path)
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     fields = F.from_json("value", TARGETS)
     return text.select(F.posexplode(F.map_entries(fields)).alias("pos", "e")).select(F.col("pos").cast("bigint").alias("pos"), F.col("e.key").alias("name"), "e.value.skip", "e.value.dataset_type")
 
