@@ -22,11 +22,13 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .job import ship
-from .quality_rules import _DIGIT, _LEADS, _PUNCT, _SYMBOL, _UPPER, _within
+from .quality_rules import _LEADS, _PUNCT, _SYMBOL, _UPPER, _within
 
 PASSAGE, SIGNS, HIDDEN, STEPS, FIT_ROWS, SEED = 64, 16, 16, 300, 4000, 11
 N_FEATURES = 11 + SIGNS
 
+_DIGIT = K._table([(0x30, 0x39)])
+
 
 def passages(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Features of each passage, and the number of passages of each text: one at least, of zeros, if it has no words."""

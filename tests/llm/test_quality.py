@@ -45,7 +45,15 @@ def test_forest_rejects_junk_and_keeps_good_rows(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     judged = [(labels[d], r.kept) for d, r in got.items() if d in labels and not r.base_failed]
     good, junk = [k for q, k in judged if q], [k for q, k in judged if not q]
-    assert np.mean(good) >= 0.995 and np.mean(junk) < 0.7
+    assert np.mean(good) >= 0.998 and np.mean(junk) <= 0.05
+
+
+def test_threshold():
+    scores, good = np.array([0.1, 0.2, 0.3, 0.7, 0.8, 0.9]), np.array([True, True, True, False, False, False])
+    assert Q.calibrate(scores, good, 0.0) == 0.5
+    assert Q.calibrate(scores, ~good, 0.0) == float("inf") == Q.calibrate(scores, good | True, 0.5)
+    assert Q.calibrate(scores, np.array([True, True, False, True, False, True]), 0.0) == float("inf")
+    assert Q.calibrate(scores, np.array([True, True, False, True, False, True]), 0.34) == (0.7 + 0.8) / 2
 
 
 def test_forest_isolates_an_outlier():
