@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..session import cut
 
 
 def fmr_fnmr(scores: DataFrame, partitions: int = 64) -> DataFrame:
@@ -18,7 +19,7 @@ def fmr_fnmr(scores: DataFrame, partitions: int = 64) -> DataFrame:
     by_score = scores.where("score is not null").groupBy(F.col("score").alias("threshold")).agg(
         F.sum(F.col("genuine").cast("bigint")).alias("g"), F.sum((~F.col("genuine")).cast("bigint")).alias("m")
     )
-    parted = by_score.repartitionByRange(partitions, "threshold").withColumn("part", F.spark_partition_id())
+    parted = cut(by_score.repartitionByRange(partitions, "threshold").withColumn("part", F.spark_partition_id()))
     totals = parted.groupBy("part").agg(F.sum("g").alias("tg"), F.sum("m").alias("tm"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

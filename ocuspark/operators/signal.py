@@ -51,13 +51,18 @@ def diff_velocity(df: DataFrame, channels: Sequence[str], sampling_frequency: fl
     return df.select(KEY, PLACE, *[F.when(inner, step(c)).otherwise(F.lit(0.0)).alias(c) for c in channels])
 
 
-def savgol(df: DataFrame, channels: Sequence[str], window: int, order: int, derivative: str | int = 0, rate: float = 1.0) -> DataFrame:
+def savgol(
+    df: DataFrame, channels: Sequence[str], window: int, order: int, derivative: str | int = 0, rate: float = 1.0, erroneous: str = "null"
+) -> DataFrame:
     """Savitzky-Golay filter of each channel, or its derivative.
 
     Ends are padded by reflection: below the first value before it, above the
-    last after it. Sessions not longer than half a window give nulls.
+    last after it. Sessions not longer than half a window cannot be filtered:
+    erroneous says whether their values become null, are kept, or are dropped.
     Each session is an array, as the stencil needs its neighbours only.
     """
+    if erroneous not in ("null", "keep", "drop"):
+        raise ValueError("erroneous must be null, keep or drop")
     weights = stencil_1d(window, order, derivative, rate)
     h = window // 2
     taps = F.array(*[F.lit(w) for w in weights])
@@ -72,9 +77,11 @@ def savgol(df: DataFrame, channels: Sequence[str], window: int, order: int, deri
         )
         # bound once: a lambda's body would else build the padded array for each place
         once = F.transform(F.array(padded), at)[0]
-        return F.when(F.size(x) > h, once).otherwise(F.transform(x, lambda v: F.lit(None).cast("double")))
+        return F.when(F.size(x) > h, once).otherwise(x if erroneous == "keep" else F.transform(x, lambda v: F.lit(None).cast("double")))
 
     packed = df.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(PLACE, *channels))).alias("rows"))
+    if erroneous == "drop":
+        packed = packed.where(F.size("rows") > h)
     channel = lambda c: F.transform("rows", lambda r: r[c])
     done = packed.select(KEY, "rows", *[smooth(channel(c)).alias(c) for c in channels])
     zipped = F.arrays_zip(F.transform("rows", lambda r: r[PLACE]).alias(PLACE), *channels)

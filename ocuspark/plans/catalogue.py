@@ -668,6 +668,42 @@ def conv_embedder(spark, d):
     return embed(flat.select((F.col("session") * 1_000_000 + F.col("segment_idx")).alias("guid"), "data"), Embedder(config, 16))
 
 
+@query()
+def train_linear_head(spark, d):
+    """Rows only: the optimiser's steps are not SQL."""
+    from ..operators.training import fit_linear_head
+
+    e = embeddings(spark, d)
+    return fit_linear_head(e, 20).predict(e)
+
+
+@query()
+def embedding_verification(spark, d):
+    """Rows only: recordings through cleaning, velocities, segments and the network to an equal error rate."""
+    from ..operators.embedder import ConvBlock, Embedder, EmbedderConfig
+    from . import pipelines as PL
+
+    signals = PL.preprocess(rec(spark, d), ["x", "y"], min_length=40)
+    model = Embedder(EmbedderConfig([ConvBlock(2, 8, 3, 2, gate=True), ConvBlock(8, 16, 3)], [(16, "tanh")]), 16)
+    return PL.verify(PL.embed_segments(PL.segment_vectors(signals, ["x", "y"], 16), model), 1)
+
+
+@query(f"WITH {RANDOM} SELECT name, skip, pos, split AS dataset_type FROM (SELECT name, arg_max(skip, pos) AS skip, min(pos) AS pos FROM samples GROUP BY name) JOIN split USING (name)")
+def target_generation(spark, d):
+    from . import pipelines as PL
+
+    return PL.generate_targets(event_samples(spark, d), SHARES)
+
+
+@query(f"WITH {CONFIG}, {INDEXED} SELECT s.pos, s.user_id, i.idx AS label FROM samples s JOIN indexed i USING (name)")
+def collate_samples(spark, d):
+    from . import pipelines as PL
+
+    samples = event_samples(spark, d)
+    indexed = T.index(T.configuration(samples))
+    return PL.collate(samples.join(indexed.select("name"), "name", "left_semi").drop("skip"), indexed)
+
+
 # --- samples ----------------------------------------------------------------------
 
 

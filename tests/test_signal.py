@@ -49,6 +49,14 @@ def test_stencils_reproduce_polynomials(shape, coefficients, derivative):
     assert np.dot(stencil_1d(window, order, derivative), p(t)) == pytest.approx(d(0.0), abs=1e-5)
 
 
+def test_sessions_that_cannot_be_filtered(spark):
+    df = frame(spark, [[1, 2, 3], range(10)])
+    assert back(S.savgol(df, ["x"], 7, 3, erroneous="keep"), [3, 10])[0] == [1, 2, 3]
+    assert S.savgol(df, ["x"], 7, 3, erroneous="drop").count() == 10
+    with pytest.raises(ValueError):
+        S.savgol(df, ["x"], 7, 3, erroneous="ignore")
+
+
 def test_known_stencils():
     assert np.allclose(stencil_1d(7, 3), np.array([-2, 3, 6, 7, 6, 3, -2]) / 21)
     assert np.allclose(stencil_1d(7, 3, "first_order"), np.array([22, -67, -58, 0, 58, 67, -22]) / 252)

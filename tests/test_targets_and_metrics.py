@@ -191,3 +191,24 @@ def test_labels_and_types(spark):
     assert t == {"a": "tinyint", "b": "smallint", "c": "float", "d": "smallint"}
     z = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0)], "id int, o int, v double")
     assert {r.o: r.p for r in L.softmax(z).collect()}[1] == pytest.approx(math.exp(3) / (math.exp(1) + math.exp(3)))
+
+
+def test_trained_head_and_pipelines(spark, tmp_path):
+    from ocuspark.operators.training import fit_linear_head
+    from ocuspark.plans import pipelines as PL
+
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 90)
+    x = rng.normal(size=(90, 4)) + 4 * np.eye(4)[y]
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(90)], "vec_id long, embedding array<double>, label int")
+    weights = spark.createDataFrame([(k, 1.0) for k in range(3)], "label int, weight double")
+    for head in (fit_linear_head(df), fit_linear_head(df, class_weights=weights)):
+        got = {r.id: r.predicted for r in head.predict(df).collect()}
+        assert np.mean([got[i] == y[i] for i in range(90)]) > 0.95
+    assert PL.verify(df, 5).first().eer < 0.15
+    data = samples(spark, ["a", "b", "c", "d", "e"] * 4)
+    made = PL.generate_targets(data, {"train": 3, "test": 2}, path=f"{tmp_path}/config")
+    again = files.load_targets(spark, f"{tmp_path}/config")
+    assert {(r.name, r.dataset_type) for r in made.collect()} == {(r.name, r.dataset_type) for r in again.collect()}
+    with pytest.raises(ValueError):
+        PL.generate_targets(data, {"train": 1}, scheme="by hand")
