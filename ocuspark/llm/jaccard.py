@@ -101,61 +101,60 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     a text that has the set.
     """
     ship(docs.sparkSession)
-    bits = R.bucket_bits(docs)
+    bits, chunk_bytes = R.plan(docs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = R.chunk_numbers()
-        for whole in batches:
-            for batch in K.slices(whole, limit=R.CHUNK_BYTES):
-                chunk = next(numbers)
-                counts, hashes = shingle_sets(batch.column("text"), size)
-                keys = _keys(counts, hashes)
-                place: dict[bytes, int] = {}
-                of_doc = np.array([-1 if k is None else place.setdefault(k, len(place)) for k in keys], dtype="<i4")
-                chosen = np.unique(of_doc[of_doc >= 0], return_index=True)[1] if len(place) else np.empty(0, dtype=np.int64)
-                chosen = np.flatnonzero(of_doc >= 0)[chosen]
-                starts = np.concatenate([[0], np.cumsum(counts)])
-                mine = np.concatenate([hashes[starts[i] : starts[i + 1]] for i in chosen]) if len(chosen) else np.empty(0, dtype=np.uint64)
-                sizes = counts[chosen]
-                owner = np.repeat(np.arange(len(chosen)), sizes)
-                rank = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                few = rank < counted(sizes, percent)[owner]
-                mine, owner = mine[few], owner[few]
-                order = np.argsort(mine, kind="stable")
-                new = np.ones(len(mine), dtype=bool)
-                new[1:] = mine[order][1:] != mine[order][:-1]
-                group = np.cumsum(new) - 1
-                first = order[new]
-                times = np.bincount(group, minlength=len(first)) if len(mine) else np.empty(0, dtype=np.int64)
-                again = order[~new]
-                rows = []
-                by_place = np.argsort(first)
-                ids, many = first[by_place], times[by_place]
-                bucket = (mine[ids] >> K.U64(64 - bits)).astype(np.int64)
-                by_bucket = np.argsort(bucket, kind="stable")
-                ids, many, bucket = ids[by_bucket], many[by_bucket], bucket[by_bucket]
-                edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else np.zeros(1, dtype=np.int64)
-                for s, e in zip(edges[:-1], edges[1:], strict=True):
-                    more = np.flatnonzero(many[s:e] > 1)
-                    head = np.int32(len(more)).tobytes() + more.astype("<i4").tobytes() + many[s:e][more].astype("<i4").tobytes()
-                    rows.append((int(bucket[s]), chunk, head + R.pack(np.ascontiguousarray(mine[ids[s:e]])), R.pack_ids(ids[s:e])))
-                ids_of, text_keys = batch.column("doc_id"), batch.column("key").to_pylist()
-                notes = b"".join(
-                    [
-                        np.array([len(keys), len(chosen), len(again)], dtype="<i8").tobytes(),
-                        ids_of.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(),
-                        np.asarray(ids_of.is_valid().to_numpy(zero_copy_only=False), dtype="u1").tobytes(),
-                        of_doc.tobytes(),
-                        sizes.astype("<i8").tobytes(),
-                        b"".join(place),
-                        b"".join(text_keys[i] for i in chosen),
-                        first[group[~new]].astype("<i4").tobytes(),  # a shingle's first place in the chunk,
-                        owner[again].astype("<i4").tobytes(),  # and another set that has it
-                    ]
-                )
-                rows.append((R.notes_bucket(chunk), chunk, notes, b""))
-                for i in range(0, len(rows), 256):
-                    yield R.entry_batch(rows[i : i + 256])
+        for batch in K.gathered(batches, limit=chunk_bytes):
+            chunk = next(numbers)
+            counts, hashes = shingle_sets(batch.column("text"), size)
+            keys = _keys(counts, hashes)
+            place: dict[bytes, int] = {}
+            of_doc = np.array([-1 if k is None else place.setdefault(k, len(place)) for k in keys], dtype="<i4")
+            chosen = np.unique(of_doc[of_doc >= 0], return_index=True)[1] if len(place) else np.empty(0, dtype=np.int64)
+            chosen = np.flatnonzero(of_doc >= 0)[chosen]
+            starts = np.concatenate([[0], np.cumsum(counts)])
+            mine = np.concatenate([hashes[starts[i] : starts[i + 1]] for i in chosen]) if len(chosen) else np.empty(0, dtype=np.uint64)
+            sizes = counts[chosen]
+            owner = np.repeat(np.arange(len(chosen)), sizes)
+            rank = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            few = rank < counted(sizes, percent)[owner]
+            mine, owner = mine[few], owner[few]
+            order = np.argsort(mine, kind="stable")
+            new = np.ones(len(mine), dtype=bool)
+            new[1:] = mine[order][1:] != mine[order][:-1]
+            group = np.cumsum(new) - 1
+            first = order[new]
+            times = np.bincount(group, minlength=len(first)) if len(mine) else np.empty(0, dtype=np.int64)
+            again = order[~new]
+            rows = []
+            by_place = np.argsort(first)
+            ids, many = first[by_place], times[by_place]
+            bucket = (mine[ids] >> K.U64(64 - bits)).astype(np.int64)
+            by_bucket = np.argsort(bucket, kind="stable")
+            ids, many, bucket = ids[by_bucket], many[by_bucket], bucket[by_bucket]
+            edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else np.zeros(1, dtype=np.int64)
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                more = np.flatnonzero(many[s:e] > 1)
+                head = np.int32(len(more)).tobytes() + more.astype("<i4").tobytes() + many[s:e][more].astype("<i4").tobytes()
+                rows.append((int(bucket[s]), chunk, head + R.pack(np.ascontiguousarray(mine[ids[s:e]])), R.pack_ids(ids[s:e])))
+            ids_of, text_keys = batch.column("doc_id"), batch.column("key").to_pylist()
+            notes = b"".join(
+                [
+                    np.array([len(keys), len(chosen), len(again)], dtype="<i8").tobytes(),
+                    ids_of.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(),
+                    np.asarray(ids_of.is_valid().to_numpy(zero_copy_only=False), dtype="u1").tobytes(),
+                    of_doc.tobytes(),
+                    sizes.astype("<i8").tobytes(),
+                    b"".join(place),
+                    b"".join(text_keys[i] for i in chosen),
+                    first[group[~new]].astype("<i4").tobytes(),  # a shingle's first place in the chunk,
+                    owner[again].astype("<i4").tobytes(),  # and another set that has it
+                ]
+            )
+            rows.append((R.notes_bucket(chunk), chunk, notes, b""))
+            for i in range(0, len(rows), 256):
+                yield R.entry_batch(rows[i : i + 256])
 
     def count(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()

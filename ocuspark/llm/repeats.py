@@ -1,13 +1,12 @@
 """Counting window hashes without a row for each window.
 
-A chunk is two megabytes of text, or one long text. Its window hashes are dealt to buckets by
+A chunk is a few megabytes of text, or one long text. Its window hashes are dealt to buckets by
 their leading bits, each bucket's share is packed into one binary value, and
 only these values are shuffled. Windows that repeat inside a chunk are settled
 there and announced once, so a window that a third of all rows hold costs a
 bucket one entry for each chunk. A bucket answers with the chunk's windows that
 other chunks hold too; each chunk then joins its answers.
 
-The number of buckets grows with the text, so a bucket's size does not.
 A chunk's number is its place in its input partition. Partitions must be the
 same when they are computed again, as those of files are.
 """
@@ -27,17 +26,24 @@ from . import textkit as K
 
 CHUNK_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
-LEAST_BITS = 8
+MOST_BYTES = 1 << 28
+#: Text bytes of a chunk times those of a bucket, over the text's: about 6 times the windows in a packed value.
+SPREAD = 400
 LEAST_BUCKETS = 512
 
 ENTRIES = "bucket int, chunk bigint, hashes binary, ids binary"
 U8 = np.uint8
 
 
-def bucket_bits(docs: DataFrame) -> int:
-    """log2 of the number of buckets for texts of this size: LEAST_BUCKETS, or one for BUCKET_BYTES of text."""
+def plan(docs: DataFrame) -> tuple[int, int]:
+    """log2 of the number of buckets, and text bytes of a chunk, for texts of this size.
+
+    Chunks and buckets grow with the square root of the text: a value that a
+    chunk packs for a bucket then keeps its length, however large the text is.
+    """
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
-    return int(np.ceil(np.log2(max(LEAST_BUCKETS, size / BUCKET_BYTES))))
+    side = min(MOST_BYTES, int(np.sqrt(SPREAD * size)))
+    return int(np.ceil(np.log2(max(LEAST_BUCKETS, size / max(BUCKET_BYTES, side))))), max(CHUNK_BYTES, side)
 
 
 def pack(hashes: np.ndarray) -> bytes:

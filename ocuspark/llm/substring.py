@@ -30,25 +30,24 @@ WINDOW = 35
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """key (text_key() of a text) and spans (pairs of int32, in words) of each text with repeated windows."""
     ship(docs.sparkSession)
-    bits = R.bucket_bits(docs)
+    bits, chunk_bytes = R.plan(docs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = R.chunk_numbers()
-        for whole in batches:
-            for batch in K.slices(whole, limit=R.CHUNK_BYTES):
-                chunk = next(numbers)
-                words = K.Words(*K.text_bytes(batch.column("text")), K.SPACED, fold=False)
-                at, hashes = words.windows(window)
-                if not len(at):
-                    continue
-                rows, known = R.entries(chunk, hashes, bits)
-                # notes: a key and a number of windows for each text, then the windows already known
-                per_doc = np.bincount(words.doc[at], minlength=batch.num_rows).astype("<i8")
-                keys = batch.column("key").to_pylist()
-                notes = np.int64(batch.num_rows).tobytes() + b"".join(keys) + per_doc.tobytes()
-                rows.append((R.notes_bucket(chunk), chunk, notes, R.pack_ids(np.flatnonzero(known))))
-                for i in range(0, len(rows), 256):
-                    yield R.entry_batch(rows[i : i + 256])
+        for batch in K.gathered(batches, limit=chunk_bytes):
+            chunk = next(numbers)
+            words = K.Words(*K.text_bytes(batch.column("text")), K.SPACED, fold=False)
+            at, hashes = words.windows(window)
+            if not len(at):
+                continue
+            rows, known = R.entries(chunk, hashes, bits)
+            # notes: a key and a number of windows for each text, then the windows already known
+            per_doc = np.bincount(words.doc[at], minlength=batch.num_rows).astype("<i8")
+            keys = batch.column("key").to_pylist()
+            notes = np.int64(batch.num_rows).tobytes() + b"".join(keys) + per_doc.tobytes()
+            rows.append((R.notes_bucket(chunk), chunk, notes, R.pack_ids(np.flatnonzero(known))))
+            for i in range(0, len(rows), 256):
+                yield R.entry_batch(rows[i : i + 256])
 
     def gather(table: pa.Table) -> pa.Table:
         notes, found = R.answers(table)

@@ -180,37 +180,36 @@ def _adder(merged: int):
     return run
 
 
-def suffix_entries(keyed: DataFrame, bits: int, length: int, gram: int) -> DataFrame:
+def suffix_entries(keyed: DataFrame, bits: int, chunk_bytes: int, length: int, gram: int) -> DataFrame:
     """Rows of ROWS for all anchors of the texts (key, text), one for each chunk and bucket, and a chunk's notes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = R.chunk_numbers()
-        for whole in batches:
-            for batch in K.slices(whole, limit=R.CHUNK_BYTES // 2):
-                chunk = next(numbers)
-                a = Anchors(*K.text_bytes(batch.column("text")), length, gram)
-                if not len(a.hash):
-                    continue
-                pair = _both(a.hash, a.context)
-                _, first, times = np.unique(pair, return_index=True, return_counts=True)
-                by_place = np.argsort(first)
-                ids, many = first[by_place], (times[by_place] > 1).astype("u1")
-                later = np.ones(len(pair), dtype=bool)
-                later[ids] = False
-                bucket = (a.hash[ids] >> K.U64(64 - bits)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                ids, many, bucket = ids[order], many[order], bucket[order]
-                edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-                rows = [
-                    (int(bucket[s]), ENTRY, chunk, _encode(a.hash[ids[s:e]], a.context[ids[s:e]], many[s:e]), R.pack_ids(ids[s:e]))
-                    for s, e in zip(edges[:-1], edges[1:], strict=True)
-                ]
-                notes = np.int64(batch.num_rows).tobytes() + b"".join(batch.column("key").to_pylist()) + a.per_text.astype("<i8").tobytes()
-                rows.append((R.notes_bucket(chunk), NOTES, chunk, notes, R.pack_ids(np.flatnonzero(later))))
-                for i in range(0, len(rows), 256):
-                    cols = list(zip(*rows[i : i + 256], strict=True))
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "kind", "chunk", "hashes", "ids"])
+        for batch in K.gathered(batches, limit=chunk_bytes):
+            chunk = next(numbers)
+            a = Anchors(*K.text_bytes(batch.column("text")), length, gram)
+            if not len(a.hash):
+                continue
+            pair = _both(a.hash, a.context)
+            _, first, times = np.unique(pair, return_index=True, return_counts=True)
+            by_place = np.argsort(first)
+            ids, many = first[by_place], (times[by_place] > 1).astype("u1")
+            later = np.ones(len(pair), dtype=bool)
+            later[ids] = False
+            bucket = (a.hash[ids] >> K.U64(64 - bits)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ids, many, bucket = ids[order], many[order], bucket[order]
+            edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+            rows = [
+                (int(bucket[s]), ENTRY, chunk, _encode(a.hash[ids[s:e]], a.context[ids[s:e]], many[s:e]), R.pack_ids(ids[s:e]))
+                for s, e in zip(edges[:-1], edges[1:], strict=True)
+            ]
+            notes = np.int64(batch.num_rows).tobytes() + b"".join(batch.column("key").to_pylist()) + a.per_text.astype("<i8").tobytes()
+            rows.append((R.notes_bucket(chunk), NOTES, chunk, notes, R.pack_ids(np.flatnonzero(later))))
+            for i in range(0, len(rows), 256):
+                cols = list(zip(*rows[i : i + 256], strict=True))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "kind", "chunk", "hashes", "ids"])
 
     return keyed.mapInArrow(emit, ROWS)
 
@@ -242,9 +241,9 @@ def matched(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: in
     """
     spark = docs.sparkSession
     ship(spark)
-    bits = R.bucket_bits(docs)
+    bits, chunk_bytes = R.plan(docs)
     keyed = docs.select(K.text_key(F.col("text")).alias("key"), "text")
-    entries = cut(suffix_entries(keyed, bits, length, gram))
+    entries = cut(suffix_entries(keyed, bits, chunk_bytes // 2, length, gram))
     family = SuffixFamily(spark, bits)
     answers = [family.add(entries.where(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b)) for b in range(batches)]
     rows = answers[0]
@@ -267,18 +266,20 @@ def _open_strings(docs: DataFrame, opened: DataFrame, bits: int, length: int, gr
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 chunk = next(numbers)
-                places, hashes = [], []
+                firsts, sizes, hashes = [], [], []
                 for packed, opened in zip(part.column("packed").to_pylist(), part.column("open").to_pylist(), strict=True):
                     data = np.frombuffer(R.unsqueeze(packed), dtype=np.uint8)
                     a = Anchors(data, np.array([0, len(data)]), length, gram)
                     which = np.unique(np.concatenate([R.unpack_ids(o) for o in opened]))
                     size = a.last[which] - a.first[which] + 1
                     at = np.repeat(a.first[which], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    places.append(at)
+                    firsts.append(a.first[which])
+                    sizes.append(size)
                     hashes.append(a.strings[at])
                 rows, known = R.entries(chunk, np.concatenate(hashes), bits)
-                counts = np.array([len(p) for p in places], dtype="<i8")
-                notes = np.int64(part.num_rows).tobytes() + b"".join(part.column("key").to_pylist()) + counts.tobytes() + np.concatenate(places).astype("<i4").tobytes()
+                # notes: texts, their keys, and of each the number of open anchors; first string and number of strings of each anchor
+                counts = np.array([len(f) for f in firsts], dtype="<i8")
+                notes = np.int64(part.num_rows).tobytes() + b"".join(part.column("key").to_pylist()) + _encode(counts, np.concatenate(firsts).astype("<i4"), np.concatenate(sizes).astype("<i4"))
                 rows.append((R.notes_bucket(chunk), chunk, notes, R.pack_ids(np.flatnonzero(known))))
                 for i in range(0, len(rows), 256):
                     yield R.entry_batch(rows[i : i + 256])
@@ -288,8 +289,11 @@ def _open_strings(docs: DataFrame, opened: DataFrame, bits: int, length: int, gr
         known = next(R.unpack_ids(i) for n, i in zip(table.column("notes").to_pylist(), table.column("ids").to_pylist(), strict=True) if n is not None)
         n = int(np.frombuffer(notes, dtype="<i8", count=1)[0])
         keys = [notes[8 + 16 * i : 24 + 16 * i] for i in range(n)]
-        first = np.concatenate([[0], np.cumsum(np.frombuffer(notes, dtype="<i8", offset=8 + 16 * n, count=n))])
-        places = np.frombuffer(notes, dtype="<i4", offset=8 + 24 * n)
+        counts = np.frombuffer(notes, dtype="<i8", offset=8 + 16 * n, count=n)
+        firsts, size = (x.astype(np.int64) for x in _decode(notes[8 + 24 * n :], ["<i4", "<i4"]))
+        ends = np.cumsum(size)
+        places = np.repeat(firsts - (ends - size), size) + np.arange(size.sum())
+        first = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         marked = np.zeros(len(places), dtype=bool)
         marked[found] = True
         marked[known] = True

@@ -198,6 +198,26 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 21) ->
         i = j
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Batches of up to limit text bytes, or of one row, from the rows of all batches in order."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for part in slices(whole, column, limit):
+            own = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + own > limit:
+                yield _merged(held)
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield _merged(held)
+
+
+def _merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def text_key(text: Column) -> Column:
     """Rows of equal text get the same key; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

@@ -45,7 +45,7 @@ def test_edges(spark):
 def test_levels_grow_as_a_binary_counter(spark):
     family = S.SuffixFamily(spark, 9)
     df = spark.createDataFrame([("a" * 16, "".join(chr(97 + (i * i) % 23) for i in range(900)))], "key string, text string").selectExpr("cast(key as binary) key", "text")
-    entries = S.suffix_entries(df, 9, S.LENGTH, S.GRAM)
+    entries = S.suffix_entries(df, 9, 1 << 20, S.LENGTH, S.GRAM)
     shape = []
     for _ in range(5):
         family.add(entries)
