@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .job import ship
+from .job import beside, ship
 from .quality_rules import _LEADS, _PUNCT, _SYMBOL, _UPPER, _within
 
 PASSAGE, SIGNS, HIDDEN, STEPS, FIT_ROWS, SEED = 64, 16, 16, 300, 4000, 11
@@ -169,8 +169,12 @@ def score(docs: DataFrame, model: GatedAttention) -> DataFrame:
     """All rows and columns of docs, with score (0 to 1, higher: label 1 likelier) and n_passages.
 
     Null and empty texts are one empty passage and get its score; repeated rows
-    get equal scores. docs must not have columns of the new names.
+    get equal scores. A column of docs that has a new name gives way to it.
     """
+    return beside(docs, ("text",), ("score", "n_passages"), lambda d: _scored(d, model))
+
+
+def _scored(docs: DataFrame, model: GatedAttention) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .job import cut, ship
+from .job import beside, cut, ship
 
 WINDOW, GRAM = 13, 6
 
@@ -133,9 +133,13 @@ def find_overlaps(
     hit_spans: maximal word spans [start, end) that occurrences of windows cover.
     item_ids: ids (as strings, sorted) of the items whose windows occur.
     Null and empty texts have no words and no hits; repeated rows get equal
-    results; items that are null or have no word match nothing. docs may have
-    any further columns but must not have columns of the three new names.
+    results; items that are null or have no word match nothing. A column of docs
+    that has one of the three new names gives way to it.
     """
+    return beside(docs, ("text",), tuple(_EXTRA.names), lambda d: _find(d, benchmark, window, gram, block_words))
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, block_words: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     ship(spark)
     added = T.StructType.fromDDL("n_words bigint, hit_spans array<struct<start:int,end:int>>, item_ids array<string>")
@@ -215,7 +219,7 @@ def contamination(found: DataFrame, share: int = 20) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with their own columns only."""
-    return contamination(find_overlaps(docs, benchmark)).where(~F.col("contaminated")).select(*docs.columns)
+    return beside(docs, ("text",), (), lambda d: contamination(find_overlaps(d, benchmark)).where(~F.col("contaminated")))
 
 
 def digest(ids: list[str]) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import repeats as R
 from . import textkit as K
 from .graph import components
-from .job import cut, ship
+from .job import beside, cut, ship
 
 SHINGLE, PERCENT, BLOCK = 5, 80, 1024
 #: Cost of meeting a set in a list, against that of a published row: most are met in a class of their own, uncompared.
@@ -448,4 +448,4 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     stay only if no row of their component has one.
     """
     dropped = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(dropped.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    return beside(docs, ("doc_id",), (), lambda d: d.join(dropped.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"))

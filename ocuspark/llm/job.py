@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut as cut
+
 _ROOT = Path(__file__).resolve().parents[1]
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
@@ -35,20 +37,18 @@ def ship(spark: SparkSession) -> None:
     context._ocuspark_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from files in the shared checkpoint folder, without lineage.
+def beside(docs: DataFrame, needed: tuple[str, ...], added: tuple[str, ...], use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """use(docs) with the columns of docs in their order, then those of added.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set,
-    as in tests on one machine, a temporary one is used.
+    use sees columns other than needed under other names, so no name of theirs
+    can clash with one of its own. A column of docs that has the name of an
+    added one, in whatever case, gives way to it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ocuspark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    aside = {c: f"_own{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    new = {a.lower() for a in added}
+    own = [F.col(aside.get(c, c)).alias(c) for c in docs.columns if c.lower() not in new]
+    inside = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(aside.get(c, c)) for c in docs.columns])
+    return use(inside).select(*own, *added)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .job import let
+from .job import beside, let
 
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -128,8 +128,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs, with base and extra: arrays of (start, kind, end), kind a place in KINDS.
 
     Null and empty texts have none; repeated rows get equal results; very long
-    texts are scanned whole. docs must not have columns of the new names.
+    texts are scanned whole. A column of docs that has a new name gives way to it.
     """
+    return beside(docs, ("text",), ("base", "extra"), _found)
+
+
+def _found(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     long_enough = lambda x: F.length(F.regexp_extract(x["text"], ASSIGN, 1)) >= 8
     base = F.array_sort(
@@ -167,6 +171,10 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are replaced once. A null text stays null.
     """
+    return beside(docs, ("text", "n_chars"), (), lambda d: _redacted(d, mark))
+
+
+def _redacted(docs: DataFrame, mark: str) -> DataFrame:
     found = find_secrets(docs)
     spans = F.array_sort(F.concat("base", "extra"))
     walk = F.aggregate(
@@ -182,4 +190,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out

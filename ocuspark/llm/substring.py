@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from . import repeats as R
 from . import textkit as K
-from .job import ship
+from .job import beside, ship
 
 WINDOW = 35
 
@@ -86,8 +86,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
     kept_text: the words that are left, joined by one space. Null and empty
     texts have no words; repeated rows are all removed from `window` words on,
-    and get equal results. docs must not have columns of the new names.
+    and get equal results. A column of docs that has a new name gives way to it.
     """
+    added = ("n_words", "n_removed", "kept_sha256") + ("kept_text",) * with_text
+    return beside(docs, ("text",), added, lambda d: _removed(d, window, with_text))
+
+
+def _removed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     spans = repeated_spans(docs, window)
     added = T.StructType.fromDDL("n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
     joined = R.with_spans(docs, spans)

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import repeats as R
 from . import textkit as K
-from .job import cut, ship
+from .job import beside, cut, ship
 
 LENGTH, GRAM, BATCHES = 400, 120, 3
 SAME, OPEN = 1, 2  # bits of an answer
@@ -325,8 +325,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     in the same text or another. What is left may break a character in two, so
     it is bytes. Null and empty texts have no bytes; repeated rows of `length`
     bytes or more lose all, and get equal results; a text shorter than `length`
-    is kept. docs must not have columns of the new names, nor key or packed.
+    is kept. A column of docs that has a new name gives way to it.
     """
+    added = ("n_bytes", "n_removed", "n_spans", "kept_sha256") + ("kept_bytes",) * with_bytes
+    without = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").alias("_text"))
+    found = beside(without, ("_text",), added, lambda d: _removed(d.withColumnRenamed("_text", "text"), length, gram, batches, with_bytes).withColumn("_text", F.lit(None)))
+    return found.drop("_text")
+
+
+def _removed(docs: DataFrame, length: int, gram: int, batches: int, with_bytes: bool) -> DataFrame:
     ship(docs.sparkSession)
     found = matched(docs, length, gram, batches)
     texts = R.squeeze(docs)
