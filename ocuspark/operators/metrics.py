@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import euclidean, ratio
 from ..session import cut
 
 
@@ -39,18 +39,21 @@ def eer(curves: DataFrame) -> DataFrame:
     """idx, low, high and eer where the curves cross: one row; (0, 1, 1, 1) if they never do.
 
     The first threshold with fmr <= fnmr, or the one before it if the sum of
-    both is not larger there.
+    both is not larger there. Thresholds are compared and counted, not numbered,
+    so no task sees all of them in order.
     """
-    numbered = curves.withColumn("idx", (F.row_number().over(Window.orderBy("threshold")) - 1).cast("bigint"))
-    rows = numbered.select("idx", "fmr", "fnmr", (F.col("fmr") - F.col("fnmr")).alias("gap"))
-    first = rows.where("gap <= 0").agg(F.min(F.struct("idx", "gap")).alias("c")).select(F.col("c.idx").alias("t2"), F.col("c.gap").alias("gap2"))
-    near = rows.join(F.broadcast(first), (F.col("idx") == F.col("t2")) | ((F.col("idx") == F.col("t2") - 1) & (F.col("gap2") != 0)))
-    best = near.agg(F.min(F.struct((F.col("fmr") + F.col("fnmr")).alias("s"), "idx", "fmr", "fnmr")).alias("b"))
+    point = F.struct("threshold", "fmr", "fnmr")
+    first = curves.where("fmr <= fnmr").agg(F.min(point).alias("c")).withColumn("k", F.lit(0))
+    ahead = F.col("threshold") < F.col("c.threshold")
+    found = curves.withColumn("k", F.lit(0)).join(F.broadcast(first), "k").agg(F.first("c").alias("c"), F.max(F.when(ahead, point)).alias("b"), F.count_if(ahead).alias("n"))
+    total = lambda p: F.col(f"{p}.fmr") + F.col(f"{p}.fnmr")
+    earlier = F.col("b").isNotNull() & (F.col("c.fmr") != F.col("c.fnmr")) & (total("b") <= total("c"))
+    best = found.select(F.when(earlier, F.col("b")).otherwise(F.col("c")).alias("p"), (F.col("n") - F.when(earlier, 1).otherwise(0)).alias("at"))
     return best.select(
-        F.coalesce(F.col("b.idx"), F.lit(0)).cast("bigint").alias("idx"),
-        F.coalesce(F.least("b.fmr", "b.fnmr"), F.lit(1.0)).alias("low"),
-        F.coalesce(F.greatest("b.fmr", "b.fnmr"), F.lit(1.0)).alias("high"),
-        F.coalesce((F.col("b.fmr") + F.col("b.fnmr")) / 2, F.lit(1.0)).alias("eer"),
+        F.when(F.col("p").isNull(), F.lit(0)).otherwise(F.col("at")).cast("bigint").alias("idx"),
+        F.coalesce(F.least("p.fmr", "p.fnmr"), F.lit(1.0)).alias("low"),
+        F.coalesce(F.greatest("p.fmr", "p.fnmr"), F.lit(1.0)).alias("high"),
+        F.coalesce(total("p") / 2, F.lit(1.0)).alias("eer"),
     )
 
 
@@ -63,11 +66,15 @@ def first_places(values: DataFrame, value: str, place: str) -> DataFrame:
     return values.groupBy(value).agg(F.min(place).alias("first_place"))
 
 
-def pair_scores(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
-    """score (minus distance) and genuine of all unordered pairs of a set of vectors that is evaluated as a whole."""
-    from ..functions.columns import euclidean
+def pair_scores(embeddings: DataFrame, key: str = "vec_id", blocks: int = 16) -> DataFrame:
+    """score (minus distance) and genuine of all unordered pairs of a set of vectors that is evaluated as a whole.
 
-    a = embeddings.select(F.lit(0).alias("k"), F.col(key).alias("a"), F.col("label").alias("la"), F.col("embedding").alias("ea"))
-    b = embeddings.select(F.lit(0).alias("k"), F.col(key).alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("eb"))
-    pairs = a.join(b, "k").where("a < b")
+    Vectors are dealt to blocks, and each pair of blocks is a task's work, so
+    the pairs, whose number is the square of the vectors', are spread evenly.
+    """
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = embeddings.select(F.col(key).alias("a"), F.col("label").alias("la"), F.col("embedding").alias("ea"), block.alias("ba"), F.explode(every).alias("bb"))
+    right = embeddings.select(F.col(key).alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("eb"), block.alias("bb"), F.explode(every).alias("ba"))
+    pairs = left.join(right, ["ba", "bb"]).where("a < b")
     return pairs.select("a", "b", (-euclidean(F.col("ea"), F.col("eb"))).alias("score"), (F.col("la") == F.col("lb")).alias("genuine"))

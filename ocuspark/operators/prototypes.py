@@ -15,10 +15,17 @@ def prototypes(embeddings: DataFrame) -> DataFrame:
     return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("prototype"))
 
 
+SPREAD = 32
+
+
 def distances(queries: DataFrame, protos: DataFrame) -> DataFrame:
-    """Every query with every prototype: one row for each label is a small table, sent whole if Spark finds it small."""
-    left = queries.withColumn("k", F.lit(0))
-    right = protos.select(F.lit(0).alias("k"), F.col("label").alias("proto_label"), "prototype")
+    """Every query with every prototype.
+
+    There is a prototype for each label: a small table, sent whole where Spark
+    finds it small. Else each of SPREAD parts of the queries meets a copy of it.
+    """
+    left = queries.withColumn("k", F.pmod(F.xxhash64("embedding"), F.lit(SPREAD)).cast("int"))
+    right = protos.select(F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("k"), F.col("label").alias("proto_label"), "prototype")
     return left.join(right, "k").withColumn("distance", euclidean(F.col("embedding"), F.col("prototype"))).drop("k", "prototype")
 
 
