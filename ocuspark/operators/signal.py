@@ -28,13 +28,12 @@ def _ordered() -> Window:
 
 def recordings(events: DataFrame) -> DataFrame:
     """Events of a user as a recording of two channels: session, i, x (value) and y (k of props)."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(
-        F.col("user_id").alias(KEY),
-        (F.row_number().over(order) - 1).cast("bigint").alias(PLACE),
-        F.col("value").alias("x"),
-        F.get_json_object("props", "$.k").cast("double").alias("y"),
+    # named before the window, so that all later windows by session reuse its exchange
+    named = events.select(
+        F.col("user_id").alias(KEY), "ts", "event_id", F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y")
     )
+    order = Window.partitionBy(KEY).orderBy("ts", "event_id")
+    return named.select(KEY, (F.row_number().over(order) - 1).cast("bigint").alias(PLACE), "x", "y")
 
 
 def length(df: DataFrame) -> DataFrame:
