@@ -2,7 +2,8 @@
 
 Each source's words are one stream, its documents in the order of a hash, and
 the stream is packed into blocks of `BLOCK` words. The mix is a row of output
-shards of about `SHARD` slots. Each shard draws how many of its slots every
+shards of about `SHARD` slots, or more slots where there would be over
+`MOST_SHARDS` shards. Each shard draws how many of its slots every
 source gets: the whole part of the expected number, and a multinomial draw for
 the slots that are left. A source's slots, counted through all shards, are
 mapped to its blocks by a pseudorandom permutation of block numbers, a new one
@@ -17,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .job import cut
+from .job import cut, shuffle_partitions
 
 BLOCK, SHARD, SPREAD, MAX_EPOCHS, SEED = 32, 1024, 1024, 3, 20
+MOST_SHARDS = 100_000
 
 # Primes, the multipliers of the permutations; one that does not divide the number of blocks is taken.
 PRIMES = (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103)
@@ -94,7 +96,7 @@ def draw(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFram
         sources.where("source_size > 0")
         .select("number", "total", F.ceil(F.col("source_size") / block).cast("long").alias("n_blocks"), (F.col("target") / F.col("total")).alias("share"))
         .withColumn("all_slots", F.greatest(F.round(F.col("total") / block), F.lit(1.0)).cast("long"))
-        .withColumn("shards", F.greatest(F.round(F.col("all_slots") / shard), F.lit(1.0)).cast("long"))
+        .withColumn("shards", F.least(F.greatest(F.round(F.col("all_slots") / shard), F.lit(1.0)), F.lit(float(MOST_SHARDS))).cast("long"))
     )
     each = config.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     edge = lambda k: F.expr(f"cast(floor(({k}) * all_slots / shards) as bigint)")
@@ -123,8 +125,12 @@ def draw(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFram
 
 
 def slots(counts: DataFrame) -> DataFrame:
-    """One row for each slot of the mix: shard, number, slot, block. Slots after MAX_EPOCHS uses of a source stay empty."""
-    each = counts.where("slots > 0").withColumn("slot", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("slots") - 1)))
+    """One row for each slot of the mix: shard, number, slot, block. Slots after MAX_EPOCHS uses of a source stay empty.
+
+    Counts are few and slots many, so counts are dealt out by shard first.
+    """
+    dealt = counts.where("slots > 0").repartition(shuffle_partitions(counts.sparkSession), "shard", "number")
+    each = dealt.withColumn("slot", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("slots") - 1)))
     each = each.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")).cast("long")).where(F.col("epoch") < MAX_EPOCHS)
     factor = F.coalesce(*[F.when(F.col("n_blocks") % p != 0, F.lit(p)) for p in PRIMES], F.lit(1))
     shift = F.pmod(F.xxhash64(F.lit(SEED), "number", "epoch"), F.col("n_blocks"))
