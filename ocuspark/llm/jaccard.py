@@ -36,8 +36,9 @@ from .graph import components
 from .job import beside, cut, ship
 
 SHINGLE, PERCENT, BLOCK = 5, 80, 1024
-#: Cost of meeting a set in a list, against that of a published row: most are met in a class of their own, uncompared.
-MEETING = 0.05
+#: Cost of meeting a set in a list, against that of a published row, and sets of a list that count: of a long list, most
+#: are in a class of their own, and are not compared.
+MEETING, MOST_MET = 0.05, 64
 MEMBERS = "doc_id bigint, has_doc boolean, n bigint, skey binary, tkey binary, tokens binary, codes binary"
 WHOLE = 64
 
@@ -249,7 +250,7 @@ def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
     """Largest light size: that of least cost.
 
     A light set costs a row for each of its subsets; a heavy one costs a row for
-    each of its lists, and MEETING for each set in them.
+    each of its lists, and MEETING for each set in them, up to MOST_MET.
     """
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +260,8 @@ def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
                 p = _prefix(n, len(codes), percent)
                 sizes.append(int(4 * np.log2(n)))
                 light.append(float(max(p + 1, 0) * max(p, 0) / 2))
-                heavy.append(float((1 + MEETING * 2.0 ** (np.frombuffer(codes[: max(p, 0)], dtype="u1") / 8)).sum()))
+                met = np.minimum(2.0 ** (np.frombuffer(codes[: max(p, 0)], dtype="u1") / 8), MOST_MET)
+                heavy.append(float((1 + MEETING * met).sum()))
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(light, pa.float64()), pa.array(heavy, pa.float64())], names=["step", "light", "heavy"])
 
     # a row for each quarter of a power of two, under 200 in all
