@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 
 @dataclass
 class ConvBlock:
@@ -106,6 +108,7 @@ class Embedder:
 
 def embed(segments: DataFrame, model: Embedder, id_column: str = "guid") -> DataFrame:
     """id and embedding of each segment; data: channels times time, flat. A row with a null in it, or of another size, gets null."""
+    ship(segments.sparkSession)
     shared = segments.sparkSession.sparkContext.broadcast((model.config, model.length, model.weights))
     channels, length = model.config.conv[0].in_channels, model.length
 
