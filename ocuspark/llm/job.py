@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut as cut
+from ..session import ship as ship_package
 
-_ROOT = Path(__file__).resolve().parents[1]
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
@@ -24,17 +20,9 @@ def ship(spark: SparkSession) -> None:
     tens of megabytes, several times over; unless the session says otherwise,
     they get BATCH_ROWS rows.
     """
-    context = spark.sparkContext
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, str(BATCH_ROWS))
-    if getattr(context, "_ocuspark_shipped", False):
-        return
-    path = os.path.join(tempfile.mkdtemp(), "ocuspark_src.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(_ROOT.rglob("*.py")):
-            z.write(p, f"{_ROOT.name}/{p.relative_to(_ROOT)}")
-    context.addPyFile(path)
-    context._ocuspark_shipped = True
+    ship_package(spark)
 
 
 def beside(docs: DataFrame, needed: tuple[str, ...], added: tuple[str, ...], use: Callable[[DataFrame], DataFrame]) -> DataFrame:
