@@ -12,8 +12,9 @@ in theirs and cannot hide behind each other. The forest splits on the make-up of
 words; repeated lines and windows, which good texts hold as well, are left to
 the fixed rules.
 
-Bounds: the forest and the threshold are fitted on at most `fit_rows` labelled
-rows, chosen by a hash of doc_id; every other count covers all rows.
+Bounds: the forest is fitted on at most `fit_rows` of the labelled rows that
+pass the fixed rules, chosen by a hash of doc_id. The threshold comes from
+counts by score over all of them, and every other count covers all rows.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .job import beside, ship
+from .job import beside, cut, ship
 
 FIT_ROWS, TREES, SUBSAMPLE, CLEAN_LOSS, SEED = 8192, 200, 64, 0.001, 7
+LEAST_GOOD, BINS = 64, 4096
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -157,15 +159,26 @@ class Forest:
 
 
 def fit_forest(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clean_loss: float = CLEAN_LOSS) -> Forest | None:
-    """Forest and threshold from at most fit_rows labelled rows; None if there are too few of them (under 64 good ones)."""
-    spark = docs.sparkSession
-    ship(spark)
-    chosen = (
-        labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
-    )
-    # at most fit_rows ids: a proven bound for the broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    """Forest from at most fit_rows labelled rows, and threshold from all; None if under LEAST_GOOD good ones pass the fixed rules."""
+    rows = labelled(docs, labels)
+    n_rows, n_good = rows.agg(F.count("*"), F.sum(F.when(F.col("quality") == 1, F.col("times")))).first()
+    if (n_good or 0) < LEAST_GOOD:
+        return None
+    # only rows of small hashes, about twice as many as are taken, are put in order
+    share = 2 * fit_rows / n_rows
+    near = rows if share >= 1 else rows.where(F.xxhash64("doc_id") < F.lit(int(share * 2.0**64 - 2.0**63)))
+    chosen = near.select("doc_id", "quality", "x").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(fit_rows)
+    forest = Forest.fit(np.array([v for *_, v in sorted((r.doc_id, r.quality, tuple(r.x)) for r in chosen.collect())]))
+    forest.threshold = threshold(by_score(rows, forest), clean_loss)
+    return forest
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality, x (statistics) and times of all labelled rows that pass the fixed rules; equal ones are one row.
+
+    Texts stay where they are: ids and statistics meet the labels.
+    """
+    ship(docs.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -173,24 +186,61 @@ def fit_forest(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, cle
                 c = counts(batch.column("text"))
                 passed = ~base_failed(c)
                 x = statistics(c)[passed]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").filter(pa.array(passed)), batch.column("quality").filter(pa.array(passed)), pa.array(x.tolist(), type=pa.list_(pa.float64()))],
-                    names=["doc_id", "quality", "x"],
-                )
-
-    got = sorted((r.doc_id, r.quality, tuple(r.x)) for r in texts.mapInArrow(features, "doc_id bigint, quality int, x array<double>").collect())
-    good = np.array([q == 1 for _, q, _ in got], dtype=bool)
-    if good.sum() < 64:
-        return None
-    x = np.array([v for *_, v in got])
-    forest = Forest.fit(x)
-    scores = forest.score(x)
-    forest.threshold = calibrate(scores, good, clean_loss)
-    return forest
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(passed)), pa.array(x.tolist(), type=pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    marks = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(features, "doc_id bigint, x array<double>")
+    return cut(found.groupBy("doc_id", "x").agg(F.count("*").alias("times")).join(marks, "doc_id").select("doc_id", "quality", "x", "times"))
+
+
+def by_score(rows: DataFrame, forest: Forest) -> DataFrame:
+    """score, and how many of the rows of labelled() with it are good and junk."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("times"), pa.array(shared.value.score(x))], names=["quality", "times", "score"])
+
+    scored = rows.select("quality", "times", "x").mapInArrow(run, "quality int, times bigint, score double")
+    of = lambda kind: F.sum(F.when(kind, F.col("times")).otherwise(0))
+    return cut(scored.groupBy("score").agg(of(F.col("quality") == 1).alias("good"), of(F.col("quality") != 1).alias("junk")))
+
+
+def threshold(scores: DataFrame, clean_loss: float) -> float:
+    """calibrate() over a table of any size: score, and the numbers of good and junk rows with it.
+
+    Cuts above the good row that is one too many to lose are allowed. Of these,
+    the one below the lowest junk score rejects most junk and fewest others.
+    """
+    n_good, least = scores.agg(F.sum("good"), F.min("score")).first()
+    lost = int(clean_loss * (n_good or 0))
+    floor = least if lost >= (n_good or 0) else max(least, _from_above(scores.where("good > 0"), lost + 1))
+    at = scores.where((F.col("junk") > 0) & (F.col("score") > F.lit(floor))).agg(F.min("score")).first()[0] if floor is not None else None
+    if at is None:
+        return float("inf")
+    return (scores.where(F.col("score") < F.lit(at)).agg(F.max("score")).first()[0] + at) / 2
+
+
+def _from_above(scores: DataFrame, nth: int) -> float:
+    """Score of the nth good row from above: counts in BINS ranges, then in those of one of them, till it holds one score."""
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while low < high:
+        place = F.floor((F.col("score") - F.lit(low)) / F.lit(high - low) * BINS)
+        bins = scores.where(F.col("score").between(low, high)).groupBy(place.alias("place")).agg(F.sum("good").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+        for r in sorted(bins.collect(), reverse=True):  # BINS + 1 rows at most
+            if nth <= r.n:
+                low, high = r.low, r.high
+                break
+            nth -= r.n
+    return low
 
 
 def calibrate(scores: np.ndarray, good: np.ndarray, clean_loss: float) -> float:
-    """Score above which rows are rejected; infinite if no row that is not good can be rejected at that loss."""
+    """Score above which rows are rejected; infinite if no row that is not good can be rejected at that loss.
+
+    This is the rule on arrays; threshold() follows it on tables.
+    """
     order = np.argsort(scores, kind="stable")
     ranked = scores[order]
     lost = np.append(np.cumsum(good[order][::-1])[::-1], 0)  # good rows from each place on

@@ -56,6 +56,32 @@ def test_threshold():
     assert Q.calibrate(scores, np.array([True, True, False, True, False, True]), 0.34) == (0.7 + 0.8) / 2
 
 
+def test_threshold_of_a_table_equals_that_of_arrays(spark):
+    rng = np.random.default_rng(5)
+    for n, junk, digits, loss in ((3000, 0.1, 3, 0.01), (3000, 0.002, 9, 0.001), (50, 0.5, 1, 0.3), (500, 0.0, 2, 0.1), (400, 0.2, 6, 0.0), (20, 0.5, 0, 1.0), (30, 1.0, 2, 0.1)):
+        good = rng.random(n) >= junk
+        scores = np.round(rng.random(n) + 0.5 * ~good, digits)
+        rows = spark.createDataFrame([(float(s), int(g), int(not g)) for s, g in zip(scores, good, strict=True)], "score double, good long, junk long")
+        table = rows.groupBy("score").sum("good", "junk").toDF("score", "good", "junk")
+        assert Q.threshold(table, loss) == Q.calibrate(scores, good, loss)
+    assert Q.threshold(table.limit(0), 0.1) == float("inf")
+
+
+def test_all_labels_count_for_the_threshold(spark):
+    order = [r.id for r in spark.sql("select id from range(400) order by xxhash64(id), id").collect()]
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghA"), rng.integers(2, 9))) + rng.choice(["", ".", "!", "#"], p=[0.7, 0.1, 0.1, 0.1])
+    # the forest's rows are the first by hash; the only junk is last
+    docs = [(d, " ".join(word() if n < 395 else f"#{k}$XYZABC!!%" for k in range(80)), int(n < 395)) for n, d in enumerate(order)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality int")
+    for fit_rows in (200, 32):
+        forest = Q.fit_forest(df, df, fit_rows)
+        got = Q.judge(df, forest).collect()
+        assert {r.doc_id for r in got if not r.kept} == set(order[395:])
+        assert forest.threshold == Q.calibrate(np.array([r.anomaly for r in got]), np.array([r.quality == 1 for r in got]), Q.CLEAN_LOSS)
+    assert Q.fit_forest(df, df.where("quality = 1").limit(63)) is None
+
+
 def test_forest_isolates_an_outlier():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(500, 3)), [[9, 9, 9]]])
