@@ -94,12 +94,12 @@ def common(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray:
     return np.where(100 * n <= percent * WHOLE, least_shared(n, percent), np.maximum(1, least_shared(n, percent) // 5))
 
 
-def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
     """MEMBERS: a row for each document, and one for each set (in a chunk) that may have links.
 
     tokens: the set's counted shingles that other sets have too, rarest first;
     codes: their rarity, about 8 log2 of the number of sets; tkey: text_key() of
-    a text that has the set.
+    a text that has the set, and if keyed also of each document's.
     """
     ship(docs.sparkSession)
     bits, chunk_bytes = R.plan(docs)
@@ -151,6 +151,7 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                     b"".join(text_keys[i] for i in chosen),
                     first[group[~new]].astype("<i4").tobytes(),  # a shingle's first place in the chunk,
                     owner[again].astype("<i4").tobytes(),  # and another set that has it
+                    b"".join(text_keys) if keyed else b"",
                 ]
             )
             rows.append((R.notes_bucket(chunk), chunk, notes, b""))
@@ -203,6 +204,7 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         text_keys = [notes[at + 16 * i : at + 16 * i + 16] for i in range(n_sets, 2 * n_sets)]
         at += 32 * n_sets
         again_first, again_owner = read("<i4", n_again), read("<i4", n_again)
+        own_keys = [notes[at + 16 * i : at + 16 * i + 16] for i in range(n_docs)] if keyed else [None] * n_docs
         ids, tokens, codes = [], [], []
         for n, i in rows:
             if i:
@@ -210,7 +212,7 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                 ids.append(own)
                 codes.append(np.frombuffer(n, dtype="u1", count=len(own)))
                 tokens.append(R.unpack(n[len(own) :]))
-        out: list[tuple] = [(int(d) if v else None, True, int(sizes[s]) if s >= 0 else 0, keys[s] if s >= 0 else None, None, None, None) for d, v, s in zip(doc_ids, valid, of_doc, strict=True)]
+        out: list[tuple] = [(int(d) if v else None, True, int(sizes[s]) if s >= 0 else 0, keys[s] if s >= 0 else None, k, None, None) for d, v, s, k in zip(doc_ids, valid, of_doc, own_keys, strict=True)]
         if ids:
             ids, tokens, codes = np.concatenate(ids), np.concatenate(tokens), np.concatenate(codes)
             owner = np.repeat(np.arange(n_sets), counted(sizes, percent))
@@ -435,19 +437,44 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     links like any other but is never the smallest, unless all are null.
     Other columns are not read.
     """
-    members = cut(shared_shingles(docs, size, percent))
-    found = classes(docs, members, size, percent).select(F.col("node").alias("skey"), F.col("component").alias("class"))
-    rows = members.where("has_doc").select("doc_id", "n", "skey")
-    labelled = cut(rows.join(found, "skey", "left").select("doc_id", "n", F.coalesce("class", "skey").alias("class")))
+    labelled = _labelled(docs, size, percent)
     least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
+    """doc_id, n, class (null without shingles), and if keyed tkey, of each row of docs."""
+    members = cut(shared_shingles(docs, size, percent, keyed))
+    found = classes(docs, members, size, percent).select(F.col("node").alias("skey"), F.col("component").alias("class"))
+    own = ("doc_id", "n", "tkey") if keyed else ("doc_id", "n")
+    rows = members.where("has_doc").select(*own, "skey")
+    return cut(rows.join(found, "skey", "left").select(*own, F.coalesce("class", "skey").alias("class")))
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, with all their columns.
+    """Of each component, the rows whose doc_id is its smallest, with all their columns.
 
-    Rows that repeat the id of a representative stay with it; rows of a null id
-    stay only if no row of their component has one.
+    It is decided by row, that is by doc_id and text: other rows of an id may be
+    in other components. Rows that repeat the id of a representative in its
+    component stay with it. Rows of a null id go if a row of their component has
+    an id; if none has, one of them stays, of the smallest text key.
     """
-    dropped = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return beside(docs, ("doc_id",), (), lambda d: d.join(dropped.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"))
+    rows = _labelled(docs, keyed=True).where("class is not null").groupBy("class", "doc_id", "tkey").agg(F.count("*").alias("times"))
+    first = F.min(F.when(F.col("doc_id").isNull(), F.col("tkey")))
+    least = rows.groupBy("class").agg(F.min("doc_id").alias("least"), first.alias("first"))
+    placed = rows.join(least, "class")
+    stays = F.when(F.col("least").isNull(), F.col("tkey") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("least")))
+    alone = F.col("doc_id").isNotNull() | (F.col("times") == 1)
+    gone = cut(placed.where(~(stays & alone)).select(F.col("doc_id").alias("gone"), F.col("tkey").alias("gone_key"), stays.alias("one")))
+    copied = gone.where("one").select("gone_key")
+
+    def kept(d: DataFrame) -> DataFrame:
+        keyed = d.withColumn("_key", K.text_key(F.col("text")))
+        rest = keyed.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col("_key") == F.col("gone_key")), "left_anti").select(*d.columns)
+        if copied.isEmpty():
+            return rest
+        # equal texts are one row before they meet, so that a frequent one isn't read by one task
+        single = keyed.where("doc_id is null").groupBy("_key").agg(F.first(F.struct(*d.columns)).alias("row"))
+        return rest.unionByName(single.join(copied, F.col("_key") == F.col("gone_key"), "left_semi").select("row.*"))
+
+    return beside(docs, ("doc_id", "text"), (), kept)

@@ -108,3 +108,22 @@ def test_large_groups_are_compared_in_blocks(spark):
     same = lambda m: {frozenset(k for k in m if m[k] == c) for c in set(m.values())}
     assert {g for g in same(label) if len(g) > 1} == {g for g in same(plain) if len(g) > 1}
     assert len({c for _, _, c in brute(docs)}) > 1
+
+
+def test_representatives_are_chosen_by_row(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    near = lambda t: t + " more"
+    docs = [
+        (1, a), (None, near(a)), (None, "alone " + b),  # a null id that copies a document, and one that is unique
+        (None, c), (None, c), (None, c), (None, near(c)),  # null ids that are linked with each other only
+        (5, d), (3, near(d)), (5, e), (7, e),  # an id of two texts, one of them a copy of another document
+        (None, None), (None, ""), (8, ""), (8, None), (1, a),
+    ]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, n long")
+    kept = J.keep_representatives(df)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    assert all(docs[r.n] == (r.doc_id, r.text) for r in rows)
+    places = {r.n for r in rows}
+    assert len(places) == len(rows) and len(places & {3, 4, 5, 6}) == 1
+    assert places - {3, 4, 5, 6} == {0, 2, 8, 9, 11, 12, 13, 14, 15}
