@@ -1,30 +1,41 @@
-"""Connected components by distributed label propagation."""
+"""Connected components by distributed contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .job import cut
+from .job import anew, cut
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of the undirected graph of edges (a, b).
+    """node and component (one of its nodes) of the undirected graph of edges (a, b).
 
-    Each round, a node takes the smallest label among its neighbours', then its
-    label's label; rounds grow with the logarithm of the diameter for stars and
-    chains of stars, which is what the operators make. No neighbourhood is
-    gathered: rounds only take minima, so a node may have any number of edges.
+    Each round, a node is represented by the first of itself and its neighbours
+    in some order, and edges between nodes become edges between what represents
+    them. So every round's graph is smaller than the one before, and edges are
+    replaced, not kept. Rounds take the nodes' own order and the order of a new
+    hash by turns: the first makes a star one node at once, by the second a
+    constant share of the nodes goes in any graph, whatever its shape. Last, the
+    representatives are followed back from the smallest graph to the whole one.
+    No neighbourhood is gathered, so a node may have any number of edges.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        of_b = labels.select(F.col("node").alias("b"), "label")
-        near = both.join(of_b, "b").groupBy("a").agg(F.min("label").alias("near"))
-        taken = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        of_label = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        moved = taken.join(of_label, taken.label == of_label.via, "left")
-        stepped = cut(moved.select("node", "old", F.coalesce(F.least("label", "beyond"), "label").alias("label")))
-        labels = stepped.select("node", "label")
-        if stepped.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    live = cut(edges.select("a", "b").where("a <> b").distinct())
+    rounds: list[DataFrame] = []
+    while not live.isEmpty():
+        order = [F.xxhash64(F.lit(len(rounds)), "b")] * (len(rounds) % 2) + ["b"]
+        met = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        own = met.unionByName(met.select("a", F.col("a").alias("b")))
+        first = cut(own.groupBy("a").agg(F.min(F.struct(*order))["b"].alias("to")).select(F.col("a").alias("node"), "to"))
+        rounds.append(first)
+        of_a, of_b = (anew(first.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")), c) for c in "ab")
+        moved = live.join(of_a, "a").join(of_b, "b").where("to_a <> to_b")
+        live = cut(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).where(F.lit(False))
+    labels = rounds[-1].select("node", F.col("to").alias("component"))
+    for earlier in reversed(rounds[:-1]):
+        beyond = anew(labels.select(F.col("node").alias("to"), F.col("component").alias("beyond")), "to")
+        labels = earlier.join(beyond, "to", "left").select("node", F.coalesce("beyond", "to").alias("component"))
+    return cut(labels)

@@ -13,7 +13,7 @@ Jaccard similarity of `PERCENT` hundredths or more.
    front of it. Light sets publish all
    subsets of c = 2 of these; heavy sets, and light ones near the boundary, are
    put in the inverted lists of single tokens (c = 1). The boundary is the size
-   for which subsets to enumerate and lists to scan cost least.
+   for which subsets and lists cost least, counted over all sets.
 3. Each subset's and list's members are tied to one leader, not to each other,
    and tied sets form candidate groups. A group is verified exactly, in blocks:
    in a large group, sets that link with the group's most typical set are one
@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 from . import repeats as R
 from . import textkit as K
 from .graph import components
-from .job import beside, cut, ship
+from .job import anew, beside, cut, ship
 
 SHINGLE, PERCENT, BLOCK = 5, 80, 1024
-#: Cost of meeting a set in a list, against that of a published row, and sets of a list that count: of a long list, most
-#: are in a class of their own, and are not compared.
-MEETING, MOST_MET = 0.05, 64
-MEMBERS = "doc_id bigint, has_doc boolean, n bigint, skey binary, tkey binary, tokens binary, codes binary"
+#: Bytes of a published row (a signature and a set's key), and of a shingle of a set that is fetched.
+ROW_BYTES, SHINGLE_BYTES = 24, 8
+MEMBERS = "doc_id bigint, has_doc boolean, n bigint, skey binary, tkey binary, tokens binary"
 WHOLE = 64
 
 
@@ -98,8 +97,8 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """MEMBERS: a row for each document, and one for each set (in a chunk) that may have links.
 
     tokens: the set's counted shingles that other sets have too, rarest first;
-    codes: their rarity, about 8 log2 of the number of sets; tkey: text_key() of
-    a text that has the set, and if keyed also of each document's.
+    tkey: text_key() of a text that has the set, and if keyed also of each
+    document's. Null and empty texts have n 0 and no skey.
     """
     ship(docs.sparkSession)
     bits, chunk_bytes = R.plan(docs)
@@ -212,7 +211,7 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                 ids.append(own)
                 codes.append(np.frombuffer(n, dtype="u1", count=len(own)))
                 tokens.append(R.unpack(n[len(own) :]))
-        out: list[tuple] = [(int(d) if v else None, True, int(sizes[s]) if s >= 0 else 0, keys[s] if s >= 0 else None, k, None, None) for d, v, s, k in zip(doc_ids, valid, of_doc, own_keys, strict=True)]
+        out: list[tuple] = [(int(d) if v else None, True, int(sizes[s]) if s >= 0 else 0, keys[s] if s >= 0 else None, k, None) for d, v, s, k in zip(doc_ids, valid, of_doc, own_keys, strict=True)]
         if ids:
             ids, tokens, codes = np.concatenate(ids), np.concatenate(tokens), np.concatenate(codes)
             owner = np.repeat(np.arange(n_sets), counted(sizes, percent))
@@ -230,44 +229,43 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             owner, tokens, codes = owner[order], tokens[order], codes[order]
             ends = np.searchsorted(owner, np.arange(n_sets + 1))
             for s in np.flatnonzero(enough).tolist():
-                out.append((None, False, int(sizes[s]), keys[s], text_keys[s], tokens[ends[s] : ends[s + 1]].tobytes(), codes[ends[s] : ends[s + 1]].tobytes()))
+                out.append((None, False, int(sizes[s]), keys[s], text_keys[s], tokens[ends[s] : ends[s + 1]].tobytes()))
         cols = list(zip(*out, strict=True))
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({f: pa.array(c, k) for f, c, k in zip(("doc_id", "has_doc", "n", "skey", "tkey", "tokens", "codes"), cols, kinds, strict=True)})
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({f: pa.array(c, k) for f, c, k in zip(("doc_id", "has_doc", "n", "skey", "tkey", "tokens"), cols, kinds, strict=True)})
 
     packed = docs.select(F.col("doc_id").cast("bigint"), K.text_key(F.col("text")).alias("key"), "text").mapInArrow(emit, R.ENTRIES)
     answered = packed.groupBy("bucket").applyInArrow(count, "chunk bigint, notes binary, ids binary")
     return answered.groupBy("chunk").applyInArrow(gather, MEMBERS)
 
 
-def _prefix(n: int, shared: int, percent: int) -> int:
+def _prefix(n: np.ndarray | int, shared: np.ndarray | int, percent: int) -> np.ndarray | int:
     """Of a set of n shingles with so many shared tokens: how many of them, from the front, meet one of any set that it links with.
 
     Tokens of one set only come first in the order, but meet nothing.
     """
-    return shared - int(common(n, percent)) + 1
+    return shared - common(n, percent) + 1
 
 
 def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
-    """Largest light size: that of least cost.
+    """Largest light size: that of least cost, in bytes that are moved.
 
-    A light set costs a row for each of its subsets; a heavy one costs a row for
-    each of its lists, and MEETING for each set in them, up to MOST_MET.
+    A light set costs a row for each of its subsets. A heavy one costs a row for
+    each of its lists, and as a list of its tokens nearly always has another
+    member, its shingles, which are fetched to be compared. How long a list is
+    adds nothing: its members are tied to its leader, and not to each other.
     """
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, light, heavy = [], [], []
-            for n, codes in zip(batch.column("n").to_pylist(), batch.column("codes").to_pylist(), strict=True):
-                p = _prefix(n, len(codes), percent)
-                sizes.append(int(4 * np.log2(n)))
-                light.append(float(max(p + 1, 0) * max(p, 0) / 2))
-                met = np.minimum(2.0 ** (np.frombuffer(codes[: max(p, 0)], dtype="u1") / 8), MOST_MET)
-                heavy.append(float((1 + MEETING * met).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(light, pa.float64()), pa.array(heavy, pa.float64())], names=["step", "light", "heavy"])
+            n, shared = batch.column("n").to_numpy(), batch.column("shared").to_numpy()
+            p = np.maximum(_prefix(n, shared, percent), 0)
+            light, heavy = ROW_BYTES * p * (p + 1) // 2, ROW_BYTES * p + SHINGLE_BYTES * n
+            yield pa.RecordBatch.from_arrays([pa.array((4 * np.log2(n)).astype("i4")), pa.array(light), pa.array(heavy)], names=["step", "light", "heavy"])
 
     # a row for each quarter of a power of two, under 200 in all
-    steps = sorted(sets.select("n", "codes").mapInArrow(cost, "step int, light double, heavy double").groupBy("step").agg(F.sum("light"), F.sum("heavy")).collect())
+    counted_rows = sets.select("n", (F.octet_length("tokens") / 8).cast("long").alias("shared")).mapInArrow(cost, "step int, light bigint, heavy bigint")
+    steps = sorted(counted_rows.groupBy("step").agg(F.sum("light"), F.sum("heavy")).collect())
     best, at = sum(r[2] for r in steps), 0
     now = best
     for step, light, heavy in steps:
@@ -278,14 +276,14 @@ def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
 
 
 def signatures(sets: DataFrame, x: int, percent: int = PERCENT) -> DataFrame:
-    """sig, skey and rank (how few of its shingles others have): two-token subsets of light sets, single tokens of heavy ones."""
+    """sig and skey: two-token subsets of light sets (of up to x shingles), single tokens of heavy ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, keys, ranks = [], [], []
+            sigs, keys = [], []
             for n, key, data in zip(*(batch.column(c).to_pylist() for c in ("n", "skey", "tokens")), strict=True):
                 tokens = np.frombuffer(data, dtype="<u8")
-                p = _prefix(n, len(tokens), percent)
+                p = int(_prefix(n, len(tokens), percent))
                 own = []
                 light = 1 < n <= x
                 if light and p + 1 >= 2:
@@ -297,18 +295,29 @@ def signatures(sets: DataFrame, x: int, percent: int = PERCENT) -> DataFrame:
                     own = np.concatenate(own)
                     sigs.append(own.view(np.int64))
                     keys += [key] * len(own)
-                    ranks.append(np.full(len(own), 1 - len(tokens) / n))
                 if len(keys) > 100_000:
-                    yield _signature_batch(sigs, keys, ranks)
-                    sigs, keys, ranks = [], [], []
+                    yield _signature_batch(sigs, keys)
+                    sigs, keys = [], []
             if keys:
-                yield _signature_batch(sigs, keys, ranks)
+                yield _signature_batch(sigs, keys)
 
-    return sets.select("n", "skey", "tokens").mapInArrow(run, "sig bigint, skey binary, rank double")
+    return sets.select("n", "skey", "tokens").mapInArrow(run, "sig bigint, skey binary")
 
 
-def _signature_batch(sigs: list, keys: list, ranks: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(keys, pa.binary()), pa.array(np.concatenate(ranks))], names=["sig", "skey", "rank"])
+def _signature_batch(sigs: list, keys: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(keys, pa.binary())], names=["sig", "skey"])
+
+
+def ties(tied: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the sets of each signature: of signatures(), one row for each set and for each of its leaders.
+
+    A signature's leader is its smallest set. A set is tied to the smallest of
+    its leaders only, and its other leaders are tied to that one as well. In a
+    large group nearly all leaders are the same, so most of these edges are too.
+    """
+    leaders = tied.groupBy("sig").agg(F.min("skey").alias("leader"), F.count("*").alias("members")).where("members > 1").select("sig", "leader")
+    led = tied.join(leaders, "sig").groupBy("skey").agg(F.collect_set("leader").alias("leaders"))
+    return led.select(F.explode(F.array_union("leaders", F.array("skey"))).alias("a"), F.array_min("leaders").alias("b")).where("a <> b").distinct()
 
 
 def _linked(inter: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray:
@@ -372,7 +381,11 @@ def _with_leader(percent: int):
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The columns of wanted (key, and others), and tokens: all shingles of the text of that key."""
+    """The columns of wanted (key, and others), and tokens: all shingles of the text of that key.
+
+    Equal texts are read once; a null text has the key of an empty one, and no
+    shingles; keys of no text give no row.
+    """
     texts = R.squeeze(docs.select("text"), distinct=True)
     rest = [c for c in wanted.columns if c != "key"]
     one = texts.join(wanted.hint("shuffle_hash"), "key").groupBy("key").agg(F.first("packed").alias("packed"), *[F.first(c).alias(c) for c in rest])
@@ -391,14 +404,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFr
 
 
 def classes(docs: DataFrame, members: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """node and component (set keys) of all sets that may have links with other sets; members: shared_shingles(docs)."""
-    some = ("n", "tkey", "tokens", "codes")
+    """node and component (set keys) of all sets that may have links with other sets; members: shared_shingles(docs).
+
+    Rows of documents, and of sets without shared tokens, are left out; of a set
+    in several chunks one row counts. No sets give no rows.
+    """
+    some = ("n", "tkey", "tokens")
     sets = cut(members.where("tokens is not null").groupBy("skey").agg(*[F.first(c).alias(c) for c in some]))
     tied = cut(signatures(sets, boundary(sets, percent), percent))
-    leaders = tied.groupBy("sig").agg(F.min(F.struct("rank", "skey"))["skey"].alias("leader"), F.count("*").alias("members")).where("members > 1")
-    stars = tied.join(leaders, "sig").where("skey <> leader").select(F.col("skey").alias("a"), F.col("leader").alias("b")).distinct()
-    groups = components(stars)
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component")
+    groups = components(ties(tied))
+    sized = groups.join(anew(groups.groupBy("component").agg(F.count("*").alias("members")), "component"), "component")
     rank = -F.octet_length("tokens") / F.col("n")
     wanted = sized.join(sets, F.col("node") == F.col("skey")).select(F.col("tkey").alias("key"), "component", "members", "skey", "n", rank.alias("rank"))
     placed = cut(full_sets(docs, wanted, size))
@@ -412,12 +427,12 @@ def classes(docs: DataFrame, members: DataFrame, size: int = SHINGLE, percent: i
         return direct
     first = F.struct("rank", "skey", F.col("n").alias("leader_n"), F.col("tokens").alias("leader_tokens"))
     leader = large.groupBy("component").agg(F.min(first).alias("l")).select("component", F.col("l.skey").alias("leader"), "l.leader_n", "l.leader_tokens")
-    split = cut(large.join(leader, "component").mapInArrow(_with_leader(percent), "component binary, skey binary, n bigint, tokens binary, leader binary, absorbed boolean"))
+    split = cut(large.join(anew(leader, "component"), "component").mapInArrow(_with_leader(percent), "component binary, skey binary, n bigint, tokens binary, leader binary, absorbed boolean"))
     at_once = split.where("absorbed").select(F.col("skey").alias("a"), F.col("leader").alias("b"))
     blocks = split.groupBy("component").agg(
         F.ceil(F.count_if(~F.col("absorbed")) / (block // 2)).alias("open_blocks"), F.ceil(F.count_if("absorbed") / (block // 2)).alias("done_blocks")
     )
-    dealt = split.join(blocks.where("open_blocks > 0"), "component")
+    dealt = split.join(anew(blocks.where("open_blocks > 0"), "component"), "component")
     mine = F.pmod(F.xxhash64("skey"), F.when(F.col("absorbed"), F.col("done_blocks")).otherwise(F.col("open_blocks")))
     dealt = dealt.withColumn("mine", mine)
     # blocks of sets that are in no class yet meet each other, and those of the class of the leader
@@ -439,7 +454,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """
     labelled = _labelled(docs, size, percent)
     least = labelled.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return labelled.join(anew(least, "class"), "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def _labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
@@ -448,7 +463,7 @@ def _labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, keye
     found = classes(docs, members, size, percent).select(F.col("node").alias("skey"), F.col("component").alias("class"))
     own = ("doc_id", "n", "tkey") if keyed else ("doc_id", "n")
     rows = members.where("has_doc").select(*own, "skey")
-    return cut(rows.join(found, "skey", "left").select(*own, F.coalesce("class", "skey").alias("class")))
+    return cut(rows.join(anew(found, "skey"), "skey", "left").select(*own, F.coalesce("class", "skey").alias("class")))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
@@ -462,7 +477,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     rows = _labelled(docs, keyed=True).where("class is not null").groupBy("class", "doc_id", "tkey").agg(F.count("*").alias("times"))
     first = F.min(F.when(F.col("doc_id").isNull(), F.col("tkey")))
     least = rows.groupBy("class").agg(F.min("doc_id").alias("least"), first.alias("first"))
-    placed = rows.join(least, "class")
+    placed = rows.join(anew(least, "class"), "class")
     stays = F.when(F.col("least").isNull(), F.col("tkey") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("least")))
     alone = F.col("doc_id").isNotNull() | (F.col("times") == 1)
     gone = cut(placed.where(~(stays & alone)).select(F.col("doc_id").alias("gone"), F.col("tkey").alias("gone_key"), stays.alias("one")))

@@ -44,5 +44,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def anew(df: DataFrame, key: str) -> DataFrame:
+    """df, with a key (string or binary) that Spark does not know to be dealt out already.
+
+    Only a join of which both sides are shuffled for it can have the rows of
+    one key split among tasks, and a third of all rows may share a key.
+    """
+    return df.withColumn(key, F.substring(key, 1, 2**31 - 1))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
+from .job import anew
 
 CHUNK_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
@@ -167,16 +168,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     sorted, and a key that many documents share can be split.
     """
     keyed = docs.withColumn("key", K.text_key(F.col("text")))
-    return keyed.join(dealt_anew(spans).hint("shuffle_hash"), "key", "left")
-
-
-def dealt_anew(spans: DataFrame) -> DataFrame:
-    """spans, with a key that Spark does not know to be dealt out already.
-
-    Only a join of which both sides are shuffled for it can have the rows of
-    one key split among tasks, and a third of all documents may share a text.
-    """
-    return spans.withColumn("key", F.substring("key", 1, 16))
+    return keyed.join(anew(spans, "key").hint("shuffle_hash"), "key", "left")
 
 
 def squeeze(docs: DataFrame, distinct: bool = False) -> DataFrame:

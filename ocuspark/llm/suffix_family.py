@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import repeats as R
 from . import textkit as K
-from .job import beside, cut, ship
+from .job import anew, beside, cut, ship
 
 LENGTH, GRAM, BATCHES = 400, 120, 3
 SAME, OPEN = 1, 2  # bits of an answer
@@ -338,7 +338,7 @@ def _removed(docs: DataFrame, length: int, gram: int, batches: int, with_bytes:
     found = matched(docs, length, gram, batches)
     texts = R.squeeze(docs)
     rest = [c for c in texts.columns if c not in ("key", "packed")]
-    joined = texts.join(R.dealt_anew(found).hint("shuffle_hash"), "key", "left")
+    joined = texts.join(anew(found, "key").hint("shuffle_hash"), "key", "left")
     added = T.StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_bytes binary" * with_bytes)
 
     def cut_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
