@@ -2,20 +2,29 @@
 
 Suffixes. Every `LENGTH`-byte string picks, of its `GRAM`-byte strings, the one
 of the smallest hash: an anchor. Equal strings pick equal anchors at equal
-places, so suffixes are indexed at anchors only, about one in 140 places. A
-suffix array is a run of anchors sorted by the fingerprint of the anchor and
-then by that of its context, all bytes of the strings that picked it: suffixes
-that share a long prefix are next to each other, as in one sorted by letters.
-
-Family. New batches of documents get suffix arrays, cut into buckets by leading
-fingerprint bits. A batch is merge-scanned against each existing level: an
-equal context is a match of the whole context, an equal anchor in another
-context is an open match. Levels of equal size merge, as in a binary counter,
-so n batches are held in log2(n) levels, each a table in the shared folder.
+places, so suffixes are indexed at anchors only, about one in 140 places. An
+anchor's context is all bytes of the strings that picked it.
+
+Arrays. A suffix array is a run of anchors in the order of their text: of their
+first eight bytes, then of the fingerprint of the whole anchor, then of that of
+the context. So suffixes that share a long prefix are next to each other, and
+what two neighbours share (lcp()) is known as a number of bytes, as a whole
+anchor, or as a whole context, which is `LENGTH` bytes or more.
+
+Family. New batches of documents get suffix arrays, dealt to buckets by
+fingerprint. A batch is merged with the existing levels in one scan: neighbours
+that share a context are a match of the whole context; neighbours that share an
+anchor only are an open match. Levels of equal size merge, as in a binary
+counter, so n batches are held in log2(n) levels, each a table in the shared
+folder.
 
 Matches. Contexts that match are removed whole. Strings of open anchors are
 compared one by one: their hashes are counted in Spark. So each string that
 starts anywhere else is found, and no other but for colliding 64-bit hashes.
+
+Frequent passages. A chunk of texts sends one entry for each anchor: where an
+anchor has several contexts in the chunk, all are open at once. So a passage
+that a third of all documents share costs its bucket one entry a chunk.
 """
 
 from __future__ import annotations
@@ -33,10 +42,11 @@ from . import repeats as R
 from . import textkit as K
 from .job import anew, beside, cut, ship
 
-LENGTH, GRAM, BATCHES = 400, 120, 3
+LENGTH, GRAM, BATCHES = 400, 120, 4
 SAME, OPEN = 1, 2  # bits of an answer
 ENTRY, NOTES, ANSWER = -1, -2, -3  # kinds of rows; a level's rows have its number
-ROWS = "bucket int, kind int, chunk bigint, hashes binary, ids binary"
+ROWS = "bucket int, kind int, chunk bigint, data binary, ids binary"
+WORD = 8  # bytes of text by which suffixes are put in order
 
 
 class Anchors:
@@ -53,6 +63,7 @@ class Anchors:
         first = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (text[1:] != text[:-1])])) if len(at) else at
         last = np.append(first[1:], len(at))[: len(first)] - 1
         self.text, self.place, self.first, self.last = text[first], picked[first], at[first], at[last]
+        self.word = leading(data, self.place)
         self.strings = K.rolling(values, length)
         self.hash = grams[self.place]
         shape = ((self.place - self.first) << 20) + (self.last - self.first)
@@ -60,8 +71,12 @@ class Anchors:
         self.per_text = np.bincount(self.text, minlength=len(offsets) - 1)
 
 
-def _both(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return K.mix(h ^ K.mix(c))
+def leading(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first WORD bytes from each place on, as numbers that are in the order of the bytes."""
+    out = np.zeros(len(place), dtype=np.uint64)
+    for k in range(WORD):
+        out = (out << K.U64(8)) | data[place + k]
+    return out
 
 
 def _encode(*columns: np.ndarray) -> bytes:
@@ -77,6 +92,51 @@ def _decode(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
+class Run:
+    """A suffix array, or several that are being merged: word, anchor and context fingerprints, flag, chunk and number of each anchor.
+
+    flag: whether the anchor has several contexts in its chunk.
+    """
+
+    KINDS = ("<u8", "<u4", "<u8", "u1")
+    COLUMNS = ("word", "anchor", "context", "flag", "chunk", "ids")
+
+    def __init__(self, *columns: np.ndarray) -> None:
+        self.word, self.anchor, self.context, self.flag, self.chunk, self.ids = columns
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    def take(self, which: np.ndarray) -> Run:
+        return Run(*[getattr(self, c)[which] for c in self.COLUMNS])
+
+    @classmethod
+    def joined(cls, runs: list[Run]) -> Run:
+        return cls(*[np.concatenate([getattr(r, c) for r in runs]) for c in cls.COLUMNS])
+
+    def order(self) -> np.ndarray:
+        """Places of the suffixes in the order of their text. Runs that lie end to end are in order, so this merges them."""
+        return np.lexsort((self.context, self.anchor, self.word))
+
+    def lcp(self, length: int, gram: int) -> np.ndarray:
+        """Bytes that each suffix of a run in order shares with the one before it, as far as is known: up to WORD, gram, or length."""
+        differ = self.word[1:] ^ self.word[:-1]
+        shared = sum((differ >> K.U64(8 * k) == 0).astype(np.int64) for k in range(WORD))
+        anchor = (shared == WORD) & (self.anchor[1:] == self.anchor[:-1])
+        context = anchor & (self.context[1:] == self.context[:-1])
+        return np.concatenate([np.zeros(min(1, len(self)), dtype=np.int64), np.where(context, length, np.where(anchor, gram, shared))])
+
+    def packed(self) -> bytes:
+        chunks, which = np.unique(self.chunk, return_inverse=True)
+        return np.int64(len(chunks)).tobytes() + chunks.astype("<i8").tobytes() + _encode(self.word, self.anchor, self.context, self.flag, which.astype("<u4"), self.ids.astype("<i4"))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Run:
+        n = int(np.frombuffer(data, dtype="<i8", count=1)[0])
+        *own, which, ids = _decode(data[8 + 8 * n :], [*cls.KINDS, "<u4", "<i4"])
+        return cls(*own, np.frombuffer(data, dtype="<i8", count=n, offset=8)[which], ids)
+
+
 class SuffixFamily:
     """Levels of suffix arrays. add() takes a batch and returns its matches with itself and with all levels.
 
@@ -84,104 +144,88 @@ class SuffixFamily:
     lineage in the shared checkpoint folder, so a lost executor loses nothing.
     """
 
-    def __init__(self, spark: SparkSession, bits: int) -> None:
-        self.spark, self.bits = spark, bits
+    def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM) -> None:
+        self.spark, self.length, self.gram = spark, length, gram
         self.levels: list[DataFrame | None] = []
+        self.merges: list[int] = []  # into which level each batch went
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """batch: rows of suffix_entries(). Returns rows of kind NOTES and ANSWER (ids, and their bits in hashes)."""
+        """batch: rows of suffix_entries(). Returns rows of kind NOTES and ANSWER (ids, and their bits in data)."""
         full = next((i for i, level in enumerate(self.levels) if level is None), len(self.levels))
         rows = batch
         for level in self.levels:
             if level is not None:
                 rows = rows.unionByName(level)
-        out = cut(rows.groupBy("bucket").applyInArrow(_adder(full), ROWS))
+        out = cut(rows.groupBy("bucket").applyInArrow(_adder(full, self.length, self.gram), ROWS))
         self.levels = [None] * full + [out.where(F.col("kind") == full)] + self.levels[full + 1 :]
+        self.merges.append(full)
         return out.where(F.col("kind") < 0)
 
 
-def _adder(merged: int):
+def scan(run: Run, level: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a merged run in order: bits to tell each anchor's chunk, and which anchors are the first of a context that is new.
+
+    level: the level of each anchor, -1 for those of the batch.
+    """
+    new = level < 0
+    shared = run.lcp(length, gram)
+    context, anchor = np.cumsum(shared < length) - 1, np.cumsum(shared < gram) - 1
+    start = np.flatnonzero(shared < length)
+    of_start = anchor[start]
+    has_new, has_old = np.bincount(context, new) > 0, np.bincount(context, ~new) > 0
+    n_anchors = int(anchor[-1]) + 1
+    # an anchor is open if it has two contexts, in all or in one chunk; what is new about it is told to those that were there
+    opened = (np.bincount(of_start, minlength=n_anchors) > 1) | (np.bincount(anchor, run.flag, n_anchors) > 0)
+    changed = (np.bincount(of_start, has_new & ~has_old, n_anchors) > 0) | (np.bincount(anchor, new & (run.flag > 0), n_anchors) > 0)
+    bits = np.where(((np.bincount(context) > 1) & has_new)[context], SAME, 0)
+    first = np.zeros(len(run), dtype=bool)
+    first[start[~has_old]] = True
+    bits |= np.where(opened[anchor] & (first | (~new & changed[anchor])), OPEN, 0)
+    return bits, first
+
+
+def _adder(merged: int, length: int, gram: int):
     """The step for one bucket; the levels below `merged` and the batch become level `merged`."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "hashes", "ids")), strict=True), key=lambda r: r[:2])
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "chunk", "data", "ids")), strict=True), key=lambda r: r[:2])
         bucket = table.column("bucket")[0].as_py()
         out = [r for r in rows if r[0] == NOTES]
-        parts, levels = [], {}
-        for kind, chunk, hashes, ids in rows:
+        runs, levels = [], []
+        for kind, chunk, data, ids in rows:
             if kind == ENTRY:
-                h, c, many = _decode(hashes, ["<u8", "<u8", "u1"])
-                parts.append((h, c, many, np.full(len(h), chunk), R.unpack_ids(ids)))
-            elif kind >= 0 and hashes:
-                n = int(np.frombuffer(hashes, dtype="<i8", count=1)[0])
-                lh, lc, which, lid = _decode(hashes[8 + 8 * n :], ["<u8", "<u8", "<u4", "<i4"])
-                levels[kind] = [lh, lc, np.frombuffer(hashes, dtype="<i8", count=n, offset=8)[which], lid]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunk, id, bits
-        new = None
-        if parts:
-            h, c, many, chunk, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((ids, chunk, c, h))  # the suffix array of the batch
-            h, c, many, chunk, ids = h[order], c[order], many[order], chunk[order], ids[order]
-            fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-            start = np.flatnonzero(fresh)
-            group = np.cumsum(fresh) - 1
-            times = np.add.reduceat(1 + many.astype(np.int64), start)
-            bits = np.where(times[group] > 1, SAME, 0)
-            oh, oc = h[start], c[start]
-            left, right = np.searchsorted(oh, oh, "left"), np.searchsorted(oh, oh, "right")
-            opened, known = right - left > 1, np.zeros(len(start), dtype=bool)
-            same = np.zeros(len(start), dtype=bool)
-            scans = []
-            for lh, lc, lchunk, lid in levels.values():
-                pair = _both(lh, lc)
-                by_pair = np.argsort(pair)
-                slot = np.minimum(np.searchsorted(pair, _both(oh, oc), sorter=by_pair), len(pair) - 1)
-                spot = by_pair[slot]
-                hit = pair[spot] == _both(oh, oc)
-                found.append((lchunk[spot[hit]], lid[spot[hit]], np.full(hit.sum(), SAME)))
-                known |= hit
-                same |= hit
-                a, b = np.searchsorted(lh, oh, "left"), np.searchsorted(lh, oh, "right")
-                opened |= b - a > hit
-                scans.append((a, b, lchunk, lid))
-            for a, b, lchunk, lid in scans:  # an anchor in a context that is new opens those of the levels
-                touched = np.unique(np.stack([a, b], axis=1)[~known & (b > a)], axis=0)
-                size = touched[:, 1] - touched[:, 0]
-                spot = np.repeat(touched[:, 0], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                found.append((lchunk[spot], lid[spot], np.full(len(spot), OPEN)))
-            bits = bits | np.where(same[group], SAME, 0)
-            bits[start] |= np.where(opened & ~known, OPEN, 0)
-            told = bits > 0
-            found.append((chunk[told], ids[told], bits[told]))
-            keep = start[~known]
-            new = [h[keep], c[keep], chunk[keep], ids[keep].astype("<i4")]
-        below = [levels[k] for k in range(merged) if k in levels] + ([new] if new is not None and len(new[0]) else [])
-        if below:
-            h, c, chunk, ids = (np.concatenate(x) for x in zip(*below, strict=True))
-            order = np.lexsort((c, h))
-            known_chunks, which = np.unique(chunk[order], return_inverse=True)
-            head = np.int64(len(known_chunks)).tobytes() + known_chunks.astype("<i8").tobytes()
-            out.append((merged, 0, head + _encode(h[order], c[order], which.astype("<u4"), ids[order].astype("<i4")), b""))
-        if found:
-            chunk, ids, bits = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((ids, chunk))
-            chunk, ids, bits = chunk[order], ids[order], bits[order]
-            first = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (ids[1:] != ids[:-1])])) if len(ids) else ids
-            bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
-            chunk, ids = chunk[first], ids[first]
+                own = _decode(data, list(Run.KINDS))
+                runs.append(Run(*own, np.full(len(own[0]), chunk), R.unpack_ids(ids)))
+            elif kind >= 0:
+                runs.append(Run.unpacked(data))
+            if kind != NOTES:
+                levels.append(np.full(len(runs[-1]), max(kind, -1)))
+        if runs:
+            every, level = Run.joined(runs), np.concatenate(levels)
+            order = every.order()
+            every, level = every.take(order), level[order]
+            bits, first = scan(every, level, length, gram)
+            kept = every.take(first | ((level >= 0) & (level < merged)))
+            if len(kept):
+                out.append((merged, 0, kept.packed(), b""))
+            told = np.flatnonzero(bits)
+            told = told[np.lexsort((every.ids[told], every.chunk[told]))]
+            chunk, ids, bits = every.chunk[told], every.ids[told], bits[told]
             edges = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(chunk)) if len(chunk) else [0]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 out.append((ANSWER, int(chunk[a]), bits[a:b].astype("u1").tobytes(), R.pack_ids(ids[a:b])))
         cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-        return pa.table(
-            {"bucket": pa.array([bucket] * len(out), pa.int32()), "kind": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int64()), "hashes": pa.array(cols[2], pa.binary()), "ids": pa.array(cols[3], pa.binary())}
-        )
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({"bucket": pa.array([bucket] * len(out), pa.int32())} | {f: pa.array(c, k) for f, c, k in zip(("kind", "chunk", "data", "ids"), cols, kinds, strict=True)})
 
     return run
 
 
-def suffix_entries(keyed: DataFrame, bits: int, chunk_bytes: int, length: int, gram: int) -> DataFrame:
-    """Rows of ROWS for all anchors of the texts (key, text), one for each chunk and bucket, and a chunk's notes."""
+def suffix_entries(keyed: DataFrame, bits_of_bucket: int, chunk_bytes: int, length: int, gram: int) -> DataFrame:
+    """Rows of ROWS for all anchors of the texts (key, text), one for each chunk and bucket, and a chunk's notes.
+
+    Notes: number, keys and numbers of anchors of the texts; what the chunk knows itself.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = R.chunk_numbers()
@@ -190,42 +234,48 @@ def suffix_entries(keyed: DataFrame, bits: int, chunk_bytes: int, length: int, g
             a = Anchors(*K.text_bytes(batch.column("text")), length, gram)
             if not len(a.hash):
                 continue
-            pair = _both(a.hash, a.context)
-            _, first, times = np.unique(pair, return_index=True, return_counts=True)
-            by_place = np.argsort(first)
-            ids, many = first[by_place], (times[by_place] > 1).astype("u1")
-            later = np.ones(len(pair), dtype=bool)
-            later[ids] = False
-            bucket = (a.hash[ids] >> K.U64(64 - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ids, many, bucket = ids[order], many[order], bucket[order]
+            order = np.lexsort((np.arange(len(a.hash)), a.context, a.hash))
+            h, c = a.hash[order], a.context[order]
+            anchor = np.concatenate([[True], h[1:] != h[:-1]])
+            context = np.concatenate([[True], (c[1:] != c[:-1])]) | anchor
+            of_context, of_anchor = np.cumsum(context) - 1, np.cumsum(anchor) - 1
+            several = np.bincount(of_anchor, context) > 1
+            # what the chunk knows by itself: repeated contexts, and all contexts of an anchor that has several
+            bits = np.where((np.bincount(of_context) > 1)[of_context], SAME, 0) | np.where(context & several[of_anchor], OPEN, 0)
+            known = np.flatnonzero(bits)
+            known = known[np.argsort(order[known])]
+            sent, flag = order[anchor], several.astype("u1")
+            bucket = (a.hash[sent] >> K.U64(64 - bits_of_bucket)).astype(np.int64)
+            by_bucket = np.lexsort((sent, bucket))
+            sent, flag, bucket = sent[by_bucket], flag[by_bucket], bucket[by_bucket]
             edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+            low = a.hash.astype("<u4")  # with the bucket's number, enough to tell anchors apart: a wrong pair is compared, no more
             rows = [
-                (int(bucket[s]), ENTRY, chunk, _encode(a.hash[ids[s:e]], a.context[ids[s:e]], many[s:e]), R.pack_ids(ids[s:e]))
+                (int(bucket[s]), ENTRY, chunk, _encode(a.word[sent[s:e]], low[sent[s:e]], a.context[sent[s:e]], flag[s:e]), R.pack_ids(sent[s:e]))
                 for s, e in zip(edges[:-1], edges[1:], strict=True)
             ]
-            notes = np.int64(batch.num_rows).tobytes() + b"".join(batch.column("key").to_pylist()) + a.per_text.astype("<i8").tobytes()
-            rows.append((R.notes_bucket(chunk), NOTES, chunk, notes, R.pack_ids(np.flatnonzero(later))))
+            notes = np.int64(batch.num_rows).tobytes() + b"".join(batch.column("key").to_pylist()) + a.per_text.astype("<i8").tobytes() + bits[known].astype("u1").tobytes()
+            rows.append((R.notes_bucket(chunk), NOTES, chunk, notes, R.pack_ids(order[known])))
             for i in range(0, len(rows), 256):
                 cols = list(zip(*rows[i : i + 256], strict=True))
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "kind", "chunk", "hashes", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "kind", "chunk", "data", "ids"])
 
     return keyed.mapInArrow(emit, ROWS)
 
 
 def _by_text(table: pa.Table) -> pa.Table:
     """A chunk's answers by text: key, and the numbers (in the text) of its matched and of its open anchors."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "hashes", "ids")), strict=True))
-    notes, later = next((h, R.unpack_ids(i)) for k, h, i in rows if k == NOTES)
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "data", "ids")), strict=True))
+    notes, known = next((d, R.unpack_ids(i)) for k, d, i in rows if k == NOTES)
     n = int(np.frombuffer(notes, dtype="<i8", count=1)[0])
     keys = [notes[8 + 16 * i : 24 + 16 * i] for i in range(n)]
-    first = np.concatenate([[0], np.cumsum(np.frombuffer(notes, dtype="<i8", offset=8 + 16 * n))])
+    first = np.concatenate([[0], np.cumsum(np.frombuffer(notes, dtype="<i8", offset=8 + 16 * n, count=n))])
     bits = np.zeros(int(first[-1]), dtype=np.uint8)
-    for k, h, i in rows:
+    bits[known] = np.frombuffer(notes, dtype=np.uint8, offset=8 + 24 * n)
+    for k, d, i in rows:
         if k == ANSWER:
-            bits[R.unpack_ids(i)] |= np.frombuffer(h, dtype=np.uint8)
-    bits[later] |= SAME
+            bits[R.unpack_ids(i)] |= np.frombuffer(d, dtype=np.uint8)
     out: dict[bytes, np.ndarray] = {}
     for i in np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(bits > 0)])[first])):
         own = bits[first[i] : first[i + 1]]
@@ -244,7 +294,7 @@ def matched(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: in
     bits, chunk_bytes = R.plan(docs)
     keyed = docs.select(K.text_key(F.col("text")).alias("key"), "text")
     entries = cut(suffix_entries(keyed, bits, chunk_bytes // 2, length, gram))
-    family = SuffixFamily(spark, bits)
+    family = SuffixFamily(spark, length, gram)
     answers = [family.add(entries.where(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b)) for b in range(batches)]
     rows = answers[0]
     for more in answers[1:]:
@@ -328,24 +378,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     is kept. A column of docs that has a new name gives way to it.
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept_sha256") + ("kept_bytes",) * with_bytes
-    without = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").alias("_text"))
-    found = beside(without, ("_text",), added, lambda d: _removed(d.withColumnRenamed("_text", "text"), length, gram, batches, with_bytes).withColumn("_text", F.lit(None)))
-    return found.drop("_text")
+    return beside(docs, ("text",), added, lambda d: _removed(d, length, gram, batches, added)).drop("text")
 
 
-def _removed(docs: DataFrame, length: int, gram: int, batches: int, with_bytes: bool) -> DataFrame:
+def _removed(docs: DataFrame, length: int, gram: int, batches: int, added: tuple[str, ...]) -> DataFrame:
     ship(docs.sparkSession)
     found = matched(docs, length, gram, batches)
-    texts = R.squeeze(docs)
-    rest = [c for c in texts.columns if c not in ("key", "packed")]
-    joined = texts.join(anew(found, "key").hint("shuffle_hash"), "key", "left")
-    added = T.StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_bytes binary" * with_bytes)
+    texts = R.squeeze(docs.select("text"), distinct=True).join(anew(found, "key").hint("shuffle_hash"), "key", "left")
+    one = texts.groupBy("key").agg(*[F.first(c).alias(c) for c in ("packed", "same", "spans")])
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept_bytes": pa.binary()}
 
     def cut_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                total, removed, runs, sha, kept = [], [], [], [], []
+                out: dict[str, list] = {c: [] for c in kinds}
                 for packed, same, spans in zip(*(batch.column(c).to_pylist() for c in ("packed", "same", "spans")), strict=True):
                     data, pairs = R.unsqueeze(packed), np.empty((0, 2), dtype=np.int64)
                     if spans is not None:
@@ -357,14 +404,13 @@ def _removed(docs: DataFrame, length: int, gram: int, batches: int, with_bytes:
                     for s, e in pairs.tolist():
                         left.append(data[end:s])
                         end = e
-                    out = b"".join([*left, data[end:]])
-                    total.append(len(data))
-                    removed.append(len(data) - len(out))
-                    runs.append(len(pairs))
-                    sha.append(hashlib.sha256(out).hexdigest())
-                    if with_bytes:
-                        kept.append(out)
-                columns = [batch.column(c) for c in rest] + [pa.array(x, pa.int64()) for x in (total, removed, runs)] + [pa.array(sha, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_bytes, names=[*rest, *added.names])
-
-    return joined.mapInArrow(cut_out, T.StructType([*[texts.schema[c] for c in rest], *added.fields]))
+                    kept = b"".join([*left, data[end:]])
+                    for c, v in zip(kinds, (len(data), len(data) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                        out[c].append(v)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(out[c], kinds[c]) for c in added]], names=["key", *added])
+
+    # once for each text; its rows, a third of all perhaps, meet the result by key
+    sql = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string", "kept_bytes": "binary"}
+    results = one.mapInArrow(cut_out, "key binary, " + ", ".join(f"{c} {sql[c]}" for c in added))
+    rows = docs.select(*[c for c in docs.columns if c != "text"], K.text_key(F.col("text")).alias("key"))
+    return rows.join(anew(results, "key").hint("shuffle_hash"), "key").withColumn("text", F.lit(None).cast("string"))
