@@ -265,7 +265,7 @@ def suffix_entries(keyed: DataFrame, bits_of_bucket: int, chunk_bytes: int, leng
 
 
 def _by_text(table: pa.Table) -> pa.Table:
-    """A chunk's answers by text: key, and the numbers (in the text) of its matched and of its open anchors."""
+    """A chunk's answers by text: key, how many texts it is of, and the numbers (in the text) of matched and of open anchors."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("kind", "data", "ids")), strict=True))
     notes, known = next((d, R.unpack_ids(i)) for k, d, i in rows if k == NOTES)
     n = int(np.frombuffer(notes, dtype="<i8", count=1)[0])
@@ -277,17 +277,22 @@ def _by_text(table: pa.Table) -> pa.Table:
         if k == ANSWER:
             bits[R.unpack_ids(i)] |= np.frombuffer(d, dtype=np.uint8)
     out: dict[bytes, np.ndarray] = {}
-    for i in np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(bits > 0)])[first])):
+    times: dict[bytes, int] = {}
+    for i in np.flatnonzero(np.diff(first)):
         own = bits[first[i] : first[i + 1]]
         out[keys[i]] = out[keys[i]] | own if keys[i] in out else own
+        times[keys[i]] = times.get(keys[i], 0) + 1
     pick = lambda own, bit: R.pack_ids(np.flatnonzero(own & bit)) if (own & bit).any() else None
-    return pa.table({"key": pa.array(list(out), pa.binary()), "same": pa.array([pick(o, SAME) for o in out.values()], pa.binary()), "open": pa.array([pick(o, OPEN) for o in out.values()], pa.binary())})
+    columns = [pa.array(list(out), pa.binary()), pa.array(list(times.values()), pa.int64())] + [pa.array([pick(o, bit) for o in out.values()], pa.binary()) for bit in (SAME, OPEN)]
+    return pa.table(dict(zip(("key", "times", "same", "open"), columns, strict=True)))
 
 
 def matched(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """key (text_key() of a text), same and spans (int32 pairs, in bytes): what is to be removed from each text.
+    """key (text_key() of a text), whole, same and spans (int32 pairs, in bytes): what is to be removed from each text.
 
-    Documents come in `batches` batches, by the number of their chunk.
+    whole: the text is there more than once, so all of it goes. Its strings are
+    counted once, for the sake of other texts. Documents come in `batches`
+    batches, by the number of their chunk.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -299,10 +304,12 @@ def matched(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: in
     rows = answers[0]
     for more in answers[1:]:
         rows = rows.unionByName(more)
-    of_texts = rows.groupBy("chunk").applyInArrow(_by_text, "key binary, same binary, open binary")
-    of_texts = cut(of_texts.groupBy("key").agg(F.first("same", ignorenulls=True).alias("same"), F.collect_set("open").alias("open")))
+    of_texts = rows.groupBy("chunk").applyInArrow(_by_text, "key binary, times bigint, same binary, open binary")
+    # a text of one row is in one chunk, and so has one answer
+    of_texts = of_texts.groupBy("key").agg((F.sum("times") > 1).alias("whole"), F.first("same").alias("same"), F.collect_set("open").alias("open"))
+    of_texts = cut(of_texts.where("whole or same is not null or size(open) > 0"))
     strings = _open_strings(docs, of_texts.where(F.size("open") > 0).select("key", "open"), bits, length, gram)
-    return of_texts.select("key", "same").join(strings, "key", "full")
+    return of_texts.select("key", "whole", "same").join(strings, "key", "left")
 
 
 def _open_strings(docs: DataFrame, opened: DataFrame, bits: int, length: int, gram: int) -> DataFrame:
@@ -385,7 +392,7 @@ def _removed(docs: DataFrame, length: int, gram: int, batches: int, added: tuple
     ship(docs.sparkSession)
     found = matched(docs, length, gram, batches)
     texts = R.squeeze(docs.select("text"), distinct=True).join(anew(found, "key").hint("shuffle_hash"), "key", "left")
-    one = texts.groupBy("key").agg(*[F.first(c).alias(c) for c in ("packed", "same", "spans")])
+    one = texts.groupBy("key").agg(*[F.first(c).alias(c) for c in ("packed", "whole", "same", "spans")])
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept_bytes": pa.binary()}
 
     def cut_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,9 +400,11 @@ def _removed(docs: DataFrame, length: int, gram: int, batches: int, added: tuple
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 out: dict[str, list] = {c: [] for c in kinds}
-                for packed, same, spans in zip(*(batch.column(c).to_pylist() for c in ("packed", "same", "spans")), strict=True):
+                for packed, all_of_it, same, spans in zip(*(batch.column(c).to_pylist() for c in ("packed", "whole", "same", "spans")), strict=True):
                     data, pairs = R.unsqueeze(packed), np.empty((0, 2), dtype=np.int64)
-                    if spans is not None:
+                    if all_of_it:
+                        pairs, same = np.array([[0, len(data)]]), None
+                    elif spans is not None:
                         pairs = np.frombuffer(spans, dtype="<i4").reshape(-1, 2).astype(np.int64)
                     if same is not None:
                         a, which = Anchors(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), length, gram), R.unpack_ids(same)

@@ -81,6 +81,7 @@ def test_batches_do_not_change_results(spark):
     for n in range(60):  # a passage in many surroundings, near copies, and copies
         at = rng.randrange(1500)
         docs.append((n, [base[at : at + 700], f"{n} " * rng.randrange(150) + base[300:800] + f" {n}" * rng.randrange(150), base[:600] + str(n) + base[601:]][n % 3]))
+    docs += [(100 + n, docs[n % 60][1]) for n in range(0, 90, 2)]  # in other chunks, beside other surroundings of the same passages
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     want = sorted(brute(docs))
     for batches in (1, 2, 5):
