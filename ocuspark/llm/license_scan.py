@@ -5,8 +5,11 @@ Texts and license templates are cut into words and hashed by rolling grams of
 for the diagonal (document place minus template place). A phrase stands
 wherever all of its grams vote for one diagonal. For whole license texts,
 diagonals that lie near each other are merged, so a few words put in or left out
-do not split a match, and the merged span is verified: the share of template
-grams that it holds must reach a threshold.
+do not split a match. A merged band is `2 * SPREAD` diagonals wide, and bands lie
+`SPREAD` apart, so any diagonals at most `SPREAD` apart are in one band, and no
+number of hits around a match widens it. A band is verified word by word: the
+longest row of template grams that stand in the text in the template's order
+must hold a share of them that reaches a threshold, and is the match.
 
 Hits are gathered by the text's key, not by row, and are distinct places: any
 number of copies of a text, a third of all rows say, adds nothing to them.
@@ -14,10 +17,10 @@ number of copies of a text, a third of all rows say, adds nothing to them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .job import cut, let
+from .job import anew, cut, let
 from .textkit import text_key
 
 GRAM = 2
@@ -35,7 +38,7 @@ TEMPLATES = {
     "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "public-domain": "This is free and unencumbered software released into the public domain",
 }
-GAP, LEAST = 4, 0.6
+SPREAD, LEAST = 8, 0.6
 
 
 def words(text: Column) -> Column:
@@ -66,25 +69,53 @@ def matches(docs: DataFrame) -> DataFrame:
     """Spans of phrases and license texts: key, label, is_phrase, first, last (words), share of the template's grams.
 
     key is text_key() of the text. A phrase's span is exact. Of a license text,
-    votes are merged over diagonals at most GAP apart.
+    votes are merged over diagonals at most SPREAD apart, so it may have that
+    many words put in or left out. Null and empty texts have no spans; equal
+    texts have one key and are one text.
     """
     templates = template_positions(docs.sparkSession)
     each = docs.select(text_key(F.col("text")).alias("key"), F.posexplode(grams(words(F.col("text")))).alias("at", "gram"))
     votes = each.join(F.broadcast(templates), "gram").select("key", "template", "label", "is_phrase", "n_grams", "place", "at").distinct()
     diagonals = cut(
         votes.groupBy("key", "template", "label", "is_phrase", "n_grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-            F.count("*").alias("n"), F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last")
+            F.count("*").alias("n"), F.collect_list("at").alias("ats"), F.min("at").alias("first"), F.max("at").alias("last")
         )
     )  # read twice below; without the cut, all texts would be scanned twice
     phrases = diagonals.where("is_phrase and n = n_grams").select("key", "label", "is_phrase", "first", (F.col("last") + GRAM - 1).alias("last"), F.lit(1.0).alias("share"))
-    near = Window.partitionBy("key", "template").orderBy("diagonal")
-    texts = diagonals.where("not is_phrase").withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(near) > GAP).cast("int"))
-    texts = texts.withColumn("band", F.sum(F.coalesce("new", F.lit(1))).over(near))
-    bands = texts.groupBy("key", "label", "is_phrase", "n_grams", "template", "band").agg(
-        F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held")
-    )
-    verified = bands.withColumn("share", F.col("held") / F.col("n_grams")).where((F.col("share") >= LEAST) & (F.col("last") - F.col("first") < 3 * (F.col("n_grams") + GRAM)))
-    return phrases.unionByName(verified.select("key", "label", "is_phrase", "first", "last", "share"))
+    band = F.floor(F.col("diagonal") / SPREAD).cast("int")
+    hits = F.transform("ats", lambda at: F.struct(at.alias("at"), (F.col("diagonal") - at).alias("minus_place")))
+    bands = (
+        diagonals.where("not is_phrase").select("key", "label", "is_phrase", "n_grams", "template", hits.alias("hits"), F.explode(F.array(band - 1, band)).alias("band"))
+        .groupBy("key", "label", "is_phrase", "n_grams", "template", "band").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    )
+    places = F.array_distinct(F.transform("hits", lambda h: h["minus_place"]))
+    verified = bands.where(F.size(places) >= LEAST * F.col("n_grams")).withColumn("match", in_order("hits", "n_grams"))
+    verified = verified.withColumn("share", F.col("match.held") / F.col("n_grams")).where(F.col("share") >= LEAST)
+    texts = verified.select("key", "label", "is_phrase", F.col("match.first").alias("first"), (F.col("match.last") + GRAM - 1).alias("last"), "share").distinct()
+    return phrases.unionByName(texts)
+
+
+def in_order(hits: str, n_grams: str) -> Column:
+    """Longest row of hits whose places in text and template both ascend: held, first and last (in the text).
+
+    hits: (at, minus_place), sorted, so that hits of one word of the text come
+    with the template's later places first and cannot follow each other. The
+    state has, for each place of the template, the best row that ends there or
+    before; of rows of one length, the one that starts last.
+    """
+    state = lambda held, first, last: F.struct(held.alias("held"), first.alias("first"), last.alias("last"))
+    none = state(F.lit(0), F.lit(0), F.lit(0))
+
+    def take(rows: Column, hit: Column) -> Column:
+        place = -hit["minus_place"]
+
+        def put(row: Column) -> Column:
+            return F.transform(rows, lambda old, i: F.when(i > place, F.greatest(old, row)).otherwise(old))
+
+        before = F.element_at(rows, place + 1)  # of places below this one
+        return let(state(before["held"] + 1, F.when(before["held"] == 0, hit["at"]).otherwise(before["first"]), hit["at"]), put)
+
+    return F.element_at(F.aggregate(hits, F.array_repeat(none, F.col(n_grams) + 1), take), -1)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -107,7 +138,7 @@ def scan(docs: DataFrame) -> DataFrame:
         )
     )
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    return rows.join(by_text, "key", "left").select(
+    return rows.join(anew(by_text, "key"), "key", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"),

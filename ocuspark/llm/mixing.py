@@ -1,16 +1,18 @@
 """Mixing sources to target weights. Native: DataFrame functions only.
 
 Each source's words are one stream, its documents in the order of a hash, and
-the stream is packed into blocks of `BLOCK` words. The mix is a row of output
-shards of about `SHARD` slots, or more slots where there would be over
-`MOST_SHARDS` shards. Each shard draws how many of its slots every
-source gets: the whole part of the expected number, and a multinomial draw for
-the slots that are left. A source's slots, counted through all shards, are
-mapped to its blocks by a pseudorandom permutation of block numbers, a new one
-each time the source has been used up. Slots and blocks are joined by number.
+the stream is packed into blocks of `BLOCK` words. Its target is a number of
+slots. The mix is a row of output shards of about `SHARD` slots. How many slots
+of each source a shard gets is a multinomial draw, given that all shards
+together meet the targets: each slot of a source draws its shard, all shards
+being equally likely. (A free draw would miss the targets of small tables.)
+A source's slots are mapped to its blocks by a pseudorandom permutation of
+block numbers, a new one each time the source has been used up. Slots and
+blocks are joined by number.
 
 No step collects a source: positions in a stream come from sums over `SPREAD`
-hash buckets of each source and a running sum inside a bucket.
+hash buckets of each source and a running sum inside a bucket, and slots are
+made from ranges of `RANGE`, which are dealt out first.
 """
 
 from __future__ import annotations
@@ -20,8 +22,7 @@ from pyspark.sql import functions as F
 
 from .job import cut, shuffle_partitions
 
-BLOCK, SHARD, SPREAD, MAX_EPOCHS, SEED = 32, 1024, 1024, 3, 20
-MOST_SHARDS = 100_000
+BLOCK, SHARD, SPREAD, RANGE, MAX_EPOCHS, SEED = 32, 1024, 1024, 4096, 3, 20
 
 # Primes, the multipliers of the permutations; one that does not divide the number of blocks is taken.
 PRIMES = (1000000007, 1000000009, 1000000021, 1000000033, 1000000087, 1000000093, 1000000097, 1000000103)
@@ -85,58 +86,29 @@ def streams(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, sources
 
 
-def _uniform(*parts: Column) -> Column:
-    """In [0, 1), from a hash of the parts."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """One row for each slot of the mix: shard, number, slot (of the source), block.
 
-
-def draw(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """Number of slots of each source in each shard: shard, number, n_blocks, first_slot, slots."""
+    Sources of no words have no slots. A source is used MAX_EPOCHS times at most.
+    """
+    whole = lambda c: F.round(c).cast("long")
     config = (
         sources.where("source_size > 0")
-        .select("number", "total", F.ceil(F.col("source_size") / block).cast("long").alias("n_blocks"), (F.col("target") / F.col("total")).alias("share"))
-        .withColumn("all_slots", F.greatest(F.round(F.col("total") / block), F.lit(1.0)).cast("long"))
-        .withColumn("shards", F.least(F.greatest(F.round(F.col("all_slots") / shard), F.lit(1.0)), F.lit(float(MOST_SHARDS))).cast("long"))
+        .withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
+        .withColumn("slots", F.least(whole(F.col("target") / block), MAX_EPOCHS * F.col("n_blocks")))
+        .withColumn("shards", F.greatest(whole(F.col("total") / (block * shard)), F.lit(1)))
+        .where("slots > 0")
+        .select("number", "n_blocks", "slots", "shards")
     )
-    each = config.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    edge = lambda k: F.expr(f"cast(floor(({k}) * all_slots / shards) as bigint)")
-    each = each.withColumn("room", edge("shard + 1") - edge("shard")).withColumn("expected", F.col("share") * F.col("room"))
-    each = each.withColumn("whole", F.floor(F.col("expected") + 1e-9).cast("long")).withColumn("part", F.greatest(F.col("expected") - F.col("whole"), F.lit(0.0)))
-    # the slots that are left in a shard are drawn, each by itself, from the parts that are left
-    left = each.groupBy("shard").agg(
-        (F.first("room") - F.sum("whole")).alias("left"), F.sum("part").alias("parts"),
-        F.array_sort(F.collect_list(F.struct("number", "part"))).alias("of"),
-    )
-    pick = left.where("left > 0").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))))
-    pick = pick.withColumn("at", _uniform(F.lit(SEED), "shard", "draw") * F.col("parts"))
-    chosen = F.aggregate(
-        "of",
-        F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("number")),
-        lambda a, x: F.struct(
-            (a["sum"] + x["part"]).alias("sum"),
-            F.when((a["number"] < 0) & (F.col("at") < a["sum"] + x["part"]), x["number"]).otherwise(a["number"]).alias("number"),
-        ),
-    )["number"]
-    last = F.element_at(F.col("of"), -1)["number"]
-    drawn = pick.select("shard", F.when(chosen >= 0, chosen).otherwise(last).alias("number")).groupBy("shard", "number").agg(F.count("*").alias("extra"))
-    counts = each.join(drawn, ["shard", "number"], "left").withColumn("slots", F.col("whole") + F.coalesce("extra", F.lit(0)))
-    before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first_slot", F.coalesce(F.sum("slots").over(before), F.lit(0))).select("shard", "number", "n_blocks", "first_slot", "slots")
-
-
-def slots(counts: DataFrame) -> DataFrame:
-    """One row for each slot of the mix: shard, number, slot, block. Slots after MAX_EPOCHS uses of a source stay empty.
-
-    Counts are few and slots many, so counts are dealt out by shard first.
-    """
-    dealt = counts.where("slots > 0").repartition(shuffle_partitions(counts.sparkSession), "shard", "number")
-    each = dealt.withColumn("slot", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("slots") - 1)))
-    each = each.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")).cast("long")).where(F.col("epoch") < MAX_EPOCHS)
+    ranges = config.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(RANGE).cast("long"))))
+    dealt = ranges.repartition(shuffle_partitions(sources.sparkSession), "number", "first")
+    each = dealt.withColumn("slot", F.explode(F.sequence(F.col("first"), F.least(F.col("slots"), F.col("first") + RANGE) - 1)))
+    each = each.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")).cast("long"))
     factor = F.coalesce(*[F.when(F.col("n_blocks") % p != 0, F.lit(p)) for p in PRIMES], F.lit(1))
     shift = F.pmod(F.xxhash64(F.lit(SEED), "number", "epoch"), F.col("n_blocks"))
     wide = lambda c: c.cast("decimal(19,0)")
-    block = ((wide(F.col("slot") % F.col("n_blocks")) * wide(factor % F.col("n_blocks")) + wide(shift)) % wide(F.col("n_blocks"))).cast("long")
-    return each.select("shard", "number", "slot", block.alias("block"))
+    place = ((wide(F.col("slot") % F.col("n_blocks")) * wide(factor % F.col("n_blocks")) + wide(shift)) % wide(F.col("n_blocks"))).cast("long")
+    return each.select(F.pmod(F.xxhash64(F.lit(SEED), "number", "slot"), F.col("shards")).alias("shard"), "number", "slot", place.alias("block"))
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -156,7 +128,7 @@ def taken(docs: DataFrame) -> DataFrame:
     table without words gives targets and taken of 0. Other columns are not read.
     """
     rows, sources = streams(docs)
-    times = slots(draw(sources)).groupBy("number", "block").agg(F.count("*").alias("times"))
+    times = slots(sources).groupBy("number", "block").agg(F.count("*").alias("times"))
     joined = pieces(rows).join(times, ["number", "block"], "left")
     of_row = joined.groupBy("number", "bucket", "nth", "doc_id", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("overlap") * F.col("times")), F.lit(0)).cast("long").alias("taken")
@@ -169,4 +141,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows, sources = streams(docs)
     start = F.greatest(F.col("block") * BLOCK - F.col("first_word"), F.lit(0))
     parts = pieces(rows).where("block is not null").select("number", "block", "first_word", "doc_id", start.alias("from_word"), F.col("overlap").alias("n_words"))
-    return slots(draw(sources)).join(parts, ["number", "block"]).drop("block")
+    return slots(sources).join(parts, ["number", "block"]).drop("block")

@@ -22,7 +22,25 @@ def base(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def added(text):
+    """Labels and score, by trying every band of diagonals of every template."""
+    w, out = words(text), {label: 1.0 for label in base(text)[4].split(",") if label}
+    for label, template in L.TEMPLATES.items():
+        t = words(template)
+        votes = sorted((at, -p) for at in range(len(w) - 1) for p in range(len(t) - 1) if w[at : at + 2] == t[p : p + 2])
+        for low in {(at + p) // L.SPREAD * L.SPREAD - k * L.SPREAD for at, p in votes for k in (0, 1)}:
+            own = [(at, -p) for at, p in votes if low <= at + p < low + 2 * L.SPREAD]
+            best = []
+            for i, (at, p) in enumerate(own):  # longest row that ascends in text and template
+                best.append(1 + max((best[j] for j in range(i) if own[j][0] < at and own[j][1] < p), default=0))
+            share = max(best, default=0) / (len(t) - 1)
+            if share >= L.LEAST:
+                out[label] = max(out.get(label, 0), share)
+    return ",".join(sorted(out)), max(out.values(), default=0.0)
+
+
 def check(r, text):
+    assert (r.labels, round(r.score, 9)) == (added(text)[0], round(added(text)[1], 9))
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(text)
     assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
     assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
@@ -39,6 +57,9 @@ def test_edges_and_whole_license_texts(spark):
     mit = L.TEMPLATES["mit"]
     edited = mit.replace("free of charge", "entirely free of any charge").replace("documentation", "docs")
     texts = [None, "", "CC-BY", "cc cc by by", "General  public\nLICENSE general public license", "all rights\x00reserved All Rights Reserved", "x " * 5000 + mit, edited, mit[:60], "by cc", "É CC BY é", "cc by " * 3000, "the end of all rights"]
+    apache, bsd = L.TEMPLATES["apache"], L.TEMPLATES["bsd"]
+    texts += ["licensed under " * 40 + apache, "licensed under x " * 30 + apache, apache + " licensed under the apache" * 50]  # 13, 14, 15
+    texts += [" ".join(reversed(words(apache))), " ".join(words(apache)[10:] + words(apache)[:10]), " word ".join(words(bsd)), bsd[:60] + " a b c d e f" + bsd[60:], (mit + " ") * 3]  # 16 to 20
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)] * 2 + [(None, "cc by", "x", 3)], "doc_id long, text string, label string, key int")
     found = L.scan(df).collect()
     assert len(found) == 2 * len(texts) + 1
@@ -46,4 +67,7 @@ def test_edges_and_whole_license_texts(spark):
         check(r, "cc by" if r.doc_id is None else texts[r.doc_id])
     got = {r.doc_id: r for r in found}
     assert got[6].labels == "mit" and got[6].score == 1 and got[7].labels == "mit" and 0.6 <= got[7].score < 1 and got[8].labels == ""
+    assert all(got[i].labels == "apache" and got[i].score == 1 for i in (13, 14, 15)) and not got[16].labels
+    spans = [r for r in L.matches(df.where("doc_id in (13, 20)")).collect() if r.share == 1]
+    assert sorted((r.label, r.first, r.last) for r in spans) == sorted([("apache", 80, 79 + len(words(apache)))] + [("mit", i * len(words(mit)), (i + 1) * len(words(mit)) - 1) for i in range(3)])
     assert L.scan(df.limit(0)).collect() == []
