@@ -6,8 +6,10 @@ passages (w . (tanh(V h) * sigmoid(U h)), softmax within the document), and the
 weighted sum of passage vectors is scored. Only document labels are known;
 encoder, attention and score are learned together by gradient descent.
 
-Bounds: the model is fitted on at most `fit_rows` labelled rows of the training
-folds, chosen by a hash of doc_id; scoring covers every passage of every text.
+Bounds: the model is fitted on at most `fit_rows` labelled documents of the
+training folds, in the order of a hash of doc_id, and on at most `FIT_PASSAGES`
+passages in all: a document of which the passages would be too many is left out
+of the fit. Scoring covers every passage of every text.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +26,7 @@ from . import textkit as K
 from .job import beside, ship
 from .quality_rules import _LEADS, _PUNCT, _SYMBOL, _UPPER, _within
 
-PASSAGE, SIGNS, HIDDEN, STEPS, FIT_ROWS, SEED = 64, 16, 16, 300, 4000, 11
+PASSAGE, SIGNS, HIDDEN, STEPS, FIT_ROWS, FIT_PASSAGES, SEED = 64, 16, 16, 300, 4000, 200_000, 11
 N_FEATURES = 11 + SIGNS
 
 _DIGIT = K._table([(0x30, 0x39)])
@@ -106,24 +108,28 @@ class GatedAttention:
         """Attention weight of each passage; those of a bag add up to 1."""
         return self._forward(x.astype(np.float64), per_doc)["a"][:, 0]
 
+    def gradient(self, x: np.ndarray, per_doc: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of the bags' scores against y, by each parameter."""
+        p, f = self.p, self._forward(x, per_doc)
+        h, t, g, a, bag = f["h"], f["t"], f["g"], f["a"], f["bag"]
+        d_logit = ((f["s"] - y) / len(y))[:, None]
+        d_z = d_logit @ p["c"].T
+        d_a = (d_z[bag] * h).sum(axis=1, keepdims=True)
+        d_e = a * (d_a - np.add.reduceat(a * d_a, f["first"], axis=0)[bag])
+        d_tg = d_e @ p["w"].T
+        d_t, d_g = d_tg * g * (1 - t * t), d_tg * t * g * (1 - g)
+        d_h = a * d_z[bag] + d_t @ p["V"].T + d_g @ p["U"].T
+        xs = (x - self.mean) / self.scale
+        return {"W": xs.T @ (d_h * (1 - h * h)), "V": h.T @ d_t, "U": h.T @ d_g, "w": (t * g).T @ d_e, "c": f["z"].T @ d_logit, "b": d_logit.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, per_doc: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.02, decay: float = 1e-3) -> GatedAttention:
         x = x.astype(np.float64)
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
         self.mean[0] = 0
         self.scale[0] = 1
         p, m, v = self.p, {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
-        xs = (x - self.mean) / self.scale
         for step in range(1, steps + 1):
-            f = self._forward(x, per_doc)
-            h, t, g, a, bag = f["h"], f["t"], f["g"], f["a"], f["bag"]
-            d_logit = ((f["s"] - y) / len(y))[:, None]
-            d_z = d_logit @ p["c"].T
-            d_a = (d_z[bag] * h).sum(axis=1, keepdims=True)
-            d_e = a * (d_a - np.add.reduceat(a * d_a, f["first"], axis=0)[bag])
-            d_tg = d_e @ p["w"].T
-            d_t, d_g = d_tg * g * (1 - t * t), d_tg * t * g * (1 - g)
-            d_h = a * d_z[bag] + d_t @ p["V"].T + d_g @ p["U"].T
-            grad = {"W": xs.T @ (d_h * (1 - h * h)), "V": h.T @ d_t, "U": h.T @ d_g, "w": (t * g).T @ d_e, "c": f["z"].T @ d_logit, "b": d_logit.sum(keepdims=True)}
+            grad = self.gradient(x, per_doc, y)
             for k in p:
                 q = grad[k] + (decay * p[k] if k != "b" else 0)
                 m[k], v[k] = 0.9 * m[k] + 0.1 * q, 0.999 * v[k] + 0.001 * q * q
@@ -136,8 +142,12 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> GatedAttention:
-    """A model from labelled rows of the training folds; with no such rows, or labels of one kind, it is left at its start."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_passages: int = FIT_PASSAGES) -> GatedAttention:
+    """A model from labelled rows of the training folds; with no such rows, or labels of one kind, it is left at its start.
+
+    Of rows that share a doc_id one counts, whatever their number; of its labels
+    the highest. Null and empty texts are one empty passage.
+    """
     spark = docs.sparkSession
     ship(spark)
     chosen = (
@@ -156,7 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> GatedAt
                 rows = [x[e - n : e].tobytes() for e, n in zip(ends, per_doc, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, type=pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = sorted((r.doc_id, r.quality, bytes(r.x)) for r in texts.mapInArrow(encode, "doc_id bigint, quality int, x binary").collect())
+    # one row an id, fit_rows at most, so that their running sum is one small task
+    each = texts.mapInArrow(encode, "doc_id bigint, quality int, x binary").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("one")).select("doc_id", "one.*")
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.octet_length("x") / F.lit(4 * N_FEATURES)).over(so_far)
+    got = sorted((r.doc_id, r.quality, bytes(r.x)) for r in each.withColumn("total", total).where(F.col("total") <= fit_passages).collect())
     model = GatedAttention()
     y = np.array([q for _, q, _ in got], dtype=np.float64)
     if len(np.unique(y)) < 2:

@@ -103,23 +103,27 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     ship(docs.sparkSession)
     bits, chunk_bytes = R.plan(docs)
 
+    def sets(batch: pa.RecordBatch) -> tuple:
+        """Of each text: size, key and counted shingles of its set; doc_id and text key."""
+        counts, hashes = shingle_sets(batch.column("text"), size)
+        rank = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+        few = rank < np.repeat(counted(counts, percent), counts)
+        return counts, hashes[few], _keys(counts, hashes), batch.column("doc_id"), batch.column("key").to_pylist()
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = R.chunk_numbers()
-        for batch in K.gathered(batches, limit=chunk_bytes):
-            chunk = next(numbers)
-            counts, hashes = shingle_sets(batch.column("text"), size)
-            keys = _keys(counts, hashes)
+        for chunk, slices in R.chunks(batches, chunk_bytes, sets):
+            counts, hashes, keys, ids_of, text_keys = zip(*slices, strict=True)
+            counts, hashes, ids_of = np.concatenate(counts), np.concatenate(hashes), pa.concat_arrays(ids_of)
+            keys, text_keys = ([k for part in x for k in part] for x in (keys, text_keys))
             place: dict[bytes, int] = {}
             of_doc = np.array([-1 if k is None else place.setdefault(k, len(place)) for k in keys], dtype="<i4")
             chosen = np.unique(of_doc[of_doc >= 0], return_index=True)[1] if len(place) else np.empty(0, dtype=np.int64)
             chosen = np.flatnonzero(of_doc >= 0)[chosen]
-            starts = np.concatenate([[0], np.cumsum(counts)])
+            few = counted(counts, percent)
+            starts = np.concatenate([[0], np.cumsum(few)])
             mine = np.concatenate([hashes[starts[i] : starts[i + 1]] for i in chosen]) if len(chosen) else np.empty(0, dtype=np.uint64)
             sizes = counts[chosen]
-            owner = np.repeat(np.arange(len(chosen)), sizes)
-            rank = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            few = rank < counted(sizes, percent)[owner]
-            mine, owner = mine[few], owner[few]
+            owner = np.repeat(np.arange(len(chosen)), few[chosen])
             order = np.argsort(mine, kind="stable")
             new = np.ones(len(mine), dtype=bool)
             new[1:] = mine[order][1:] != mine[order][:-1]
@@ -138,7 +142,6 @@ def shared_shingles(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                 more = np.flatnonzero(many[s:e] > 1)
                 head = np.int32(len(more)).tobytes() + more.astype("<i4").tobytes() + many[s:e][more].astype("<i4").tobytes()
                 rows.append((int(bucket[s]), chunk, head + R.pack(np.ascontiguousarray(mine[ids[s:e]])), R.pack_ids(ids[s:e])))
-            ids_of, text_keys = batch.column("doc_id"), batch.column("key").to_pylist()
             notes = b"".join(
                 [
                     np.array([len(keys), len(chosen), len(again)], dtype="<i8").tobytes(),

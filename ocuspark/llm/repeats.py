@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,11 @@ from pyspark.sql import types as T
 from . import textkit as K
 from .job import anew
 
+#: Text that is worked on at once, at all sizes; a chunk holds the hashes of one such slice or more.
 CHUNK_BYTES = 1 << 21
 BUCKET_BYTES = 1 << 23
-MOST_BYTES = 1 << 28
+#: Most text that a chunk's hashes, or a bucket's, come from: about 10 million word windows, under 1 GB in a worker.
+MOST_BYTES = 1 << 26
 #: Text bytes of a chunk times those of a bucket, over the text's: about 6 times the windows in a packed value.
 SPREAD = 400
 LEAST_BUCKETS = 512
@@ -39,8 +42,10 @@ U8 = np.uint8
 def plan(docs: DataFrame) -> tuple[int, int]:
     """log2 of the number of buckets, and text bytes of a chunk, for texts of this size.
 
-    Chunks and buckets grow with the square root of the text: a value that a
-    chunk packs for a bucket then keeps its length, however large the text is.
+    Chunks and buckets grow with the square root of the text, up to MOST_BYTES: a
+    value that a chunk packs for a bucket then keeps its length up to about 10
+    TB of text. Beyond that values get shorter, at 100 TB to some 5 windows; what
+    a worker holds does not grow.
     """
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     side = min(MOST_BYTES, int(np.sqrt(SPREAD * size)))
@@ -70,6 +75,21 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, dtype=f"<u{data[0]}", offset=1), dtype=np.int64)
 
 
+def chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int, work: Callable[[pa.RecordBatch], object]) -> Iterator[tuple[int, list]]:
+    """Number of each chunk, and what work() gives for each of its slices of texts. Texts are let go slice by slice."""
+    numbers = chunk_numbers()
+    held, size = [], 0
+    for batch in K.gathered(batches, limit=min(CHUNK_BYTES, chunk_bytes)):
+        own = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and size + own > chunk_bytes + chunk_bytes // 8:
+            yield next(numbers), held
+            held, size = [], 0
+        held.append(work(batch))
+        size += own
+    if held:
+        yield next(numbers), held
+
+
 def chunk_numbers() -> Iterator[int]:
     part = TaskContext.get().partitionId()
     n = 0

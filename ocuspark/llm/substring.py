@@ -32,19 +32,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ship(docs.sparkSession)
     bits, chunk_bytes = R.plan(docs)
 
+    def windows(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        words = K.Words(*K.text_bytes(batch.column("text")), K.SPACED, fold=False)
+        at, hashes = words.windows(window)
+        return batch.column("key").to_pylist(), np.bincount(words.doc[at], minlength=batch.num_rows).astype("<i8"), hashes
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = R.chunk_numbers()
-        for batch in K.gathered(batches, limit=chunk_bytes):
-            chunk = next(numbers)
-            words = K.Words(*K.text_bytes(batch.column("text")), K.SPACED, fold=False)
-            at, hashes = words.windows(window)
-            if not len(at):
+        for chunk, slices in R.chunks(batches, chunk_bytes, windows):
+            keys, per_doc, hashes = zip(*slices, strict=True)
+            hashes = np.concatenate(hashes)
+            if not len(hashes):
                 continue
             rows, known = R.entries(chunk, hashes, bits)
             # notes: a key and a number of windows for each text, then the windows already known
-            per_doc = np.bincount(words.doc[at], minlength=batch.num_rows).astype("<i8")
-            keys = batch.column("key").to_pylist()
-            notes = np.int64(batch.num_rows).tobytes() + b"".join(keys) + per_doc.tobytes()
+            notes = np.int64(sum(map(len, keys))).tobytes() + b"".join(k for part in keys for k in part) + np.concatenate(per_doc).tobytes()
             rows.append((R.notes_bucket(chunk), chunk, notes, R.pack_ids(np.flatnonzero(known))))
             for i in range(0, len(rows), 256):
                 yield R.entry_batch(rows[i : i + 256])

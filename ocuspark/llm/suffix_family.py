@@ -227,15 +227,18 @@ def suffix_entries(keyed: DataFrame, bits_of_bucket: int, chunk_bytes: int, leng
     Notes: number, keys and numbers of anchors of the texts; what the chunk knows itself.
     """
 
+    def anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        a = Anchors(*K.text_bytes(batch.column("text")), length, gram)
+        return a.word, a.hash, a.context, a.per_text, batch.column("key").to_pylist()
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = R.chunk_numbers()
-        for batch in K.gathered(batches, limit=chunk_bytes):
-            chunk = next(numbers)
-            a = Anchors(*K.text_bytes(batch.column("text")), length, gram)
-            if not len(a.hash):
+        for chunk, slices in R.chunks(batches, chunk_bytes, anchors):
+            *own, keys = zip(*slices, strict=True)
+            word, hashes, contexts, per_text = (np.concatenate(x) for x in own)
+            if not len(hashes):
                 continue
-            order = np.lexsort((np.arange(len(a.hash)), a.context, a.hash))
-            h, c = a.hash[order], a.context[order]
+            order = np.lexsort((np.arange(len(hashes)), contexts, hashes))
+            h, c = hashes[order], contexts[order]
             anchor = np.concatenate([[True], h[1:] != h[:-1]])
             context = np.concatenate([[True], (c[1:] != c[:-1])]) | anchor
             of_context, of_anchor = np.cumsum(context) - 1, np.cumsum(anchor) - 1
@@ -245,16 +248,16 @@ def suffix_entries(keyed: DataFrame, bits_of_bucket: int, chunk_bytes: int, leng
             known = np.flatnonzero(bits)
             known = known[np.argsort(order[known])]
             sent, flag = order[anchor], several.astype("u1")
-            bucket = (a.hash[sent] >> K.U64(64 - bits_of_bucket)).astype(np.int64)
+            bucket = (hashes[sent] >> K.U64(64 - bits_of_bucket)).astype(np.int64)
             by_bucket = np.lexsort((sent, bucket))
             sent, flag, bucket = sent[by_bucket], flag[by_bucket], bucket[by_bucket]
             edges = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-            low = a.hash.astype("<u4")  # with the bucket's number, enough to tell anchors apart: a wrong pair is compared, no more
+            low = hashes.astype("<u4")  # with the bucket's number, enough to tell anchors apart: a wrong pair is compared, no more
             rows = [
-                (int(bucket[s]), ENTRY, chunk, _encode(a.word[sent[s:e]], low[sent[s:e]], a.context[sent[s:e]], flag[s:e]), R.pack_ids(sent[s:e]))
+                (int(bucket[s]), ENTRY, chunk, _encode(word[sent[s:e]], low[sent[s:e]], contexts[sent[s:e]], flag[s:e]), R.pack_ids(sent[s:e]))
                 for s, e in zip(edges[:-1], edges[1:], strict=True)
             ]
-            notes = np.int64(batch.num_rows).tobytes() + b"".join(batch.column("key").to_pylist()) + a.per_text.astype("<i8").tobytes() + bits[known].astype("u1").tobytes()
+            notes = np.int64(len(per_text)).tobytes() + b"".join(k for part in keys for k in part) + per_text.astype("<i8").tobytes() + bits[known].astype("u1").tobytes()
             rows.append((R.notes_bucket(chunk), NOTES, chunk, notes, R.pack_ids(order[known])))
             for i in range(0, len(rows), 256):
                 cols = list(zip(*rows[i : i + 256], strict=True))

@@ -1,11 +1,12 @@
 """Extra columns whose names the operators use themselves."""
 
+import corpus_pipeline
 import pytest
 from ocuspark.llm import attention_mil, chat, decontaminate, jaccard, license_scan, mixing, quality_rules, secret_scan, substring, suffix_family
 
 NAMES = (
     "key spans n_words n_hit hit_spans item_ids contaminated kept base extra anomaly score n_passages chunk bucket hashes ids notes skey tokens packed same open gone class least "
-    "number block first_word size target taken order nth ahead s b label quality n at gram place template n_chars source base_failed _own0 N_Removed"
+    "number block first_word size target taken order nth ahead s b label quality n at gram place template n_chars source base_failed _own0 N_Removed _text a.b whole times component leaders"
 ).split()
 
 
@@ -50,5 +51,16 @@ def test_filters_keep_all_columns(spark, docs):
 
 def test_reports_do_not_see_them(spark, docs):
     assert mixing.taken(docs).count() == license_scan.scan(docs).count() == jaccard.near_duplicates(docs).count() == 4
-    turns = docs.selectExpr("doc_id conv_id", "1L turn", "'user' role", *[c for c in docs.columns if c not in ("doc_id",)])
+    turns = docs.selectExpr("doc_id conv_id", "1L turn", "'user' role", *[f"`{c}`" for c in docs.columns if c not in ("doc_id",)])
     assert chat.digests(chat.read_back(chat.render(chat.fold(chat.turn_events(turns))))).count() == 4
+
+
+def test_stages_of_the_pipeline(spark, docs):
+    odd = docs.selectExpr("doc_id", "text", "'en' lang", *[f"`{c}`" for c in NAMES if c != "n_chars"], "cast(length(text) as bigint) n_chars")
+    kept = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "/root/testdata/sf0.001")
+        assert kept.columns == odd.columns, name
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert rows.keys() == {0} and all(rows[0][c] == f"{c}0" for c in NAMES if c not in ("n_chars",))
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, "/root/testdata/sf0.001").count() == 1

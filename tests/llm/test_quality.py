@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from ocuspark.llm import attention_mil as A
 from ocuspark.llm import quality_rules as Q
 from ocuspark.llm.queries import op3_quality_rules, op5_quality_classifier
@@ -48,6 +49,51 @@ def test_forest_rejects_junk_and_keeps_good_rows(spark):
     assert np.mean(good) >= 0.998 and np.mean(junk) <= 0.05
 
 
+def test_anomaly_and_verdict_equal_plain_walks_through_the_trees(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    forest, text = Q.fit_forest(docs, labels), {r.doc_id: r.text for r in docs.collect()}
+
+    def plain(t):
+        w, ch = re.findall(r"[^\x20\x09-\x0D]+", t or ""), 0
+        ch = max(sum(map(len, w)), 1)
+        n = max(len(w), 1)
+        count = lambda kind: len(re.findall(kind, t or ""))
+        x = [sum(map(len, w)) / n if w else 0, min(count(r"[#*$%&|<>]") / n, 3), count("[A-Z]") / ch, count(r"[!-/:-@\[-`{-~]") / ch, min(count("!") / n, 3)]
+        depth = 0.0
+        for feature, split, length in zip(forest.feature, forest.split, forest.length, strict=True):
+            node = 0
+            while feature[node] >= 0:
+                node = 2 * node + 1 + (x[feature[node]] ** 0.5 > split[node])
+            depth += length[node]
+        return 2 ** (-depth / len(forest.feature) / forest.norm)
+
+    got = {r.doc_id: r for r in op3_quality_rules(spark, MEDIUM).collect()}
+    score = {d: plain(t) for d, t in text.items()}
+    assert all(abs(r.anomaly - score[d]) < 1e-12 for d, r in got.items())
+    known = [(score[r.doc_id], r.quality == 1) for r in labels.collect() if r.doc_id in got and not got[r.doc_id].base_failed]
+    limit = Q.calibrate(np.array([s for s, _ in known]), np.array([g for _, g in known]), Q.CLEAN_LOSS)
+    assert abs(limit - forest.threshold) < 1e-12
+    assert all(r.kept == (not base(text[d])[5] and score[d] <= limit) for d, r in got.items())
+
+
+def test_threshold_holds_on_labels_that_it_has_not_seen(spark):
+    """Five folds: forest and threshold from four, judged on the fifth."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if r.doc_id in labels]
+    c = Q.counts(pa.array([r.text for r in rows]))
+    passed = np.flatnonzero(~Q.base_failed(c))
+    x, good = Q.statistics(c)[passed], np.array([labels[rows[i].doc_id] == 1 for i in passed])
+    fold = np.array([zlib.crc32(str(rows[i].doc_id).encode()) % 5 for i in passed])
+    gone = np.zeros(len(x), dtype=bool)
+    for k in range(5):
+        forest = Q.Forest.fit(x[fold != k])
+        limit = Q.calibrate(forest.score(x[fold != k]), good[fold != k], Q.CLEAN_LOSS)
+        gone[fold == k] = forest.score(x[fold == k]) > limit
+    assert gone[~good].mean() >= 0.95 and gone[good].mean() <= 0.002
+
+
 def test_threshold():
     scores, good = np.array([0.1, 0.2, 0.3, 0.7, 0.8, 0.9]), np.array([True, True, True, False, False, False])
     assert Q.calibrate(scores, good, 0.0) == 0.5
@@ -110,6 +156,10 @@ def test_classifier_edges(spark):
     assert next(r for r in got if r.doc_id is None).h
     assert A.score(df.limit(0), model).collect() == []
     assert A.fit(df, df.limit(0)).p.keys() == model.p.keys()
+    more = df.union(df.where("doc_id in (3, 4)")).union(df.where("doc_id = 3"))  # rows that repeat an id add nothing to a fit
+    labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    assert all((A.fit(more, labels).p[k] == A.fit(df, labels).p[k]).all() for k in model.p)
+    assert (A.fit(df, labels, fit_passages=1).p["c"] == A.GatedAttention().p["c"]).all()
 
 
 def test_gradient_and_attention():
@@ -120,6 +170,23 @@ def test_gradient_and_attention():
     w = model.weights(x, per_doc)
     assert np.allclose(np.add.reduceat(w, [0, 3, 4, 8]), 1)
     y = np.array([1.0, 0, 1, 0])
+    # a plain forward pass, passage by passage
+    p, at = model.p, 0
+    for n, score in zip(per_doc, model.score(x, per_doc), strict=True):
+        h = [np.tanh(v @ p["W"]) for v in x[at : at + n]]
+        e = [np.exp(((np.tanh(k @ p["V"]) / (1 + np.exp(-k @ p["U"]))) @ p["w"])[0]) for k in h]
+        z = sum(a / sum(e) * k for a, k in zip(e, h, strict=True))
+        assert np.isclose(score, 1 / (1 + np.exp(-(z @ p["c"])[0] - p["b"][0, 0])))
+        at += n
+    cost = lambda: -np.mean(y * np.log(s := model.score(x, per_doc)) + (1 - y) * np.log(1 - s))
+    for name, g in model.gradient(x, per_doc, y).items():
+        for i in list(np.ndindex(g.shape))[:40]:
+            old, sides = p[name][i], []
+            for step in (1e-5, -1e-5):
+                p[name][i] = old + step
+                sides.append(cost())
+            p[name][i] = old
+            assert np.isclose(g[i], (sides[0] - sides[1]) / 2e-5, rtol=1e-4, atol=1e-8), name
     loss = lambda m: -np.mean(y * np.log(s := m.score(x, per_doc)) + (1 - y) * np.log(1 - s))
     start = loss(model)
     assert loss(model.fit(x, per_doc, y, steps=60)) < start / 2

@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import numpy as np
@@ -83,3 +84,35 @@ def test_gathered_batches_keep_all_rows_in_order():
     assert [n for b in got for n in b.column("n").to_pylist()] == list(range(len(texts)))
     assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column("text").to_pylist()) <= 60 for b in got)
     assert list(K.gathered(iter([]), limit=9)) == []
+
+
+def test_chunks_hold_slices_of_one_size_whatever_their_own(monkeypatch):
+    monkeypatch.setattr(R, "chunk_numbers", itertools.count)
+    texts = pa.array(["x" * 700_000] * 40 + ["y" * 9_000_000, None, ""])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    for chunk_bytes in (1 << 20, 1 << 21, 1 << 23, 1 << 26):
+        seen = []
+        numbers = []
+        for n, slices in R.chunks(iter([batch]), chunk_bytes, lambda b: [len(t.as_py() or "") for t in b.column("text")]):
+            numbers.append(n)
+            seen += slices
+        assert [x for part in seen for x in part] == [len(t.as_py() or "") for t in texts]
+        assert all(sum(part) <= R.CHUNK_BYTES or len([x for x in part if x]) == 1 for part in seen)
+        assert numbers == list(range(len(numbers)))
+    assert len(numbers) == 1
+
+
+def test_plan_has_constant_bounds(spark):
+    class Sized:
+        def __init__(self, n):
+            self.n = n
+
+        def agg(self, *_):
+            return self
+
+        def first(self):
+            return self
+
+    for n in (0, 10**9, 10**12, 10**14, 10**16):
+        bits, chunk_bytes = R.plan(Sized(n))
+        assert R.CHUNK_BYTES <= chunk_bytes <= R.MOST_BYTES and n / 2**bits <= R.MOST_BYTES
