@@ -8,10 +8,10 @@ the mix takes.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from ocuspark.llm import decontaminate, jaccard, mixing, quality_rules, secret_scan
+from ocuspark.session import shared_folder
 from pyspark.sql import DataFrame, SparkSession
 
 #: The forest, the components and the hashes of these stages can't be expressed in SQL; tests hold them against brute force.
@@ -58,8 +58,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written below spark.checkpoint.dir and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ocuspark-pipeline-")
-    place = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")

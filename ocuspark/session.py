@@ -29,15 +29,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from files in the shared checkpoint folder, without lineage; what is read more than once is cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set,
-    as in tests on one machine, a temporary one is used.
+    Only on one machine, as in tests, is it a temporary one where none is set; a
+    cluster without it is an error, since its executors would write to their own disks.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all executors share")
+    return tempfile.mkdtemp(prefix="ocuspark-shared-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from files in the shared folder, without lineage; what is read more than once is cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ocuspark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
