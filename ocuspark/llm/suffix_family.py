@@ -42,7 +42,7 @@ from . import repeats as R
 from . import textkit as K
 from .job import anew, beside, cut, ship
 
-LENGTH, GRAM, BATCHES = 400, 120, 4
+LENGTH, GRAM, BATCHES = 400, 120, 8
 SAME, OPEN = 1, 2  # bits of an answer
 ENTRY, NOTES, ANSWER = -1, -2, -3  # kinds of rows; a level's rows have its number
 ROWS = "bucket int, kind int, chunk bigint, data binary, ids binary"
