@@ -128,7 +128,8 @@ def taken(docs: DataFrame) -> DataFrame:
     table without words gives targets and taken of 0. Other columns are not read.
     """
     rows, sources = streams(docs)
-    times = slots(sources).groupBy("number", "block").agg(F.count("*").alias("times"))
+    # merge: by what it knows of the sources, Spark would take the slots for a few rows
+    times = slots(sources).groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")
     joined = pieces(rows).join(times, ["number", "block"], "left")
     of_row = joined.groupBy("number", "bucket", "nth", "doc_id", "size", "source_size", "target").agg(
         F.coalesce(F.sum(F.col("overlap") * F.col("times")), F.lit(0)).cast("long").alias("taken")
@@ -141,4 +142,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows, sources = streams(docs)
     start = F.greatest(F.col("block") * BLOCK - F.col("first_word"), F.lit(0))
     parts = pieces(rows).where("block is not null").select("number", "block", "first_word", "doc_id", start.alias("from_word"), F.col("overlap").alias("n_words"))
-    return slots(sources).join(parts, ["number", "block"]).drop("block")
+    return slots(sources).hint("merge").join(parts, ["number", "block"]).drop("block")
