@@ -5,10 +5,12 @@ Weights are small tables (out, in, w); what is scored is of any size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import sigmoid
+from ..functions.columns import shuffled, sigmoid
 
 
 def linear(x: DataFrame, weights: DataFrame, bias: DataFrame | None = None) -> DataFrame:
@@ -17,6 +19,31 @@ def linear(x: DataFrame, weights: DataFrame, bias: DataFrame | None = None) -> D
     return out if bias is None else out.join(bias, "o").select("id", "o", (F.col("v") + F.col("b")).alias("v"))
 
 
+def body(x: DataFrame, weights: DataFrame, bias: DataFrame | None, input_size: int, hidden_size: int) -> DataFrame:
+    """The simplest body: x (id, j, v) as it is where both sizes are equal, else through one linear layer: rows id, o, v."""
+    return x.select("id", F.col("j").alias("o"), "v") if input_size == hidden_size else linear(x, weights, bias)
+
+
+def _uniform(seed: int, *parts: str) -> Column:
+    """In (0, 1), from an MD5 of the seed and the parts, the same in every run and in SQL."""
+    return (F.conv(F.substring(shuffled(seed, *[F.col(p) for p in parts]), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def initial_weights(spark: SparkSession, outs: int, ins: int, kind: str = "linear", seed: int = 0) -> DataFrame:
+    """o, j, w to start from: linear (Glorot-uniform) or embedding (standard normal)."""
+    places = spark.range(outs * ins).select(F.floor(F.col("id") / ins).cast("int").alias("o"), (F.col("id") % ins).cast("int").alias("j"))
+    if kind == "linear":
+        return places.withColumn("w", (_uniform(seed, "o", "j") * 2 - 1) * math.sqrt(6 / (outs + ins)))
+    if kind == "embedding":
+        return places.withColumn("w", F.sqrt(-2 * F.ln(_uniform(seed, "o", "j"))) * F.cos(2 * math.pi * _uniform(seed + 1, "o", "j")))
+    raise ValueError(f"{kind} is neither linear nor embedding")
+
+
+def initial_layer_norm(spark: SparkSession, size: int) -> DataFrame:
+    """o, gain of 1 and bias of 0 of a layer norm."""
+    return spark.range(size).select(F.col("id").cast("int").alias("o"), F.lit(1.0).alias("gain"), F.lit(0.0).alias("b"))
+
+
 def relu(x: DataFrame) -> DataFrame:
     return x.withColumn("v", F.greatest("v", F.lit(0.0)))
 

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import euclidean, ratio
+from ..functions.columns import ratio
 from ..session import cut
 
 
 def fmr_fnmr(scores: DataFrame, partitions: int = 64) -> DataFrame:
-    """threshold, fmr and fnmr at each distinct score, from scores (score, genuine).
+    """threshold, fmr and fnmr at each distinct score, from scores (score, genuine, and n if a row stands for several).
 
     fnmr: share of genuine scores below the threshold; fmr: share of impostor
     scores not below it. Null if there are none of a kind. Sums run in two
     levels: inside ranges of scores, and over the ranges' totals.
     """
+    times = F.col("n") if "n" in scores.columns else F.lit(1).cast("bigint")
     by_score = scores.where("score is not null").groupBy(F.col("score").alias("threshold")).agg(
-        F.sum(F.col("genuine").cast("bigint")).alias("g"), F.sum((~F.col("genuine")).cast("bigint")).alias("m")
+        F.sum(F.when(F.col("genuine"), times).otherwise(0)).alias("g"), F.sum(F.when(~F.col("genuine"), times).otherwise(0)).alias("m")
     )
     parted = cut(by_score.repartitionByRange(partitions, "threshold").withColumn("part", F.spark_partition_id()))
     totals = parted.groupBy("part").agg(F.sum("g").alias("tg"), F.sum("m").alias("tm"))
@@ -66,15 +70,20 @@ def first_places(values: DataFrame, value: str, place: str) -> DataFrame:
     return values.groupBy(value).agg(F.min(place).alias("first_place"))
 
 
-def pair_scores(embeddings: DataFrame, key: str = "vec_id", blocks: int = 16) -> DataFrame:
-    """score (minus distance) and genuine of all unordered pairs of a set of vectors that is evaluated as a whole.
+METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "accuracy": lambda p: p.agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("value")),
+    "error_rate": lambda p: p.agg(F.avg((F.col("label") != F.col("predicted")).cast("double")).alias("value")),
+    "mean_probability": lambda p: p.agg(F.avg("probability").alias("value")),
+    "eer": lambda p: eer(fmr_fnmr(p.select(F.col("probability").alias("score"), (F.col("label") == F.col("predicted")).alias("genuine")))).select(F.col("eer").alias("value")),
+}
+
+
+def compute(predicted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """metric and value: the named metrics of predictions (label, predicted, probability), in the order of names.
 
-    Vectors are dealt to blocks, and each pair of blocks is a task's work, so
-    the pairs, whose number is the square of the vectors', are spread evenly.
+    eer: a prediction's probability as the score of its own claim.
     """
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = embeddings.select(F.col(key).alias("a"), F.col("label").alias("la"), F.col("embedding").alias("ea"), block.alias("ba"), F.explode(every).alias("bb"))
-    right = embeddings.select(F.col(key).alias("b"), F.col("label").alias("lb"), F.col("embedding").alias("eb"), block.alias("bb"), F.explode(every).alias("ba"))
-    pairs = left.join(right, ["ba", "bb"]).where("a < b")
-    return pairs.select("a", "b", (-euclidean(F.col("ea"), F.col("eb"))).alias("score"), (F.col("la") == F.col("lb")).alias("genuine"))
+    if unknown := [n for n in names if n not in METRICS]:
+        raise ValueError(f"{unknown} are none of {', '.join(METRICS)}")
+    rows = [METRICS[n](predicted).select(F.lit(n).alias("metric"), "value") for n in names]
+    return reduce(DataFrame.unionByName, rows)

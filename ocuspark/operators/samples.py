@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,3 +75,15 @@ def narrow(df: DataFrame) -> DataFrame:
     """Number columns cast to narrow_types(); others as they are."""
     types = narrow_types(df)
     return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+
+
+def categories(df: DataFrame, column: str) -> DataFrame:
+    """column and code: the distinct texts of a column, numbered from 0 in their order; null has no code. A dimension table."""
+    texts = df.where(F.col(column).isNotNull()).select(column).distinct()
+    return texts.withColumn("code", (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+
+
+def categorize(df: DataFrame, column: str) -> DataFrame:
+    """df with the codes of categories() in place of the texts of a column."""
+    coded = df.join(categories(df, column), column, "left").withColumn(column, F.col("code"))
+    return coded.select(*df.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip as clip_column
 from ..functions.columns import ratio
-from ..functions.stencils import Axis, stencil_1d, stencil_2d
+from ..functions.stencils import Axis, pick, stencil_1d, stencil_2d
 
 KEY, PLACE = "session", "i"
 
@@ -58,61 +58,70 @@ def savgol(
     Ends are padded by reflection: below the first value before it, above the
     last after it. Sessions not longer than half a window cannot be filtered:
     erroneous says whether their values become null, are kept, or are dropped.
-    Each session is an array, as the stencil needs its neighbours only.
+    Values within a session come from leads and lags, those beyond its ends from
+    its first and last ones.
     """
     if erroneous not in ("null", "keep", "drop"):
         raise ValueError("erroneous must be null, keep or drop")
     weights = stencil_1d(window, order, derivative, rate)
     h = window // 2
-    taps = F.array(*[F.lit(w) for w in weights])
-
-    def smooth(x: Column) -> Column:
-        first, last = x[0], F.element_at(x, -1)
-        head = F.transform(F.reverse(F.slice(x, 2, h)), lambda v: first - F.abs(v - first))
-        tail = F.transform(F.reverse(F.slice(x, F.size(x) - h, h)), lambda v: last + F.abs(v - last))
-        padded = F.concat(head, x, tail)
-        at = lambda p: F.transform(
-            F.sequence(F.lit(1), F.size(x)), lambda i: F.aggregate(F.zip_with(F.slice(p, i, window), taps, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        )
-        # bound once: a lambda's body would else build the padded array for each place
-        once = F.transform(F.array(padded), at)[0]
-        return F.when(F.size(x) > h, once).otherwise(x if erroneous == "keep" else F.transform(x, lambda v: F.lit(None).cast("double")))
-
-    packed = df.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(PLACE, *channels))).alias("rows"))
-    if erroneous == "drop":
-        packed = packed.where(F.size("rows") > h)
-    channel = lambda c: F.transform("rows", lambda r: r[c])
-    done = packed.select(KEY, "rows", *[smooth(channel(c)).alias(c) for c in channels])
-    zipped = F.arrays_zip(F.transform("rows", lambda r: r[PLACE]).alias(PLACE), *channels)
-    return done.select(KEY, F.explode(zipped).alias("r")).select(KEY, F.col("r")[PLACE].alias(PLACE), *[F.col("r")[c].alias(c) for c in channels])
-
-
-def _padded_pair(df: DataFrame, a: str, b: str, h: int) -> DataFrame:
-    """Rows -h .. T-1+h of a channel pair: far and adjacent left padding, both channels, right padding."""
-    row = F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    packed = df.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(PLACE, row.alias("v")))).alias("rows")).where(F.size("rows") > h)
+    w = _ordered()
+    numbered = df.select(KEY, PLACE, *channels, (F.row_number().over(w) - 1).alias("_at"), F.count("*").over(_session()).alias("_n"))
+    at, n = F.col("_at"), F.col("_n")
+
+    def ends(c: str) -> list[Column]:
+        """The first h + 1 values of a session and, from its end, the last ones."""
+        value = lambda place: F.max(F.when(at == place, F.col(c))).over(_session())
+        return [F.array(*[value(F.lit(m)) for m in range(h + 1)]).alias(f"_first_{c}"), F.array(*[value(n - 1 - m) for m in range(h + 1)]).alias(f"_last_{c}")]
+
+    near = lambda c, k: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w) if k else F.col(c)
+    wide = numbered.select("*", *[e for c in channels for e in ends(c)], *[near(c, k).alias(f"_{k + h}_{c}") for c in channels for k in range(-h, h + 1)])
+
+    def smooth(c: str) -> Column:
+        first, last = F.col(f"_first_{c}"), F.col(f"_last_{c}")
+        total = F.lit(0.0)
+        for k, weight in zip(range(-h, h + 1), weights, strict=True):
+            value = F.col(f"_{k + h}_{c}")
+            if k < 0:
+                value = F.when(at + k < 0, first[0] - F.abs(F.get(first, -(at + k)) - first[0])).otherwise(value)
+            elif k > 0:
+                value = F.when(at + k >= n, last[0] + F.abs(F.get(last, at + k - (n - 1)) - last[0])).otherwise(value)
+            total = total + value * F.lit(weight)
+        return F.when(n > h, total).otherwise(F.col(c) if erroneous == "keep" else F.lit(None).cast("double"))
+
+    kept = wide.where(n > h) if erroneous == "drop" else wide
+    return kept.select(KEY, PLACE, *[smooth(c).alias(c) for c in channels])
+
+
+def _padded(df: DataFrame, pairs: Sequence[tuple[str, str]], h: int) -> DataFrame:
+    """Rows -h .. T-1+h of channel pairs; of each pair k: far and adjacent left padding, both channels, right padding, as a struct p<k>."""
+    channels = sorted({c for pair in pairs for c in pair})
+    packed = df.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(PLACE, F.struct(*channels).alias("v")))).alias("rows")).where(F.size("rows") > h)
     places = packed.select(KEY, "rows", F.size("rows").alias("n"), F.explode(F.sequence(F.lit(-h), F.size("rows") - 1 + h)).alias("r"))
     real = F.col("rows")[F.when(F.col("r") < 0, -F.col("r")).when(F.col("r") >= F.col("n"), 2 * (F.col("n") - 1) - F.col("r")).otherwise(F.col("r"))]["v"]
     at = places.select(KEY, "r", "n", real.alias("v"), F.col("rows")[0]["v"].alias("f"), F.element_at("rows", -1)["v"].alias("e"))
-    right = lambda v: v["b"] + F.abs(v["a"] - v["b"])
-    v, f, e = F.col("v"), F.col("f"), F.col("e")
     above, below = F.col("r") < 0, F.col("r") >= F.col("n")
-    below_a, below_b = e["a"] + F.abs(v["a"] - e["a"]), e["b"] + F.abs(v["b"] - e["b"])
-    below_right = e["b"] + F.abs(v["a"] - e["b"])
-    left = v["a"] - F.abs(v["b"] - v["a"])
-    above_left = f["a"] - F.abs(v["b"] - f["a"])
-    return at.select(
-        KEY, "r", "n",
-        F.when(above, above_left).when(below, below_a - F.abs(below_right - below_a)).otherwise(left).alias("far"),
-        F.when(above, above_left).when(below, below_a - F.abs(below_b - below_a)).otherwise(left).alias("adjacent"),
-        F.when(above, f["a"] - F.abs(v["a"] - f["a"])).when(below, below_a).otherwise(v["a"]).alias("a"),
-        F.when(above, f["b"] - F.abs(v["b"] - f["b"])).when(below, below_b).otherwise(v["b"]).alias("b"),
-        F.when(above, right(f) - F.abs(right(v) - right(f))).when(below, below_right).otherwise(right(v)).alias("right"),
-    )
+
+    def one(a: str, b: str) -> Column:
+        v, f, e = ({"a": F.col(x)[a], "b": F.col(x)[b]} for x in "vfe")
+        right = lambda v: v["b"] + F.abs(v["a"] - v["b"])
+        below_a, below_b = e["a"] + F.abs(v["a"] - e["a"]), e["b"] + F.abs(v["b"] - e["b"])
+        below_right = e["b"] + F.abs(v["a"] - e["b"])
+        left = v["a"] - F.abs(v["b"] - v["a"])
+        above_left = f["a"] - F.abs(v["b"] - f["a"])
+        return F.struct(
+            F.when(above, above_left).when(below, below_a - F.abs(below_right - below_a)).otherwise(left).alias("far"),
+            F.when(above, above_left).when(below, below_a - F.abs(below_b - below_a)).otherwise(left).alias("adjacent"),
+            F.when(above, f["a"] - F.abs(v["a"] - f["a"])).when(below, below_a).otherwise(v["a"]).alias("a"),
+            F.when(above, f["b"] - F.abs(v["b"] - f["b"])).when(below, below_b).otherwise(v["b"]).alias("b"),
+            F.when(above, right(f) - F.abs(right(v) - right(f))).when(below, below_right).otherwise(right(v)).alias("right"),
+        )
+
+    return at.select(KEY, "r", "n", *[one(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
 
 
 def savgol_2d_taps(window: int, order: int, axis: Axis | str) -> list[tuple[int, int, dict[str, float]]]:
-    """For each channel of a pair and row offset: the weights of the columns of _padded_pair()."""
+    """For each channel of a pair and row offset: the weights of the fields of _padded()."""
     h, kernel = window // 2, stencil_2d(window, order, axis)
     out = []
     for channel in (0, 1):
@@ -129,17 +138,36 @@ def savgol_2d_taps(window: int, order: int, axis: Axis | str) -> list[tuple[int,
 def savgol_2d(df: DataFrame, a: str, b: str, window: int, order: int, axis: Axis | str = Axis.NONE) -> DataFrame:
     """Polynomial surface over time and a pair of channels; its value, or derivative along time or channels.
 
+    Both derivatives (BOTH) have a column each: <channel>_column and <channel>_row.
     Sessions not longer than half a window give no rows.
     """
-    h = window // 2
-    padded = _padded_pair(df, a, b, h)
+    found = savgol_2d_pairs(df, [a, b], window, order, axis, [(a, b)])
+    return found.select(KEY, PLACE, *[F.col(c).alias(c.removeprefix("p0_")) for c in found.columns[2:]])
+
+
+def savgol_2d_pairs(
+    df: DataFrame, channels: Sequence[str], window: int, order: int, axis: Axis | str = Axis.NONE, pairs: Sequence[tuple[str, str]] | None = None
+) -> DataFrame:
+    """savgol_2d() of several pairs of channels side by side: columns p<k>_<channel> of the k-th pair.
+
+    Without pairs, each channel is paired with the next one. A channel may be in
+    several pairs; one that is not among channels is an error.
+    """
+    pairs = list(pairs) if pairs is not None else list(zip(channels, channels[1:], strict=False))
+    if not pairs or any(len(p) != 2 or c not in channels for p in pairs for c in p):
+        raise ValueError(f"pairs of the channels {', '.join(channels)} are needed, not {pairs}")
+    h, axis = window // 2, pick(Axis, axis)
+    axes = [Axis.COLUMN, Axis.ROW] if axis is Axis.BOTH else [axis]
     w = Window.partitionBy(KEY).orderBy("r")
-    taps = savgol_2d_taps(window, order, axis)
-    total = lambda ch: sum(
-        (F.lead(sum((F.lit(k) * F.col(c) for c, k in weights.items()), F.lit(0.0)), offset).over(w) for channel, offset, weights in taps if channel == ch), F.lit(0.0)
-    )
-    out = padded.select(KEY, F.col("r").cast("bigint").alias(PLACE), "n", total(0).alias(a), total(1).alias(b))
-    return out.where((F.col(PLACE) >= 0) & (F.col(PLACE) < F.col("n"))).drop("n")
+
+    def total(k: int, one: Axis, ch: int) -> Column:
+        rows = [(offset, weights) for channel, offset, weights in savgol_2d_taps(window, order, one) if channel == ch]
+        return sum((F.lead(sum((F.lit(x) * F.col(f"p{k}.{c}") for c, x in weights.items()), F.lit(0.0)), offset).over(w) for offset, weights in rows), F.lit(0.0))
+
+    end = {x: f"_{x.value}" if len(axes) > 1 else "" for x in axes}
+    out = [total(k, x, ch).alias(f"p{k}_{c}{end[x]}") for k, pair in enumerate(pairs) for x in axes for ch, c in enumerate(pair)]
+    found = _padded(df, pairs, h).select(KEY, F.col("r").cast("bigint").alias(PLACE), "n", *out)
+    return found.where((F.col(PLACE) >= 0) & (F.col(PLACE) < F.col("n"))).drop("n")
 
 
 def zscore(df: DataFrame, channels: Sequence[str], mean: float | None = None, std: float | None = None) -> DataFrame:
@@ -184,16 +212,34 @@ def retain(masked: DataFrame, beaten_ratio: float = 30.0, min_length: int = 500)
     return masked.withColumns({"n": n, "n_bad": bad}).where((F.col("n") >= min_length) & (100.0 * F.col("n_bad") / F.col("n") < beaten_ratio)).drop("n", "n_bad")
 
 
-def interpolate(df: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """Nulls between values by straight lines; trailing ones take the last value; rows with a leading one go."""
+METHODS = ("linear", "previous", "next", "nearest")
+
+
+def interpolate(df: DataFrame, channels: Sequence[str], method: str = "linear") -> DataFrame:
+    """Nulls between values by straight lines, or from the value before, after, or nearest (of two as near, the one before).
+
+    Trailing nulls take the last value; rows with a leading one go, but for the
+    methods that look ahead, by which it takes the first value. Values ahead are
+    those before in descending order, so that no frame is gone through again for each row.
+    """
+    if method not in METHODS:
+        raise ValueError(f"{method} is none of {', '.join(METHODS)}")
     back = _ordered().rowsBetween(Window.unboundedPreceding, 0)
-    ahead = _ordered().rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(KEY).orderBy(F.col(PLACE).desc()).rowsBetween(Window.unboundedPreceding, 0)
 
     def fill(c: str) -> Column:
         at = F.when(F.col(c).isNotNull(), F.col(PLACE))
-        p, pi = F.last(c, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(back)
-        n, ni = F.first(c, ignorenulls=True).over(ahead), F.first(at, ignorenulls=True).over(ahead)
-        return F.when(F.col(c).isNotNull(), F.col(c)).when(p.isNull() | n.isNull(), p).otherwise(p + (n - p) * (F.col(PLACE) - pi) / (ni - pi))
+        last = lambda x, w: F.last(x, ignorenulls=True).over(w)
+        p, pi, n, ni = last(F.col(c), back), last(at, back), last(F.col(c), ahead), last(at, ahead)
+        if method == "linear":
+            inner = F.when(p.isNull() | n.isNull(), p).otherwise(p + (n - p) * (F.col(PLACE) - pi) / (ni - pi))
+        elif method == "previous":
+            inner = p
+        elif method == "next":
+            inner = F.coalesce(n, p)
+        else:
+            inner = F.when(p.isNull() | (ni - F.col(PLACE) < F.col(PLACE) - pi), n).otherwise(p)
+        return F.when(F.col(c).isNotNull(), F.col(c)).otherwise(inner)
 
     return df.select(KEY, PLACE, *[fill(c).alias(c) for c in channels]).na.drop(subset=list(channels))
 

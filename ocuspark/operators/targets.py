@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from ..functions.columns import one_hot, shuffled
 
@@ -44,6 +45,18 @@ def at_index(indexed: DataFrame, idx: Sequence[int]) -> DataFrame:
     return indexed.where(F.col("idx").isin(*idx))
 
 
+def construct(requests: DataFrame, indexed: DataFrame) -> DataFrame:
+    """requests (target: ids or names) with a struct (id, name) of each; what the configuration does not have stays null."""
+    kind = requests.schema["target"].dataType
+    if isinstance(kind, IntegralType):
+        by, found = "idx", F.struct(F.col("target").cast("bigint").alias("id"), F.col("name"))
+    elif isinstance(kind, StringType):
+        by, found = "name", F.struct(F.col("idx").alias("id"), F.col("target").alias("name"))
+    else:
+        raise TypeError(f"a target is an id or a name, not {kind.simpleString()}")
+    return requests.join(indexed.select("idx", "name"), F.col("target") == F.col(by), "left").select(*requests.columns, found.alias("constructed"))
+
+
 def by_dataset_type(config: DataFrame, indexed: DataFrame) -> DataFrame:
     """Each dataset type with the idx and name of its targets; a type whose targets are all skipped has nulls."""
     types = config.select("dataset_type").distinct()
@@ -124,6 +137,31 @@ def time_split(records: DataFrame, gap: str) -> DataFrame:
     return roles.withColumn("late", F.max((F.col("role") == "authentication").cast("int")).over(w)).where("late = 1").drop("late")
 
 
+def time_based_split(records: DataFrame, shares: Mapping[str, float], gap: str, seed: int, late: str = "test") -> DataFrame:
+    """records (user_id, ts, …) with the split of their user, and a role (template or authentication) in the split `late`.
+
+    That split takes its share of the users from those with records at least
+    `gap` apart, and so with two records or more; fewer, if there are not as
+    many. All other users are dealt to the other splits by their shares. Users
+    are in the order of a hash of the seed; no user is in two splits.
+    """
+    if late not in shares:
+        raise ValueError(f"{late} is none of {', '.join(shares)}")
+    spans = records.groupBy("user_id").agg((F.max("ts") >= F.min("ts") + F.expr(f"interval {gap}")).alias("apart"))
+    everyone = Window.partitionBy()
+    order = lambda *before: Window.orderBy(*before, shuffled(seed, F.col("user_id")), "user_id")
+    ranked = spans.withColumns({"rank": F.row_number().over(order(F.col("apart").desc())) - 1, "n": F.count("*").over(everyone)})
+    chosen = F.col("apart") & (F.col("rank") < F.floor(F.col("n") * F.lit(shares[late]) + 1e-9))
+    marked = ranked.select("user_id", chosen.alias("chosen"))
+    rest = marked.where("not chosen").select(F.col("user_id").alias("name"), (F.row_number().over(order()) - 1).alias("rank"), F.count("*").over(everyone).alias("n"))
+    others = {k: v for k, v in shares.items() if k != late}
+    dealt = _slices(rest, {k: v / sum(others.values()) for k, v in others.items()}).withColumnRenamed("name", "user_id")
+    users = marked.where("chosen").select("user_id", F.lit(late).alias("split")).unionByName(dealt.where("split is not null"))
+    first = F.min("ts").over(Window.partitionBy("user_id"))
+    role = F.when(F.col("split") == late, F.when(F.col("ts") >= first + F.expr(f"interval {gap}"), "authentication").otherwise("template"))
+    return records.join(users, "user_id").withColumn("role", role)
+
+
 def episodes(items: DataFrame, k_way: int, n_shot: int, iterations: int, seed: int) -> DataFrame:
     """episode, label, item: k_way random labels an episode, n_shot of each label's items.
 

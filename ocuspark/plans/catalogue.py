@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,14 @@ from ..functions import columns as C
 from ..functions.stencils import stencil_1d
 from ..operators import layers as L
 from ..operators import metrics as M
+from ..operators import pairs as PR
 from ..operators import prototypes as P
 from ..operators import samples as SM
 from ..operators import segments as G
 from ..operators import signal as S
 from ..operators import targets as T
-from ..session import table
+from ..session import shared_folder, table
+from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -164,11 +168,11 @@ def savgol_velocity(spark, d):
     return rounded(S.savgol(rec(spark, d), ["x"], 5, 2, "first_order"), "x")
 
 
-def _savgol_2d_sql(window: int, order: int, axis: str) -> str:
+def _savgol_2d_sql(window: int, order: int, axis: str, source: str = REC) -> str:
     h = window // 2
     taps = S.savgol_2d_taps(window, order, axis)
     rows = ", ".join(f"({ch}, {off}, " + ", ".join(f"{v!r}::DOUBLE" for v in w.values()) + ")" for ch, off, w in taps)
-    return f"""WITH {REC}, n AS (SELECT session, count(*) AS n FROM rec GROUP BY 1 HAVING count(*) > {h}),
+    return f"""WITH {source}, n AS (SELECT session, count(*) AS n FROM rec GROUP BY 1 HAVING count(*) > {h}),
 r AS (SELECT session, n, unnest(generate_series(-{h}, n - 1 + {h})) AS r FROM n),
 q AS (SELECT r.session, r.r, r.n, v.x AS a, v.y AS b, f.x AS fa, f.y AS fb, e.x AS ea, e.y AS eb FROM r
   JOIN rec v ON v.session = r.session AND v.i = CASE WHEN r.r < 0 THEN -r.r WHEN r.r >= r.n THEN 2 * (r.n - 1) - r.r ELSE r.r END
@@ -201,6 +205,30 @@ def savgol_2d_dc(spark, d):
     return rounded(S.savgol_2d(rec(spark, d), "x", "y", 3, 1, "row"), "x", "y")
 
 
+def _pair_sql(a: str, b: str) -> str:
+    return f"{REC.replace('rec AS', 'raw AS', 1)}, rec AS (SELECT session, i, {a} AS x, {b} AS y FROM raw)"
+
+
+@query(f"""SELECT p.session, p.i, p.x AS p0_x, p.y AS p0_y, q.x AS p1_y, q.y AS p1_z FROM ({_savgol_2d_sql(5, 2, "none")}) p
+JOIN ({_savgol_2d_sql(5, 2, "none", _pair_sql("y", "x - y"))}) q USING (session, i)""")
+def savgol_2d_neighbouring_pairs(spark, d):
+    three = rec(spark, d).withColumn("z", F.col("x") - F.col("y"))
+    return rounded(S.savgol_2d_pairs(three, ["x", "y", "z"], 5, 2), "p0_x", "p0_y", "p1_y", "p1_z")
+
+
+@query(f"""SELECT p.session, p.i, p.x AS p0_z, p.y AS p0_x, q.x AS p1_x, q.y AS p1_y FROM ({_savgol_2d_sql(5, 2, "row", _pair_sql("x - y", "x"))}) p
+JOIN ({_savgol_2d_sql(5, 2, "row")}) q USING (session, i)""")
+def savgol_2d_chosen_pairs(spark, d):
+    three = rec(spark, d).withColumn("z", F.col("x") - F.col("y"))
+    return rounded(S.savgol_2d_pairs(three, ["x", "y", "z"], 5, 2, "row", [("z", "x"), ("x", "y")]), "p0_z", "p0_x", "p1_x", "p1_y")
+
+
+@query(f"""SELECT p.session, p.i, p.x AS x_column, p.y AS y_column, q.x AS x_row, q.y AS y_row FROM ({_savgol_2d_sql(5, 2, "column")}) p
+JOIN ({_savgol_2d_sql(5, 2, "row")}) q USING (session, i)""")
+def savgol_2d_both(spark, d):
+    return rounded(S.savgol_2d(rec(spark, d), "x", "y", 5, 2, "both"), "x_column", "y_column", "x_row", "y_row")
+
+
 # --- segments ---------------------------------------------------------------------
 
 
@@ -316,6 +344,26 @@ def interpolate_linear(spark, d):
     return rounded(S.clean(shifted(spark, d), ["x", "y"], 30.0, 50), "x", "y")
 
 
+def _method_sql(how: str) -> str:
+    return f"""WITH {MASKED}, f AS (SELECT session, i, x, {_fill_sql("x")} FROM masked)
+SELECT session, i, round(x, 6) AS x FROM (SELECT session, i, CASE WHEN x IS NOT NULL THEN x ELSE {how} END AS x FROM f) WHERE x IS NOT NULL"""
+
+
+@query(_method_sql("px"))
+def interpolate_previous(spark, d):
+    return rounded(S.interpolate(S.mask_bad(shifted(spark, d), ["x", "y"]), ["x"], "previous"), "x")
+
+
+@query(_method_sql("coalesce(nx, px)"))
+def interpolate_next(spark, d):
+    return rounded(S.interpolate(S.mask_bad(shifted(spark, d), ["x", "y"]), ["x"], "next"), "x")
+
+
+@query(_method_sql("CASE WHEN px IS NULL OR nix - i < i - pix THEN nx ELSE px END"))
+def interpolate_nearest(spark, d):
+    return rounded(S.interpolate(S.mask_bad(shifted(spark, d), ["x", "y"]), ["x"], "nearest"), "x")
+
+
 @query(f"WITH {REC} SELECT session, 0 AS ch, i, x AS v FROM rec UNION ALL SELECT session, 1, i, y FROM rec")
 def transpose(spark, d):
     return S.transpose(rec(spark, d), ["x", "y"])
@@ -404,6 +452,30 @@ def split_time_based(spark, d):
     return T.time_split(orders, "365 days").select("o_orderkey", "user_id", "role")
 
 
+@query("""WITH u AS (SELECT o_custkey AS user_id, max(o_orderdate) >= min(o_orderdate) + INTERVAL 365 DAY AS apart, min(o_orderdate) AS f FROM orders GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY apart DESC, md5(concat_ws('|', '11', user_id)), user_id) - 1 AS rank, count(*) OVER () AS n FROM u),
+m AS (SELECT *, apart AND rank < floor(n * 0.2e0 + 1e-9) AS chosen FROM r),
+o AS (SELECT user_id, f, row_number() OVER (ORDER BY md5(concat_ws('|', '11', user_id)), user_id) - 1 AS rank, count(*) OVER () AS n FROM m WHERE NOT chosen),
+s AS (SELECT user_id, f, CASE WHEN rank < floor(n * 0.75e0 + 1e-9) THEN 'train' ELSE 'validation' END AS split FROM o UNION ALL SELECT user_id, f, 'test' FROM m WHERE chosen)
+SELECT o_orderkey, user_id, split, CASE WHEN split = 'test' THEN CASE WHEN o_orderdate >= f + INTERVAL 365 DAY THEN 'authentication' ELSE 'template' END END AS role
+FROM orders JOIN s ON user_id = o_custkey""")
+def split_time_based_by_user(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"))
+    return T.time_based_split(orders, SHARES, "365 days", 11).select("o_orderkey", "user_id", "split", "role")
+
+
+@query(f"WITH {CONFIG}, {INDEXED} SELECT event_id, event_type AS target, idx AS id, event_type AS name FROM events LEFT JOIN indexed ON name = event_type")
+def construct_target_by_name(spark, d):
+    asked = table(spark, d, "events").select("event_id", F.col("event_type").alias("target"))
+    return T.construct(asked, T.index(T.configuration(event_samples(spark, d)))).select("event_id", "target", "constructed.*")
+
+
+@query(f"WITH {CONFIG}, {INDEXED} SELECT event_id, event_id % 9 AS target, event_id % 9 AS id, name FROM events LEFT JOIN indexed ON idx = event_id % 9")
+def construct_target_by_id(spark, d):
+    asked = table(spark, d, "events").select("event_id", (F.col("event_id") % 9).alias("target"))
+    return T.construct(asked, T.index(T.configuration(event_samples(spark, d)))).select("event_id", "target", "constructed.*")
+
+
 def _episodes_sql(k: int, n: int, iterations: int, extra: str = "") -> str:
     return f"""WITH items AS (SELECT label, vec_id AS item FROM embeddings), labels AS (SELECT label, count(*) AS size FROM items GROUP BY 1),
 ways AS (SELECT e.episode, label, size FROM labels, (SELECT unnest(range({iterations})) AS episode) e
@@ -527,12 +599,18 @@ def unique_with_first_index(spark, d):
   FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id)
 SELECT genuine, count(*) AS pairs, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS most FROM p GROUP BY 1""")
 def verification_pairs(spark, d):
-    pairs = M.pair_scores(embeddings(spark, d))
+    pairs = PR.pair_scores(embeddings(spark, d))
     return rounded(
         pairs.groupBy("genuine").agg(F.count("*").alias("pairs"), F.avg("score").alias("mean"), F.min("score").alias("least"), F.max("score").alias("most")), "mean", "least", "most"
     )
 
 
+@query(f"""WITH {PRED} SELECT 'accuracy' AS metric, round(avg(CAST(label = predicted AS DOUBLE)), 6) AS value FROM pred
+UNION ALL SELECT 'error_rate', round(avg(CAST(label <> predicted AS DOUBLE)), 6) FROM pred UNION ALL SELECT 'mean_probability', round(avg(probability), 6) FROM pred""")
+def named_metrics(spark, d):
+    return rounded(M.compute(P.predict(_measured(spark, d)), ["accuracy", "error_rate", "mean_probability"]), "value")
+
+
 # --- layers -----------------------------------------------------------------------
 
 HEAD_W = "((o * 5 + j * 7) % 11 - 5) / 10.0e0"
@@ -704,6 +782,38 @@ def collate_samples(spark, d):
     return PL.collate(samples.join(indexed.select("name"), "name", "left_semi").drop("skip"), indexed)
 
 
+_UNIFORM = "(CAST('0x' || substr(md5(concat_ws('|', '{seed}', o, j)), 1, 8) AS BIGINT) + 0.5e0) / 4294967296.0e0"
+_PLACES = "(SELECT CAST(k // 16 AS INT) AS o, CAST(k % 16 AS INT) AS j FROM range(128) r(k))"
+
+
+@query(f"SELECT o, j, round(({_UNIFORM.format(seed=3)} * 2 - 1) * sqrt(6.0e0 / 24), 6) AS w FROM {_PLACES}")
+def initial_linear_weights(spark, d):
+    return rounded(L.initial_weights(spark, 8, 16, "linear", 3), "w")
+
+
+@query(f"SELECT o, j, round(sqrt(-2 * ln({_UNIFORM.format(seed=3)})) * cos(2 * pi() * {_UNIFORM.format(seed=4)}), 6) AS w FROM {_PLACES}")
+def initial_embedding_weights(spark, d):
+    return rounded(L.initial_weights(spark, 8, 16, "embedding", 3), "w")
+
+
+@query("SELECT CAST(k AS INT) AS o, CAST(1 AS DOUBLE) AS gain, CAST(0 AS DOUBLE) AS b FROM range(32) r(k)")
+def initial_layer_norm(spark, d):
+    return L.initial_layer_norm(spark, 32)
+
+
+@query(f"""WITH {LONG}, w AS (SELECT o, j, ({_UNIFORM.format(seed=3)} * 2 - 1) * sqrt(6.0e0 / 72) AS w FROM (SELECT CAST(k // 64 AS INT) AS o, CAST(k % 64 AS INT) AS j FROM range(512) r(k)))
+SELECT vec_id AS id, o, round(sum(v * w), 6) AS v FROM long JOIN w ON j = pos GROUP BY 1, 2""")
+def body_linear(spark, d):
+    x = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
+    return rounded(L.body(x, L.initial_weights(spark, 8, 64, "linear", 3), None, 64, 8), "v")
+
+
+@query(f"WITH {LONG} SELECT vec_id AS id, CAST(pos AS INT) AS o, v FROM long")
+def body_identity(spark, d):
+    x = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
+    return L.body(x, L.initial_weights(spark, 64, 64), None, 64, 64)
+
+
 # --- samples ----------------------------------------------------------------------
 
 
@@ -743,6 +853,83 @@ def reduce_mem(spark, d):
     return n.select(F.col("event_id").cast("bigint").alias("event_id"), F.col("user_id").cast("bigint").alias("user_id"), F.round(F.col("value").cast("double"), 2).alias("value"))
 
 
+_INT_TYPE = "CASE WHEN min({c}) > -128 AND max({c}) < 127 THEN 'tinyint' WHEN min({c}) > -32768 AND max({c}) < 32767 THEN 'smallint' WHEN min({c}) > -2147483648 AND max({c}) < 2147483647 THEN 'int' ELSE 'bigint' END"
+
+
+@query(f"""SELECT 'event_id' AS name, {_INT_TYPE.format(c="event_id")} AS type FROM events UNION ALL SELECT 'user_id', {_INT_TYPE.format(c="user_id")} FROM events
+UNION ALL SELECT 'value', 'float' FROM events HAVING max(abs(value)) < 3.4e38 UNION ALL SELECT 'day', {_INT_TYPE.format(c="day(ts)")} FROM events""")
+def reduce_mem_types(spark, d):
+    """The types that are chosen, from all rows."""
+    narrow = SM.narrow_types(table(spark, d, "events").select("event_id", "user_id", "value", F.dayofmonth("ts").cast("bigint").alias("day")))
+    return spark.createDataFrame(list(narrow.items()), "name string, type string")
+
+
+@query("SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INT) AS event_type FROM events")
+def reduce_mem_categories(spark, d):
+    return SM.categorize(table(spark, d, "events").select("event_id", "event_type"), "event_type")
+
+
+@query("SELECT event_id, upper(event_type) AS event_type, value * 2 AS value FROM events WHERE value >= 20")
+def dataset_functions(spark, d):
+    from . import pipelines as PL
+
+    whole = table(spark, d, "events").select("event_id", "event_type", "value")
+    return PL.dataset(whole, [lambda df: df.where("value >= 20"), lambda df: df.dropDuplicates(["event_id"])], {"event_type": F.upper, "value": lambda c: c * 2})
+
+
+# --- files ------------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id AS pos, event_type AS name, value FROM events")
+def saved_samples(spark, d):
+    samples = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("name"), "value")
+    place = _place(spark, "samples")
+    files.save_samples(samples, place, "json", as_single_file=True)
+    return files.load_samples(spark, place, "json", samples.schema).select(*samples.columns)
+
+
+@query("SELECT user_id AS pos, count(*) AS n FROM events GROUP BY 1")
+def saved_samples_by_folder(spark, d):
+    samples = table(spark, d, "events").groupBy(F.col("user_id").alias("pos")).agg(F.count("*").alias("n"))
+    place = _place(spark, "samples")
+    files.save_samples(samples, place, "parquet")
+    return files.load_samples(spark, place, "parquet", samples.schema).select(*samples.columns)
+
+
+@query(f"""WITH {RANDOM}, config AS (SELECT name, arg_max(skip, pos) AS skip, min(pos) AS pos FROM samples GROUP BY name)
+SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, name, skip, split AS dataset_type FROM config JOIN split USING (name)""")
+def saved_targets(spark, d):
+    from . import pipelines as PL
+
+    place = _place(spark, "targets")
+    PL.generate_targets(event_samples(spark, d), SHARES, 11, path=place)
+    return files.load_targets(spark, place)
+
+
+@query("""SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal, split_part(c_name, '#', 1) AS name, CASE WHEN contains(c_name, '#') THEN split_part(c_name, '#', 2) END AS subtype
+FROM customer WHERE c_custkey % 10 <> 0""")
+def recordings_csv(spark, d):
+    """Rows of a CSV file; every tenth one has no label and goes."""
+    label = F.when(F.col("c_custkey") % 10 != 0, F.replace("c_name", F.lit("#"), F.lit(":")))
+    rows = table(spark, d, "customer").select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"), label.alias("label"))
+    place = _place(spark, "csv")
+    rows.write.option("header", "true").csv(place)
+    return files.read_recordings_csv(spark, place, rows.schema, "label").select("c_custkey", "c_acctbal", "target.name", "target.subtype")
+
+
+@query("SELECT layer, CAST(k AS INT) AS place, CAST(k AS DOUBLE) / 4 AS value FROM (VALUES ('a', 6), ('b', 4)) t(layer, n), range(6) r(k) WHERE k < n")
+def saved_weights(spark, d):
+    place = _place(spark, "weights")
+    files.save_weights(spark, {"a": np.arange(6).reshape(2, 3) / 4, "b": np.arange(4) / 4}, place)
+    rows = [(layer, i, float(v)) for layer, w in files.load_weights(spark, place).items() for i, v in enumerate(w.ravel())]
+    return spark.createDataFrame(rows, "layer string, place int, value double")
+
+
 @query(f"""WITH {REC}, p AS (SELECT session, max(i) AS n, max(x) AS mx, min(x) AS mn FROM rec GROUP BY 1)
 SELECT session, CAST('a' AS VARCHAR) AS class, CAST(0.25 AS DOUBLE) AS probability, round(mx + mn, 6) AS distance FROM p UNION ALL
 SELECT session, 'b', CAST(0.5 AS DOUBLE), round(mx + mn, 6) FROM p""")
@@ -784,6 +971,4 @@ def end_to_end_verification(spark, d):
     vectors = z.groupBy("session", "segment_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "z"))), lambda r: r["z"]).alias("embedding")).where(~F.exists("embedding", lambda v: v.isNull()))
     vectors = vectors.withColumnRenamed("session", "label")
     protos = P.prototypes(vectors.where("segment_idx % 2 = 0"))
-    measured = P.distances(vectors.where("segment_idx % 2 = 1"), protos)
-    scores = measured.select(F.round(-F.col("distance"), 6).alias("score"), (F.col("label") == F.col("proto_label")).alias("genuine"))
-    return M.eer(M.fmr_fnmr(scores, 8)).select(F.round("eer", 3).alias("eer"))
+    return M.eer(M.fmr_fnmr(PR.claims(vectors.where("segment_idx % 2 = 1"), protos), 8)).select(F.round("eer", 3).alias("eer"))

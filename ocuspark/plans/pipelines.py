@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import embedder as E
@@ -13,6 +13,7 @@ from ..operators import prototypes as P
 from ..operators import segments as G
 from ..operators import signal as S
 from ..operators import targets as T
+from ..operators.pairs import claims
 from ..session import cut
 from ..sources import files
 
@@ -67,5 +68,11 @@ def embed_segments(vectors: DataFrame, model: E.Embedder) -> DataFrame:
 def verify(embeddings: DataFrame, n_support: int) -> DataFrame:
     """Equal error rate of claims of all labels by all query vectors, prototypes from each label's first n_support vectors."""
     roles = P.support_and_query(embeddings, n_support)
-    measured = P.distances(roles.where("role = 'query'").select("vec_id", "label", "embedding"), P.prototypes(roles.where("role = 'support'")))
-    return M.eer(M.fmr_fnmr(measured.select((-F.col("distance")).alias("score"), (F.col("label") == F.col("proto_label")).alias("genuine"))))
+    return M.eer(M.fmr_fnmr(claims(roles.where("role = 'query'"), P.prototypes(roles.where("role = 'support'")), 12)))
+
+
+def dataset(samples: DataFrame, on_dataset: Sequence[Callable[[DataFrame], DataFrame]] = (), on_sample: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """samples after the caller's functions: those of the whole set in their order, then those of each sample's columns."""
+    for f in on_dataset:
+        samples = f(samples)
+    return samples.withColumns({c: f(F.col(c)) for c, f in (on_sample or {}).items()})

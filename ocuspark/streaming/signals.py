@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +43,10 @@ def savgol_stream(stream: DataFrame, window: int, order: int, derivative: int =
         new = pd.concat(list(parts)).sort_values(["ts", "x"], kind="stable")
         ts = [*kept_ts, *new["ts"].astype("int64").tolist()]
         x = [*kept_x, *new["x"].astype(float).tolist()]
-        out_ts, out_y = [], []
-        for t in range(h, len(x) - h):
-            out_ts.append(ts[t])
-            out_y.append(sum(w * v for w, v in zip(weights, x[t - h : t + h + 1], strict=True)))
+        out_ts = ts[h : len(x) - h]
+        out_y = np.correlate(x, weights, "valid") if len(x) >= window else []
         state.update((ts[-2 * h :], x[-2 * h :]))
-        yield pd.DataFrame({"session": [key[0]] * len(out_y), "ts": out_ts, "y": out_y})
+        yield pd.DataFrame({"session": [key[0]] * len(out_ts), "ts": out_ts, "y": out_y})
 
     return stream.select("session", "ts", "x").groupBy("session").applyInPandasWithState(
         step, "session bigint, ts bigint, y double", "ts array<bigint>, x array<double>", "append", GroupStateTimeout.NoTimeout
