@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-BLOCK = 1024
+BLOCK = 512
 
 
 def _blocks(df: DataFrame) -> int:
@@ -60,14 +60,16 @@ def claims(queries: DataFrame, protos: DataFrame, digits: int = 6) -> DataFrame:
     right = p.select("*", _block(p, np_).alias("b"), F.explode(_up_to(0, nq - 1)).alias("a"))
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not (x.num_rows and y.num_rows):
-            found = np.empty((0, 2))
-            n = np.empty(0, dtype=np.int64)
-        else:
-            scores = np.round(-_distances(_matrix(x, "embedding"), _matrix(y, "vector")), digits)
+        scores, n, genuine = [np.empty(0)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=bool)]
+        if x.num_rows and y.num_rows:
+            every = np.round(-_distances(_matrix(x, "embedding"), _matrix(y, "vector")), digits)
             same = x.column("label").to_numpy()[:, None] == y.column("claimed").to_numpy()[None, :]
-            found, n = np.unique(np.stack([scores.ravel(), same.ravel().astype(np.float64)], axis=1), axis=0, return_counts=True)
-        return pa.table({"score": pa.array(found[:, 0]), "genuine": pa.array(found[:, 1] > 0), "n": pa.array(n.astype(np.int64))})
+            for kind in (True, False):
+                value, times = np.unique(every[same == kind], return_counts=True)
+                scores.append(value)
+                n.append(times)
+                genuine.append(np.full(len(value), kind))
+        return pa.table({"score": np.concatenate(scores), "genuine": np.concatenate(genuine), "n": np.concatenate(n)})
 
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, "score double, genuine boolean, n bigint")
 
