@@ -6,6 +6,7 @@ import json
 import logging
 from dataclasses import asdict, dataclass, is_dataclass
 from enum import Enum
+from pathlib import Path
 
 
 @dataclass
@@ -51,3 +52,11 @@ def logger(name: str, path: str | None = None, level: int = logging.INFO) -> log
             handler.setFormatter(shape)
             log.addHandler(handler)
     return log
+
+
+def clear_logs(folder: str) -> list[str]:
+    """Delete the .log files of a folder, those below it not; their names. FileNotFoundError if there is no such folder."""
+    found = sorted(p for p in Path(folder).iterdir() if p.suffix == ".log" and p.is_file())
+    for p in found:
+        p.unlink()
+    return [p.name for p in found]

@@ -25,6 +25,15 @@ def not_empty(samples: DataFrame) -> DataFrame:
     return samples
 
 
+def check_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
+    """df; TypeError if a column of expected is missing or of another type. Other columns and nullability don't matter."""
+    found = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wrong = [f"{f.name}: {found.get(f.name, 'missing')}, not {f.dataType.simpleString()}" for f in expected.fields if found.get(f.name) != f.dataType.simpleString()]
+    if wrong:
+        raise TypeError("; ".join(wrong))
+    return df
+
+
 def update(samples: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     """Columns that there are get new values; others are ignored."""
     return samples.withColumns({k: v for k, v in values.items() if k in samples.columns})

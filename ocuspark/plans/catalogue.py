@@ -755,6 +755,33 @@ def train_linear_head(spark, d):
     return fit_linear_head(e, 20).predict(e)
 
 
+@query()
+def train_embedder(spark, d):
+    """Rows only: loss and accuracy of each step of an episodic training; the optimiser's steps are not SQL."""
+    from ..functions.parameters import ModelConfig
+    from ..operators.embedder import ConvBlock, Embedder, EmbedderConfig
+    from ..operators.episodic import train
+
+    e = embeddings(spark, d).select(F.col("vec_id").alias("guid"), "label", F.col("embedding").cast("array<double>").alias("data"))
+    start = Embedder(EmbedderConfig([ConvBlock(1, 4, 5, 2)], [(16, "none")]), 64)
+    config = ModelConfig(n_support=5, n_query=5, iterations=20, n_classes=5, learning_rate=0.01)
+    return spark.createDataFrame(train(e, start, config, per_step=5).history, "step int, loss double, accuracy double").select("step", F.round("loss", 6).alias("loss"), "accuracy")
+
+
+@query(f"WITH {PRED} SELECT vec_id AS guid, CAST(predicted AS BIGINT) AS id, 'c' || predicted AS name, round(probability, 6) AS probability FROM pred")
+def predictions_onto_samples(spark, d):
+    """A convolution of width 1 and weight 1 passes a sample on as it is, so that SQL can say what is predicted."""
+    from ..operators.embedder import ConvBlock, Embedder, EmbedderConfig
+    from . import pipelines as PL
+
+    e = embeddings(spark, d)
+    model = Embedder(EmbedderConfig([ConvBlock(1, 1, 1, activation="none")]), 64)
+    model.weights["conv0"] = np.ones((1, 1, 1))
+    indexed = e.select("label").distinct().select(F.col("label").cast("bigint").alias("idx"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("name"))
+    found = PL.predict_onto(e.select(F.col("vec_id").alias("guid"), F.col("embedding").cast("array<double>").alias("data")), model, e, indexed)
+    return found.select("guid", "predicted_label.id", "predicted_label.name", F.round("predicted_label.probability", 6).alias("probability"))
+
+
 @query()
 def embedding_verification(spark, d):
     """Rows only: recordings through cleaning, velocities, segments and the network to an equal error rate."""

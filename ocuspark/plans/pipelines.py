@@ -65,6 +65,18 @@ def embed_segments(vectors: DataFrame, model: E.Embedder) -> DataFrame:
     return cut(found.select(F.col("guid").alias("vec_id"), F.col("session").alias("label"), "embedding"))
 
 
+def predict_onto(samples: DataFrame, model: E.Embedder, support: DataFrame, indexed: DataFrame) -> DataFrame:
+    """samples (guid, data, …) with predicted_label: id, name, probability and distance of the nearest prototype.
+
+    Prototypes are those of support (label, embedding); names are those of
+    indexed (idx, name), or null. Samples that the network can't take have null.
+    """
+    vectors = E.embed(samples, model).where("embedding is not null")
+    best = P.predict(P.distances(vectors, P.prototypes(support)), "guid").withColumn("id", F.col("predicted").cast("bigint"))
+    named = best.join(indexed.select(F.col("idx").alias("id"), F.col("name")), "id", "left")
+    return samples.join(named.select("guid", F.struct("id", "name", "probability", "distance").alias("predicted_label")), "guid", "left")
+
+
 def verify(embeddings: DataFrame, n_support: int) -> DataFrame:
     """Equal error rate of claims of all labels by all query vectors, prototypes from each label's first n_support vectors."""
     roles = P.support_and_query(embeddings, n_support)

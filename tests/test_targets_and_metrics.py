@@ -212,3 +212,21 @@ def test_trained_head_and_pipelines(spark, tmp_path):
     assert {(r.name, r.dataset_type) for r in made.collect()} == {(r.name, r.dataset_type) for r in again.collect()}
     with pytest.raises(ValueError):
         PL.generate_targets(data, {"train": 1}, scheme="by hand")
+
+
+def test_schema_check_and_old_logs(spark, tmp_path):
+    from ocuspark.functions.parameters import clear_logs
+    from ocuspark.operators.samples import check_schema
+    from pyspark.sql import types as T
+
+    df = spark.range(1).selectExpr("id", "cast(id as string) as name", "1 as more")
+    assert check_schema(df, T.StructType.fromDDL("id bigint, name string")) is df
+    with pytest.raises(TypeError, match="name: string, not int; gone: missing, not double"):
+        check_schema(df, T.StructType.fromDDL("name int, gone double"))
+    (tmp_path / "below.log").mkdir()
+    for name in ("b.log", "a.log", "a.txt"):
+        (tmp_path / name).write_text("")
+    assert clear_logs(str(tmp_path)) == ["a.log", "b.log"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.txt", "below.log"]
+    with pytest.raises(FileNotFoundError):
+        clear_logs(str(tmp_path / "none"))
