@@ -9,13 +9,15 @@ by the hash of all their words. For an item shorter than a window, every run of
 so many words is a fingerprint, so the guarantee holds for it as well.
 
 The benchmark side is small by nature, but its size is checked: it is cut into
-blocks of at most `block_words` words, and documents pass all blocks one after
+blocks of at most `block_words` words (a longer item is cut, into pieces that
+overlap by a window less a word), and documents pass all blocks one after
 another, so no shuffle is needed and no more than a block is in a worker's memory.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,7 @@ from . import textkit as K
 from .job import beside, cut, ship
 
 WINDOW, GRAM = 13, 6
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 class Fingerprints:
@@ -109,19 +112,34 @@ def _winnow(words: K.Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
     return chosen[first], grams[chosen[first]], ok[first], ok[last]
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str], list[str | None]]]:
+def _pieces(text: str, n_words: int, window: int, block_words: int) -> Iterator[tuple[str, int]]:
+    """The text of an item and its number of words; of over block_words words, pieces that have all its windows.
+
+    Neighbours share window - 1 words, so each window is whole in one piece, and
+    no piece has fewer words than a window.
+    """
+    if n_words <= block_words:
+        yield text, n_words
+        return
+    places = [m.span() for m in re.finditer(WORD, text)]
+    for at in range(0, max(n_words - window + 1, 1), block_words):
+        own = places[at : at + block_words + window - 1]
+        yield text[own[0][0] : own[-1][1]], len(own)
+
+
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[tuple[list[str], list[str | None]]]:
     ids: list[str] = []
     texts: list[str | None] = []
     size = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator():
-        if row.t is None:
-            continue
-        if ids and size + len(row.t) > 4 * block_words:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row.i if row.i is not None else "")
-        texts.append(row.t)
-        size += len(row.t)
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"), F.regexp_count("text", F.lit(WORD)).alias("n"))
+    for row in items.toLocalIterator():
+        for text, n in _pieces(row.t, row.n, window, block_words):
+            if ids and size + n > block_words:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(row.i if row.i is not None else "")
+            texts.append(text)
+            size += n
     yield ids, texts
 
 
@@ -145,7 +163,7 @@ def _find(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, block_w
     added = T.StructType.fromDDL("n_words bigint, hit_spans array<struct<start:int,end:int>>, item_ids array<string>")
     out = T.StructType([*docs.schema.fields, *added.fields])
     found = docs
-    for number, (ids, texts) in enumerate(_blocks(benchmark, block_words)):
+    for number, (ids, texts) in enumerate(_blocks(benchmark, window, block_words)):
         shared = spark.sparkContext.broadcast(Fingerprints(ids, texts, window, gram))
         if number:
             found = cut(found)

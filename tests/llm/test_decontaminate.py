@@ -55,6 +55,15 @@ def test_edges_and_blocks(spark):
     assert D.find_overlaps(docs_df.limit(0), bench).collect() == []
 
 
+def test_long_items_are_cut_into_pieces_with_all_windows():
+    for n in (12, 13, 20, 21, 33, 100):
+        text = ", ".join(f"É{i}A" for i in range(n)) + "!"
+        pieces = [words(t) for t, size in D._pieces(text, n, 13, 20) if len(words(t)) == size]
+        assert all(len(w) <= 20 + 12 for w in pieces) and (len(pieces) > 1) == (n > 32)
+        cut = [tuple(w[i : i + 13]) for w in pieces for i in range(max(1, len(w) - 12))]
+        assert cut == [tuple(words(text)[i : i + 13]) for i in range(max(1, n - 12))]
+
+
 def test_spans_end_with_their_text(spark):
     bench = spark.createDataFrame([(1, "a b"), (2, "b c")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b"), (2, "a b c x b c")], "doc_id long, text string").coalesce(1)
