@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_mil, chat, decontaminate, jaccard, license_scan, mixing, quality_rules, secret_scan, sql, substring, suffix_family
+from . import attention_mil, chat, decontaminate, divergence, fill_in_middle, jaccard, license_scan, mixing, quality_rules, secret_scan, sql, substring, suffix_family, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +67,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.fit(url_filter.starting_table(spark))
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_secret_scan, op7_mixing, op8_license_scan, op9_substring_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_secret_scan, op7_mixing, op8_license_scan, op9_substring_dedup, op10_jaccard_join, op11_source_divergence, op12_fill_in_middle, op13_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; tests hold the others against brute force."""
-    return {"op1_decontamination": sql.OP1, "op2_chat_formatting": sql.OP2, "op9_substring_dedup": sql.OP9, "op10_jaccard_join": sql.OP10}
+    return {"op1_decontamination": sql.OP1, "op2_chat_formatting": sql.OP2, "op9_substring_dedup": sql.OP9, "op10_jaccard_join": sql.OP10, "op11_source_divergence": sql.OP11, "op12_fill_in_middle": sql.OP12}
