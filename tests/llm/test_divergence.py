@@ -1,6 +1,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from ocuspark.llm import divergence as D
 from ocuspark.llm.queries import op11_source_divergence
@@ -62,7 +63,7 @@ def test_edges(spark, monkeypatch, sources, terms, piece, held):
     """Nulls, copies, ties, empty texts, clashing columns; the same in blocks of one source and two terms, and in pieces of a text."""
     monkeypatch.setattr(D.K, "PIECE", piece)
     monkeypatch.setattr(D, "HELD", held)
-    monkeypatch.setattr(D.pairs, "__defaults__", (sources, terms))
+    monkeypatch.setattr(D.evaluate, "__defaults__", (D.TOP, sources, terms))
     rows = [(i % 3 or None, t, lang, s, "k", 7, "one", "x") for i, (t, lang, s) in enumerate(ODD * 2)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert found(D.audit(df)) == brute(ODD * 2)
@@ -78,9 +79,8 @@ def test_a_text_is_tokenized_once(spark):
     assert sum(r.n or 0 for r in got) == 400
 
 
-def test_large_counts_are_exact(spark):
-    big = 10**15
-    df = spark.createDataFrame([(big, 3 * big, 5)], "n long, total long, kept long")
-    assert df.select(D.share("n", "total", "kept")).first()[0] == 1 + 10**9 * (big + 1) // (3 * big + 5)
-    df = spark.createDataFrame([(10**9 + 1, 1)], "p long, q long")
-    assert df.select(D.distance("p", "q")).first()[0] == 10**18
+def test_large_counts_are_exact():
+    for n in (0, 8 * 10**9, 10**15, 3 * 10**17):
+        total = max(3 * n, 7)
+        assert D.share(np.array([n, 0]), np.array([total, total]), 5).tolist() == [1 + 10**9 * (n + 1) // (total + 5), 1 + 10**9 // (total + 5)]
+    assert D.distance(np.array([10**9 + 1]), np.array([1])).tolist() == [10**18]
