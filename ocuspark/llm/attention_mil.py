@@ -7,9 +7,10 @@ weighted sum of passage vectors is scored. Only document labels are known;
 encoder, attention and score are learned together by gradient descent.
 
 Bounds: the model is fitted on at most `fit_rows` labelled documents of the
-training folds, in the order of a hash of doc_id, and on at most `FIT_PASSAGES`
-passages in all: a document of which the passages would be too many is left out
-of the fit. Scoring covers every passage of every text.
+training folds, in the order of a hash of doc_id, and on at most `fit_passages`
+passages in all. Documents are taken whole, in that order; one that would be too
+many is passed over, and those after it are taken as far as they fit. Scoring
+covers every passage of every text.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .job import beside, ship
+from .job import beside, ship, stored
 from .quality_rules import _LEADS, _PUNCT, _SYMBOL, _UPPER, _within
 
 PASSAGE, SIGNS, HIDDEN, STEPS, FIT_ROWS, FIT_PASSAGES, SEED = 64, 16, 16, 300, 4000, 200_000, 11
@@ -146,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_passag
     """A model from labelled rows of the training folds; with no such rows, or labels of one kind, it is left at its start.
 
     Of rows that share a doc_id one counts, whatever their number; of its labels
-    the highest. Null and empty texts are one empty passage.
+    the highest. Null and empty texts are one empty passage. A document of more
+    than fit_passages passages is never used, and takes no other one's place.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -166,11 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_passag
                 rows = [x[e - n : e].tobytes() for e, n in zip(ends, per_doc, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, type=pa.binary())], names=["doc_id", "quality", "x"])
 
-    # one row an id, fit_rows at most, so that their running sum is one small task
-    each = texts.mapInArrow(encode, "doc_id bigint, quality int, x binary").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("one")).select("doc_id", "one.*")
-    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.octet_length("x") / F.lit(4 * N_FEATURES)).over(so_far)
-    got = sorted((r.doc_id, r.quality, bytes(r.x)) for r in each.withColumn("total", total).where(F.col("total") <= fit_passages).collect())
+    # one row an id, fit_rows at most; their sizes are judged before any of them comes to the driver
+    each = stored(texts.mapInArrow(encode, "doc_id bigint, quality int, x binary").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("one")).select("doc_id", "one.*"))
+    sizes = each.select("doc_id", F.xxhash64("doc_id").alias("order"), (F.octet_length("x") / (4 * N_FEATURES)).cast("int").alias("n")).collect()
+    taken, left = [], fit_passages
+    for r in sorted(sizes, key=lambda r: (r.order, r.doc_id)):
+        if r.n <= left:
+            taken.append((r.doc_id,))
+            left -= r.n
+    used = each.join(F.broadcast(spark.createDataFrame(taken, "doc_id bigint")), "doc_id")
+    got = sorted((r.doc_id, r.quality, bytes(r.x)) for r in used.collect())
     model = GatedAttention()
     y = np.array([q for _, q, _ in got], dtype=np.float64)
     if len(np.unique(y)) < 2:

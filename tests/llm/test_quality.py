@@ -190,3 +190,51 @@ def test_gradient_and_attention():
     loss = lambda m: -np.mean(y * np.log(s := m.score(x, per_doc)) + (1 - y) * np.log(1 - s))
     start = loss(model)
     assert loss(model.fit(x, per_doc, y, steps=60)) < start / 2
+
+
+def test_a_giant_document_takes_no_other_ones_place(spark):
+    order = [r.id for r in spark.sql("select id from range(400) where crc32(cast(cast(id as string) as binary)) % 5 <> 0 order by xxhash64(id), id").collect()][:200]
+    text = lambda n, d: ("#$% XY!! " if n % 2 else "plain quiet words, ") * (60 * A.PASSAGE if d == order[0] else 5)
+    df = spark.createDataFrame([(d, text(n, d), n % 2) for n, d in enumerate(order)], "doc_id long, text string, quality int")
+    with_it, without = A.fit(df, df, fit_passages=50), A.fit(df.where(f"doc_id <> {order[0]}"), df, fit_passages=50)
+    assert all((with_it.p[k] == without.p[k]).all() for k in with_it.p)
+    assert not (with_it.p["c"] == A.GatedAttention().p["c"]).all()
+    scores = {r.doc_id: r.score for r in A.score(df, with_it).collect()}
+    assert np.mean([(scores[d] >= 0.5) == n % 2 for n, d in enumerate(order)]) > 0.95
+    # one that would be too many is passed over: of 3, 1 and 2 passages with room for 4, the first two are used
+    sizes = {order[0]: 3, order[1]: 1, order[2]: 2}
+    three = spark.createDataFrame([(d, "word " * (n * A.PASSAGE), d == order[1]) for d, n in sizes.items()], "doc_id long, text string, quality boolean")
+    used = A.fit(three, three, fit_passages=4)
+    two = A.fit(three.where(f"doc_id <> {order[2]}"), three, fit_passages=4)
+    assert all((used.p[k] == two.p[k]).all() for k in used.p)
+
+
+def plain_passages(text):
+    """Features of one passage after the other, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    out = []
+    for at in range(0, max(1, len(words)), A.PASSAGE):
+        own = words[at : at + A.PASSAGE]
+        n, chars, seen = max(1, len(own)), max(1, sum(map(len, own))), Counter(own)
+        count = lambda allowed: sum(c in allowed for w in own for c in w)  # noqa: B023, E731
+        hashes = [int(A.K.Words(*A.K.text_bytes(A.pa.array([w])), A.K.SPACED, fold=False).hash[0]) for w in own]
+        signs = [sum(1 if h >> k & 1 else -1 for h in hashes) / np.sqrt(n) / 4 for k in range(A.SIGNS)]
+        out.append([
+            1, sum(map(len, own)) / n / 8 if own else 0, min(count("#*$%&|<>") / n, 3), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, count("0123456789") / chars, count("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") / chars,
+            min(count("!") / n, 3), sum(k - 1 for k in seen.values()) / n, sum(k for k in seen.values() if k > 1) / n, sum(w[-1] in ".," for w in own) / n, min(len(own) / A.PASSAGE, 1), *signs,
+        ])
+        if not own:
+            out[-1] = [1] + [0] * (A.N_FEATURES - 1)
+    return out
+
+
+def test_features_equal_a_plain_walk(documents):
+    texts = [*documents.values(), *WEIRD]
+    x, per_doc = A.passages(A.pa.array(texts, A.pa.string()))
+    want = [plain_passages(t) for t in texts]
+    assert per_doc.tolist() == [len(w) for w in want]
+    whole = np.array([row for w in want for row in w])
+    # an empty passage's mean word length counts one character
+    empty = whole[:, 10] == 0
+    assert np.allclose(x[~empty], whole[~empty], rtol=0, atol=2e-5)
+    assert np.allclose(x[empty][:, [0, *range(2, A.N_FEATURES)]], whole[empty][:, [0, *range(2, A.N_FEATURES)]], rtol=0, atol=2e-5)
