@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import logging
-from dataclasses import asdict, dataclass, is_dataclass
+from dataclasses import asdict, dataclass, field, is_dataclass
 from enum import Enum
 from pathlib import Path
 
 
 @dataclass
 class ModelConfig:
-    """Few-shot episodes, and the optimiser of a training run."""
+    """Few-shot episodes, and the optimiser and schedule of a training run, by name."""
 
     model_name: str = "prototypical"
     n_support: int = 10
@@ -22,6 +22,18 @@ class ModelConfig:
     optimizer: str = "AdamW"
     learning_rate: float = 1e-5
     weight_decay: float = 0.01
+    optimizer_options: dict[str, object] = field(default_factory=dict)
+    schedule: str = "StepLR"
+    schedule_options: dict[str, object] = field(default_factory=dict)
+
+    @classmethod
+    def from_json(cls, text: str) -> ModelConfig:
+        """From JSON with optimizer_type, optimizer_kwargs (lr, weight_decay and more), lr_scheduler_type and lr_scheduler_kwargs; unknown keys are an error."""
+        raw = json.loads(text)
+        options = dict(raw.pop("optimizer_kwargs", {}))
+        own = {"optimizer": raw.pop("optimizer_type", cls.optimizer), "schedule": raw.pop("lr_scheduler_type", "none"), "schedule_options": raw.pop("lr_scheduler_kwargs", {})}
+        own |= {"learning_rate": options.pop("lr", cls.learning_rate), "weight_decay": options.pop("weight_decay", 0.0), "optimizer_options": options}
+        return cls(**raw, **own)
 
 
 def parameters(thing: object) -> dict[str, object]:

@@ -4,13 +4,19 @@ Spark draws the episodes and computes the gradients of a step's episodes side
 by side; the driver adds them up and makes the optimiser's step. An episode has
 k_way * (n_support + n_query) samples, and a step's gradients are `per_step`
 times the size of the network, however many samples there are.
+
+Normalisations take the moments of the episode's batch; those of a step's
+episodes are merged, and the running means and variances follow them. Episodes,
+weights and the optimiser's memory lie in the shared folder, so that a run whose
+driver is lost is taken up where it was saved and ends with the same weights.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,133 +25,34 @@ from pyspark.sql import functions as F
 
 from ..functions.parameters import ModelConfig
 from ..session import shared_folder, ship
+from ..sources import files
 from . import targets
-from .embedder import ConvBlock, Embedder
-
-Back = Callable[[np.ndarray], np.ndarray]
-Grads = dict[str, np.ndarray]
-
-
-def _convolve(x: np.ndarray, b: ConvBlock, name: str, w: Grads, grads: Grads) -> tuple[np.ndarray, Back]:
-    time = x.shape[2]
-    x = np.pad(x, ((0, 0), (0, 0), (b.padding, b.padding)))
-    patches = np.lib.stride_tricks.sliding_window_view(x, b.kernel, axis=2)[:, :, :: b.stride]
-
-    def back(d: np.ndarray) -> np.ndarray:
-        grads[name] = np.einsum("bot,bctk->ock", d, patches)
-        grads[f"{name}_bias"] = d.sum(axis=(0, 2))
-        each, out = np.einsum("bot,ock->bctk", d, w[name]), np.zeros_like(x)
-        for k in range(b.kernel):
-            out[:, :, k : k + b.stride * d.shape[2] : b.stride] += each[..., k]
-        return out[:, :, b.padding : b.padding + time]
-
-    return np.einsum("bctk,ock->bot", patches, w[name]) + w[f"{name}_bias"][:, None], back
-
-
-def _gate(x: np.ndarray, name: str, w: Grads, grads: Grads) -> tuple[np.ndarray, Back]:
-    pooled = (x.mean(axis=2), x.max(axis=2))
-    hidden = [np.maximum(p @ w[f"{name}_in"].T, 0) for p in pooled]
-    s = 1 / (1 + np.exp(-sum(h @ w[f"{name}_out"].T for h in hidden)))
-
-    def back(d: np.ndarray) -> np.ndarray:
-        d_sum = (d * x).sum(axis=2) * s * (1 - s)
-        grads[f"{name}_out"] = sum(d_sum.T @ h for h in hidden)
-        d_hidden = [(d_sum @ w[f"{name}_out"]) * (h > 0) for h in hidden]
-        grads[f"{name}_in"] = sum(h.T @ p for h, p in zip(d_hidden, pooled, strict=True))
-        by_mean, by_max = (h @ w[f"{name}_in"] for h in d_hidden)
-        out = d * s[:, :, None] + by_mean[:, :, None] / x.shape[2]
-        b, c = np.indices(by_max.shape)
-        out[b, c, x.argmax(axis=2)] += by_max
-        return out
-
-    return x * s[:, :, None], back
-
-
-def _pool(x: np.ndarray, size: int) -> tuple[np.ndarray, Back]:
-    whole = x.shape[2] // size
-    parts = x[:, :, : whole * size].reshape(*x.shape[:2], whole, size)
-    chosen = parts.argmax(axis=3)[..., None]
-
-    def back(d: np.ndarray) -> np.ndarray:
-        spread = np.zeros_like(parts)
-        np.put_along_axis(spread, chosen, d[..., None], axis=3)
-        return np.pad(spread.reshape(*x.shape[:2], -1), ((0, 0), (0, 0), (0, x.shape[2] - whole * size)))
-
-    return np.take_along_axis(parts, chosen, axis=3)[..., 0], back
-
+from .embedder import Embedder
+from .network import Arrays, Run, follow, merged
+from .optimisers import Optimiser
 
-def _norm(x: np.ndarray, name: str, w: Grads, grads: Grads) -> tuple[np.ndarray, Back]:
-    scale = np.sqrt(w[f"{name}_var"] + 1e-5)[:, None]
-    centred = (x - w[f"{name}_mean"][:, None]) / scale
+#: How fast running moments follow those of a step: of blocks, and of spatial gates.
+MOMENTUM, GATE_MOMENTUM = 0.1, 0.01
+FIXED = ("_mean", "_var")
 
-    def back(d: np.ndarray) -> np.ndarray:
-        grads[f"{name}_gamma"], grads[f"{name}_beta"] = (d * centred).sum(axis=(0, 2)), d.sum(axis=(0, 2))
-        return d * w[f"{name}_gamma"][:, None] / scale
 
-    return centred * w[f"{name}_gamma"][:, None] + w[f"{name}_beta"][:, None], back
-
-
-def _linear(x: np.ndarray, name: str, w: Grads, grads: Grads) -> tuple[np.ndarray, Back]:
-    def back(d: np.ndarray) -> np.ndarray:
-        grads[name], grads[f"{name}_bias"] = d.T @ x, d.sum(axis=0)
-        return d @ w[name]
-
-    return x @ w[name].T + w[f"{name}_bias"], back
-
-
-def _activate(x: np.ndarray, kind: str) -> tuple[np.ndarray, Back]:
-    if kind == "none":
-        return x, lambda d: d
-    if kind == "relu":
-        return np.maximum(x, 0), lambda d: d * (x > 0)
-    if kind == "tanh":
-        y = np.tanh(x)
-        return y, lambda d: d * (1 - y * y)
-    y = 1 / (1 + np.exp(-x))
-    return y, lambda d: d * y * (1 - y)
+def recorded(net: Embedder, x: np.ndarray, run: Run | None = None) -> tuple[np.ndarray, Callable[[np.ndarray], Arrays]]:
+    """The network's output for [batch, channels, time], and a function from a loss's gradient by it to those by the weights.
 
+    Without a run of its own it is as in use: normalisations take the moments
+    that are kept with the weights, and nothing is dropped.
+    """
+    run = Run(net.weights) if run is None else run
+    return net.through(x, run), run.back
 
-def recorded(net: Embedder, x: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], Grads]]:
-    """net.forward(x) of [batch, channels, time], and a function from a loss's gradient by it to those by the weights.
 
-    Mean and variance of a normalisation are not learned; they stay as they are.
-    """
-    w, grads, backs = net.weights, {}, []
-
-    def then(step: tuple[np.ndarray, Back]) -> np.ndarray:
-        backs.append(step[1])
-        return step[0]
-
-    for i, b in enumerate(net.config.conv):
-        x = then(_convolve(x, b, f"conv{i}", w, grads))
-        if b.gate:
-            x = then(_gate(x, f"gate{i}", w, grads))
-        if b.pool > 1:
-            x = then(_pool(x, b.pool))
-        if b.norm:
-            x = then(_norm(x, f"norm{i}", w, grads))
-        x = then(_activate(x, b.activation))
-    shape = x.shape
-    x = then((x.reshape(len(x), -1), lambda d: d.reshape(shape)))
-    for i, (_, activation) in enumerate(net.config.fc):
-        x = then(_linear(x, f"fc{i}", w, grads))
-        x = then(_activate(x, activation))
-
-    def back(d: np.ndarray) -> Grads:
-        for f in reversed(backs):
-            d = f(d)
-        return grads
-
-    return x, back
-
-
-def episode_gradient(net: Embedder, x: np.ndarray, label: np.ndarray, support: np.ndarray) -> tuple[float, int, Grads]:
+def episode_gradient(net: Embedder, x: np.ndarray, label: np.ndarray, support: np.ndarray, run: Run | None = None) -> tuple[float, int, Arrays]:
     """Loss of an episode's queries, how many are nearest to their own prototype, and the gradients of the loss.
 
     The loss is that of prototypes.score(): minus the logarithm of the softmax of
     minus distance. label: numbers from 0; each has a support sample.
     """
-    z, back = recorded(net, x)
+    z, back = recorded(net, x, run)
     size = np.bincount(label[support])
     protos = np.zeros((len(size), z.shape[1]))
     np.add.at(protos, label[support], z[support] / size[label[support], None])
@@ -165,33 +72,60 @@ def episode_gradient(net: Embedder, x: np.ndarray, label: np.ndarray, support: n
     return loss, int((distance.argmin(axis=1) == own).sum()), back(d)
 
 
-class AdamW:
+def AdamW(rate: float, decay: float, every: int = 5, gamma: float = 0.1) -> Optimiser:  # noqa: N802
     """Adam with decoupled weight decay; the rate falls by `gamma` every `every` steps."""
+    return Optimiser("AdamW", rate, decay, schedule="StepLR", schedule_options={"step_size": every, "gamma": gamma})
 
-    def __init__(self, rate: float, decay: float, every: int = 5, gamma: float = 0.1) -> None:
-        self.rate, self.decay, self.every, self.gamma = rate, decay, every, gamma
-        self.done, self.first, self.second = 0, {}, {}
-
-    def step(self, weights: Grads, grads: Grads) -> Grads:
-        """New weights; those without a gradient stay."""
-        rate = self.rate * self.gamma ** (self.done // self.every)
-        self.done += 1
-        out = dict(weights)
-        for k, g in grads.items():
-            self.first[k] = 0.9 * self.first.get(k, 0.0) + 0.1 * g
-            self.second[k] = 0.999 * self.second.get(k, 0.0) + 0.001 * g * g
-            mean, square = self.first[k] / (1 - 0.9**self.done), self.second[k] / (1 - 0.999**self.done)
-            out[k] = weights[k] * (1 - rate * self.decay) - rate * mean / (np.sqrt(square) + 1e-8)
-        return out
+
+def optimiser_of(config: ModelConfig, every: int = 5, gamma: float = 0.1) -> Optimiser:
+    """The optimiser and schedule that a configuration names; every and gamma are those of a StepLR that says nothing else."""
+    own = {"step_size": every, "gamma": gamma} if config.schedule == "StepLR" else {}
+    return Optimiser(config.optimizer, config.learning_rate, config.weight_decay, config.optimizer_options, config.schedule, own | config.schedule_options)
 
 
 @dataclass
 class Trained:
+    """model: that of the best loss of validation, or the last one without validation."""
+
     model: Embedder
     history: list[tuple[int, float, float]]  # step, loss and accuracy of its episodes' queries, before the step
+    last: Embedder | None = None
+    validations: list[tuple[int, float, float]] = field(default_factory=list)  # steps done, loss and accuracy
 
 
-def _gradients(channels: int, shared) -> Callable[[pa.Table], pa.Table]:
+@dataclass
+class _State:
+    """All that the next step depends on."""
+
+    weights: Arrays
+    best: Arrays
+    optimiser: Optimiser
+    history: list[tuple[int, float, float]] = field(default_factory=list)
+    validations: list[tuple[int, float, float]] = field(default_factory=list)
+    done: int = 0
+
+    def save(self, spark, place: str, about: str) -> None:
+        memory, numbers = self.optimiser.state()
+        arrays = {f"w:{k}": v for k, v in self.weights.items()} | {f"b:{k}": v for k, v in self.best.items()} | {f"m:{k}": v for k, v in memory.items()}
+        notes = {"about": about, "done": self.done, "optimiser": numbers, "history": self.history, "validations": self.validations}
+        files.save_state(spark, arrays, json.dumps(notes), f"{place}/state-{self.done:09d}")
+
+    def load(self, spark, place: str, about: str) -> None:
+        """Take up the latest whole state below place, if there is one."""
+        found = files.whole_folders(spark, place, "state-")
+        if not found:
+            return
+        arrays, text = files.load_state(spark, f"{place}/{max(found)}")
+        notes = json.loads(text)
+        if notes["about"] != about:
+            raise ValueError(f"{place} has a run of another configuration: {notes['about']}, not {about}")
+        part = lambda c: {k[2:]: v for k, v in arrays.items() if k.startswith(f"{c}:")}
+        self.weights, self.best, self.done = part("w"), part("b"), notes["done"]
+        self.history, self.validations = ([tuple(r) for r in notes[k]] for k in ("history", "validations"))
+        self.optimiser.restore(part("m"), notes["optimiser"])
+
+
+def _episode(channels: int, shared, training: bool, draw: Sequence[int]) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         config, length, weights = shared.value
         net = Embedder(config, length)
@@ -199,52 +133,122 @@ def _gradients(channels: int, shared) -> Callable[[pa.Table], pa.Table]:
         x = np.array(table.column("data").to_pylist(), dtype=np.float64).reshape(-1, channels, length)
         label = np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)[1]
         support = np.array([r == "support" for r in table.column("role").to_pylist()])
+        keys = table.column("unit").to_numpy().astype(np.int64).view(np.uint64)
+        episode = table.column("episode")[0].as_py()
         # in one order, so that a task that runs again gives the same sums
         order = np.lexsort((np.array(table.column("shot").to_pylist()), label))
-        loss, correct, grads = episode_gradient(net, x[order], label[order], support[order])
-        flat = np.concatenate([grads[k].ravel() for k in sorted(grads)])
-        return pa.table({"episode": table.column("episode")[:1], "loss": [loss], "accuracy": [correct / max(1, int((~support).sum()))], "gradient": pa.array([flat.tobytes()], pa.binary())})
+        own = Run(weights, training, keys[order], (*draw, episode))
+        loss, correct, grads = episode_gradient(net, x[order], label[order], support[order], own)
+        flat = np.concatenate([grads[k].ravel() for k in sorted(grads)]) if training else np.empty(0)
+        moments = np.concatenate([np.empty(0), *[own.moments[k] for k in sorted(own.moments)]])
+        return pa.table({
+            "episode": table.column("episode")[:1], "loss": [loss], "accuracy": [correct / max(1, int((~support).sum()))],
+            "gradient": pa.array([flat.tobytes()], pa.binary()), "moments": pa.array([moments.tobytes()], pa.binary()),
+        })
 
     return run
 
 
-def train(samples: DataFrame, model: Embedder, config: ModelConfig, per_step: int = 10, seed: int = 0, every: int = 5, gamma: float = 0.1) -> Trained:
+_MADE = "episode int, loss double, accuracy double, gradient binary, moments binary"
+
+
+def _good(samples: DataFrame, model: Embedder) -> DataFrame:
+    whole = (F.size("data") == model.config.conv[0].in_channels * model.length) & ~F.exists("data", lambda v: v.isNull())
+    return samples.where(F.col("label").isNotNull() & F.col("data").isNotNull() & whole).select(F.col("guid").alias("item"), "label", "data")
+
+
+def _write_episodes(good: DataFrame, config: ModelConfig, episodes: int, per_step: int, seed: int, place: str) -> DataFrame:
+    """Episodes drawn once, one folder a step, so that each step reads its own; those that are there already are taken."""
+    spark = good.sparkSession
+    drawn = targets.prototypical_episodes(good.select("label", "item"), config.n_classes, config.n_support, config.n_query, episodes, seed)
+    rows = drawn.join(good.drop("label"), "item").withColumns({"unit": F.xxhash64("item"), "step": F.floor(F.col("episode") / per_step).cast("int")})
+    if place.rsplit("/", 1)[1] not in files.whole_folders(spark, place.rsplit("/", 1)[0], ""):
+        rows.repartition("step").write.mode("overwrite").partitionBy("step").parquet(place)
+    return spark.read.schema(rows.schema).parquet(place)
+
+
+def step_of(weights: Arrays, got: Sequence[dict]) -> tuple[Arrays, Arrays]:
+    """Mean gradient of a step's episodes, and their moments merged by normalisation."""
+    flat = sum(np.frombuffer(bytes(r["gradient"])) for r in got) / len(got)
+    names = sorted(n for n in weights if not n.endswith(FIXED))
+    parts = np.split(flat, np.cumsum([weights[n].size for n in names])[:-1])
+    grads = {n: p.reshape(weights[n].shape) for n, p in zip(names, parts, strict=True)}
+    norms = sorted(n.removesuffix("_mean") for n in weights if n.endswith("_mean"))
+    cuts = np.cumsum([1 + 2 * weights[f"{n}_mean"].size for n in norms])[:-1]
+    each = [np.split(np.frombuffer(bytes(r["moments"])), cuts) for r in got] if norms else []
+    return grads, {n: merged([e[i] for e in each]) for i, n in enumerate(norms)}
+
+
+def train(
+    samples: DataFrame, model: Embedder, config: ModelConfig, per_step: int = 10, seed: int = 0, every: int = 5, gamma: float = 0.1,
+    validation: DataFrame | None = None, validate_every: int = 10, validation_episodes: int = 10, path: str | None = None, save_every: int = 10,
+) -> Trained:
     """A model trained on samples (guid, label, data) by `iterations` episodes, `per_step` of them for each step of the optimiser.
 
     Samples of another size, or with a null in them, are not drawn; null labels
     neither. Labels of all n_classes meet in each episode, or all that there are.
     No samples leave the model as it is. The given model is not changed.
+
+    With samples for validation, `validation_episodes` of them are drawn once and
+    judged before the first step, every `validate_every` steps and after the last
+    one; the weights of the lowest loss are the result. With a path (a folder of
+    this run alone that the driver will find again), episodes and, every
+    `save_every` steps, the state are written there, and a run that finds a state
+    there goes on from it. Samples must be the same then; another configuration
+    is an error.
     """
-    if config.optimizer != "AdamW":
-        raise ValueError(f"{config.optimizer} is not AdamW")
+    optimiser = optimiser_of(config, every, gamma)
     spark = samples.sparkSession
     ship(spark)
     channels, length = model.config.conv[0].in_channels, model.length
-    whole = (F.size("data") == channels * length) & ~F.exists("data", lambda v: v.isNull())
-    good = samples.where(F.col("label").isNotNull() & F.col("data").isNotNull() & whole).select(F.col("guid").alias("item"), "label", "data")
-    drawn = targets.prototypical_episodes(good.select("label", "item"), config.n_classes, config.n_support, config.n_query, config.iterations, seed)
-    step = F.floor(F.col("episode") / per_step).cast("int")
-    place = f"{shared_folder(spark)}/episodes-{uuid.uuid4().hex}"
-    rows = drawn.join(good.drop("label"), "item").withColumn("step", step)
-    # drawn once, and one folder a step: each step reads its own episodes
-    rows.repartition("step").write.partitionBy("step").parquet(place)
-    trained = Embedder(model.config, length)
-    trained.weights = dict(model.weights)
-    optimiser, history = AdamW(config.learning_rate, config.weight_decay, every, gamma), []
-    written = spark.read.schema(rows.schema).parquet(place)
-    for k in range(-(-config.iterations // per_step)):
-        shared = spark.sparkContext.broadcast((trained.config, length, trained.weights))
-        made = written.where(F.col("step") == k).groupBy("episode").applyInArrow(_gradients(channels, shared), "episode int, loss double, accuracy double, gradient binary")
-        # per_step rows at most
-        got = sorted(made.collect(), key=lambda r: r["episode"])
+    place = path or f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
+    about = json.dumps({"config": asdict(config), "network": asdict(model.config), "length": length, "per_step": per_step, "seed": seed, "every": every, "gamma": gamma, "validate_every": validate_every}, sort_keys=True)
+    state = _State(dict(model.weights), dict(model.weights), optimiser)
+    if path is not None:
+        state.load(spark, place, about)
+    written = _write_episodes(_good(samples, model), config, config.iterations, per_step, seed, f"{place}/episodes")
+    judged = None if validation is None else _write_episodes(_good(validation, model), config, validation_episodes, validation_episodes, seed + 1, f"{place}/validation")
+
+    def ran(episodes: DataFrame, training: bool) -> list[dict]:
+        shared = spark.sparkContext.broadcast((model.config, length, state.weights))
+        made = episodes.groupBy("episode").applyInArrow(_episode(channels, shared, training, (seed, state.done)), _MADE)
+        # per_step rows at most, or validation_episodes
+        got = sorted((r.asDict() for r in made.collect()), key=lambda r: r["episode"])
+        shared.unpersist()
+        return got
+
+    mean = lambda got, of: float(np.mean([r[of] for r in got]))
+
+    def validate() -> None:
+        if judged is None or any(k == state.done for k, *_ in state.validations):
+            return
+        if got := ran(judged, False):
+            loss = mean(got, "loss")
+            if all(loss < earlier for _, earlier, _ in state.validations):
+                state.best = dict(state.weights)
+            state.validations.append((state.done, loss, mean(got, "accuracy")))
+            if state.done:
+                optimiser.told(loss)
+
+    steps = -(-config.iterations // per_step)
+    validate()
+    while state.done < steps:
+        got = ran(written.where(F.col("step") == state.done), True)
         if not got:
             break
-        flat = sum(np.frombuffer(bytes(r["gradient"])) for r in got) / len(got)
-        history.append((k, float(np.mean([r["loss"] for r in got])), float(np.mean([r["accuracy"] for r in got]))))
-        fixed = ("_mean", "_var")
-        names = sorted(n for n in trained.weights if not n.endswith(fixed))
-        sizes = [trained.weights[n].size for n in names]
-        parts = np.split(flat, np.cumsum(sizes)[:-1])
-        trained.weights = optimiser.step(trained.weights, {n: p.reshape(trained.weights[n].shape) for n, p in zip(names, parts, strict=True)})
-        shared.unpersist()
-    return Trained(trained, history)
+        state.history.append((state.done, mean(got, "loss"), mean(got, "accuracy")))
+        grads, moments = step_of(state.weights, got)
+        moved = optimiser.step(state.weights, grads)
+        state.weights = follow(moved, moments, lambda n: GATE_MOMENTUM if n.startswith("spatial") else MOMENTUM)
+        state.done += 1
+        if state.done % validate_every == 0 or state.done == steps:
+            validate()
+        if path is not None and (state.done % save_every == 0 or state.done == steps):
+            state.save(spark, place, about)
+
+    def net(weights: Arrays) -> Embedder:
+        out = Embedder(model.config, length)
+        out.weights = dict(weights)
+        return out
+
+    return Trained(net(state.best if state.validations else state.weights), state.history, net(state.weights), state.validations)

@@ -111,16 +111,17 @@ def pool_over_time(x: DataFrame, kinds: tuple[str, ...] = POOLS) -> DataFrame:
     return x.withColumn("top", top).groupBy("id", "c").agg(*[of[k].alias(k) for k in kinds])
 
 
-def channel_gate(x: DataFrame, w1: DataFrame, w2: DataFrame, kinds: tuple[str, ...] = ("avg", "max")) -> DataFrame:
+def channel_gate(x: DataFrame, w1: DataFrame, w2: DataFrame, kinds: tuple[str, ...] = ("avg", "max"), biases: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Scale of each channel: sigmoid of the sum, over kinds of pooling, of a two-layer network; x scaled by it.
 
-    w1 (o, j, w), w2 (o, j, w): the same for all kinds.
+    w1 (o, j, w), w2 (o, j, w), and biases (o, b) of both if there are any: the same for all kinds.
     """
+    b1, b2 = biases or (None, None)
     pooled = pool_over_time(x, kinds)
     total = None
     for kind in kinds:
-        hidden = relu(linear(pooled.select("id", F.col("c").alias("j"), F.col(kind).alias("v")), w1))
-        out = linear(hidden.withColumnRenamed("o", "j"), w2)
+        hidden = relu(linear(pooled.select("id", F.col("c").alias("j"), F.col(kind).alias("v")), w1, b1))
+        out = linear(hidden.withColumnRenamed("o", "j"), w2, b2)
         total = out if total is None else total.unionByName(out)
     gate = total.groupBy("id", F.col("o").alias("c")).agg(F.sum("v").alias("g")).select("id", "c", sigmoid(F.col("g")).alias("gate"))
     return x.join(gate, ["id", "c"]).select("id", "c", "t", (F.col("v") * F.col("gate")).alias("v"))
@@ -138,6 +139,6 @@ def spatial_gate(x: DataFrame, weights: DataFrame, kernel: int) -> DataFrame:
     return x.join(gate, ["id", "t"]).select("id", "c", "t", (F.col("v") * F.col("gate")).alias("v"))
 
 
-def cbam(x: DataFrame, w1: DataFrame, w2: DataFrame, spatial: DataFrame | None = None, kernel: int = 7) -> DataFrame:
-    gated = channel_gate(x, w1, w2)
+def cbam(x: DataFrame, w1: DataFrame, w2: DataFrame, spatial: DataFrame | None = None, kernel: int = 7, biases: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    gated = channel_gate(x, w1, w2, biases=biases)
     return gated if spatial is None else spatial_gate(gated, spatial, kernel)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import euclidean
+from ..sources import files
 
 
 def prototypes(embeddings: DataFrame) -> DataFrame:
@@ -68,3 +69,66 @@ def attach(samples: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """Samples with their prediction, by key; samples without one have null."""
     cols = [c for c in predicted.columns if c not in samples.columns]
     return samples.join(predicted.select(key, F.struct(*cols).alias("predicted_label")), key, "left")
+
+
+def sums(embeddings: DataFrame) -> DataFrame:
+    """label, n and the sum of its vectors: what prototypes are made of, and what can be added up. Rows with a null label, vector or value are left out."""
+    good = embeddings.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull()))
+    return _added(good.select("label", F.lit(1).cast("bigint").alias("n"), F.col("embedding").cast("array<double>").alias("sums")))
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """One row a label from rows (label, n, sums), by label and place, so no vectors are gathered."""
+    each = parts.select("label", "n", F.posexplode("sums").alias("pos", "v")).groupBy("label", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    whole = each.groupBy("label").agg(F.min("n").alias("least"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("at"))
+    same = F.when(F.col("least") == F.col("n"), F.transform("at", lambda x: x["v"])).otherwise(F.raise_error(F.lit("vectors of one label differ in size")))
+    return whole.select("label", "n", same.alias("sums"))
+
+
+class Store:
+    """Prototypes of known labels in files, for queries that come without support vectors.
+
+    The state is a table of counts and sums, one version after the other; an
+    update reads the last whole version, adds a batch and writes the next one,
+    so a lost update leaves the state as it was. Batches in any order give the
+    same sums, up to rounding. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def versions(self) -> list[str]:
+        return files.whole_folders(self.spark, self.path, "version-")
+
+    def state(self) -> DataFrame | None:
+        """label, n and sums of the last version; None if nothing is stored."""
+        found = self.versions()
+        return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
+
+    def update(self, embeddings: DataFrame) -> None:
+        """Add vectors (label, embedding)."""
+        new, old = sums(embeddings), self.state()
+        whole = new if old is None else _added(old.unionByName(new))
+        at = int(self.versions()[-1].rsplit("-", 1)[1]) + 1 if old is not None else 0
+        whole.write.mode("overwrite").parquet(f"{self.path}/version-{at:09d}")
+
+    def prototypes(self) -> DataFrame:
+        """label, prototype and n."""
+        state = self.state()
+        if state is None:
+            raise ValueError(f"no prototypes at {self.path}")
+        return state.select("label", F.transform("sums", lambda v: v / F.col("n")).alias("prototype"), "n")
+
+
+def chosen(support: DataFrame | None = None, store: Store | None = None) -> DataFrame:
+    """label and prototype: hot ones, of support vectors, where there are some to ask; else the stored, cold ones; else ValueError."""
+    if support is not None:
+        return prototypes(support)
+    if store is not None and store.versions():
+        return store.prototypes().select("label", "prototype")
+    raise ValueError("predictions need support vectors (label, embedding) or stored prototypes")
+
+
+def predict_with(queries: DataFrame, support: DataFrame | None = None, store: Store | None = None, key: str = "vec_id") -> DataFrame:
+    """predict() against the prototypes that chosen() gives."""
+    return predict(distances(queries, chosen(support, store)), key)

@@ -999,3 +999,6 @@ def end_to_end_verification(spark, d):
     vectors = vectors.withColumnRenamed("session", "label")
     protos = P.prototypes(vectors.where("segment_idx % 2 = 0"))
     return M.eer(M.fmr_fnmr(PR.claims(vectors.where("segment_idx % 2 = 1"), protos), 8)).select(F.round("eer", 3).alias("eer"))
+
+
+from . import learning as learning  # noqa: E402, registers its queries

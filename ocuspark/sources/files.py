@@ -81,3 +81,25 @@ def save_weights(spark: SparkSession, weights: Mapping[str, np.ndarray], path: s
 
 def load_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return {r["layer"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+
+
+def save_state(spark: SparkSession, arrays: Mapping[str, np.ndarray], notes: str, path: str) -> None:
+    """Arrays and a text as rows (name, shape, values, text); in place of what is there."""
+    rows = [(k, list(map(int, v.shape)), v.ravel().astype(float).tolist(), None) for k, v in arrays.items()]
+    spark.createDataFrame([*rows, ("", None, None, notes)], "name string, shape array<int>, `values` array<double>, text string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[dict[str, np.ndarray], str]:
+    rows = spark.read.parquet(path).collect()
+    arrays = {r["name"]: np.array(r["values"], dtype=np.float64).reshape(r["shape"]) for r in rows if r["text"] is None}
+    return arrays, next(r["text"] for r in rows if r["text"] is not None)
+
+
+def whole_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders below path that begin so and that a writer has finished."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(conf)
+    found = fs.listStatus(top) if fs.exists(top) else []
+    names = [f.getPath().getName() for f in found if f.isDirectory() and f.getPath().getName().startswith(prefix)]
+    return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
