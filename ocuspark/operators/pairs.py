@@ -1,7 +1,12 @@
 """Vectors against vectors, in blocks: each pair of blocks is one task's matrix of distances.
 
 The number of pairs is the product of the tables' sizes; vectors are copied
-once for each block that they meet, and what a task holds is two blocks.
+once for each block that they meet, and what a task holds is two blocks. Tables
+are written to the shared folder first: they are counted and read more than
+once, and a block must be the same when a task runs again, which computed
+doubles need not be. What leaves a pair of blocks is made for its use: all pairs
+(pair_scores), counts of distinct scores (claims), or counts in at most BINS
+ranges of scores (equal_error_rate), so that no pair is shuffled.
 """
 
 from __future__ import annotations
@@ -11,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 
-BLOCK = 512
+BLOCK, BINS = 512, 4096
+#: Squared distances below this share of the squared lengths are computed from differences: the product loses too many digits there.
+NEAR = 1e-3
 
 
 def _blocks(df: DataFrame) -> int:
@@ -40,11 +47,33 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if len(a) and len(b) and a.shape[1] != b.shape[1]:
         raise ValueError("vectors differ in size")
-    out = np.empty((len(a), len(b)))
-    step = max(1, (1 << 21) // max(1, b.size))
-    for i in range(0, len(a), step):
-        out[i : i + step] = np.sqrt(((a[i : i + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return out
+    own, other = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None]
+    whole = own + other
+    out = whole - 2 * (a @ b.T)
+    i, j = np.nonzero(~(out > NEAR * whole))
+    step = max(1, (1 << 21) // max(1, a.shape[1] if len(a) else 1))
+    for at in range(0, len(i), step):
+        x, y = i[at : at + step], j[at : at + step]
+        out[x, y] = ((a[x] - b[y]) ** 2).sum(axis=1)
+    return np.sqrt(out)
+
+
+def _dealt(queries: DataFrame, protos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides, each row with every block (a, b) that it is in."""
+    # other names on the right: of columns that both sides have, Spark's pruning would drop the right one's
+    q, p = cut(queries.select("label", "embedding")), cut(protos.select(F.col("label").alias("claimed"), F.col("prototype").alias("vector")))
+    nq, np_ = _blocks(q), _blocks(p)
+    left = q.select("*", _block(q, nq).alias("a"), F.explode(_up_to(0, np_ - 1)).alias("b"))
+    right = p.select("*", _block(p, np_).alias("b"), F.explode(_up_to(0, nq - 1)).alias("a"))
+    return left, right
+
+
+def _scores(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Minus distance of all pairs of two blocks, and which are genuine; flat."""
+    if not (x.num_rows and y.num_rows):  # a side without rows has no columns
+        return np.empty(0), np.empty(0, dtype=bool)
+    same = x.column("label").to_numpy()[:, None] == y.column("claimed").to_numpy()[None, :]
+    return -_distances(_matrix(x, "embedding"), _matrix(y, "vector")).ravel(), same.ravel()
 
 
 def claims(queries: DataFrame, protos: DataFrame, digits: int = 6) -> DataFrame:
@@ -53,31 +82,104 @@ def claims(queries: DataFrame, protos: DataFrame, digits: int = 6) -> DataFrame:
     Every query claims every label. Scores are counted where they are made.
     """
     ship(queries.sparkSession)
-    # other names on the right: of columns that both sides have, Spark's pruning would drop the right one's
-    q, p = queries.select("label", "embedding"), protos.select(F.col("label").alias("claimed"), F.col("prototype").alias("vector"))
-    nq, np_ = _blocks(q), _blocks(p)
-    left = q.select("*", _block(q, nq).alias("a"), F.explode(_up_to(0, np_ - 1)).alias("b"))
-    right = p.select("*", _block(p, np_).alias("b"), F.explode(_up_to(0, nq - 1)).alias("a"))
+    left, right = _dealt(queries, protos)
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        scores, n, genuine = [np.empty(0)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=bool)]
-        if x.num_rows and y.num_rows:
-            every = np.round(-_distances(_matrix(x, "embedding"), _matrix(y, "vector")), digits)
-            same = x.column("label").to_numpy()[:, None] == y.column("claimed").to_numpy()[None, :]
-            for kind in (True, False):
-                value, times = np.unique(every[same == kind], return_counts=True)
-                scores.append(value)
-                n.append(times)
-                genuine.append(np.full(len(value), kind))
+        every, same = _scores(x, y)
+        every = np.round(every, digits)
+        scores, n, genuine = [], [], []
+        for kind in (True, False):
+            value, times = np.unique(every[same == kind], return_counts=True)
+            scores.append(value)
+            n.append(times)
+            genuine.append(np.full(len(value), kind))
         return pa.table({"score": np.concatenate(scores), "genuine": np.concatenate(genuine), "n": np.concatenate(n)})
 
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, "score double, genuine boolean, n bigint")
 
 
+Range = tuple[int, int, int]  # from, to (not in it), width of a bin
+
+
+def _ranges(spans: list[tuple[int, int]], bins: int) -> list[Range]:
+    each = max(2, bins // len(spans))  # two at least, so that every round divides
+    return [(lo, hi, -(-(hi - lo) // each)) for lo, hi in spans]
+
+
+def _counted(left: DataFrame, right: DataFrame, ranges: list[Range], digits: int) -> list[tuple[int, int, int, int]]:
+    """From, to, genuine and impostor scores of each bin of the ranges that has some, in order; scores are whole numbers of 10^-digits."""
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        every, same = _scores(x, y)
+        good = ~np.isnan(every)
+        whole, same = np.rint(every[good] * 10.0**digits).astype(np.int64), same[good]
+        rows = []
+        for k, (lo, hi, width) in enumerate(ranges):
+            inside = (whole >= lo) & (whole < hi)
+            at = (whole[inside] - lo) // width
+            counts = [np.bincount(at[same[inside] == kind], minlength=-(-(hi - lo) // width)) for kind in (True, False)]
+            some = np.flatnonzero(counts[0] + counts[1])
+            rows.append((np.full(len(some), k), some, counts[0][some], counts[1][some]))
+        cols = [np.concatenate(c).astype(np.int64) for c in zip(*rows, strict=True)]
+        return pa.table(dict(zip(("k", "bin", "g", "m"), cols, strict=True)))
+
+    made = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(meet, "k bigint, bin bigint, g bigint, m bigint")
+    # a row a bin at most
+    found = sorted(tuple(r) for r in made.groupBy("k", "bin").agg(F.sum("g"), F.sum("m")).collect())
+    place = lambda k, b: (ranges[k][0] + b * ranges[k][2], min(ranges[k][1], ranges[k][0] + (b + 1) * ranges[k][2]))
+    return [(*place(k, b), g, m) for k, b, g, m in found]
+
+
+def equal_error_rate(queries: DataFrame, protos: DataFrame, digits: int = 6, bins: int = BINS) -> DataFrame:
+    """threshold, low, high and eer of claims of every label by every query, as metrics.eer() of claims() says; one row.
+
+    Scores are counted in bins inside the blocks. Only the bins around the place
+    where the curves cross (that of the crossing, and the next ones on both
+    sides that have scores) are divided again, until a bin is one score: the
+    result is exact, and a round moves at most `bins` rows a block. If the curves
+    never cross, or there are no scores of a kind, rates are 1 and the threshold is null.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    left, right = _dealt(queries, protos)
+    longest = lambda df, c: df.agg(F.max(F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double"))))).first()[0] or 0.0
+    least = -int(np.ceil((longest(left, "embedding") + longest(right, "vector")) * 10.0**digits)) - 2
+    ranges, below, total = _ranges([(least, 1)], bins), (0, 0), None
+    best = None
+    while ranges:
+        rows = _counted(left, right, ranges, digits)
+        total = total or (sum(r[2] for r in rows), sum(r[3] for r in rows))
+        if not all(total):
+            break
+        g, m, k, before = *below, None, []
+        for i, row in enumerate(rows):
+            before.append((g, m))
+            g, m = g + row[2], m + row[3]
+            if k is None and (total[1] - m) / total[1] <= g / total[0]:
+                k = i
+        before.append((g, m))
+        if k is None:
+            break
+        # the curves cross behind the first score of bin k: at another one of it, or at the first one of the next bin
+        near = range(max(0, k - 1), min(len(rows), k + 2))
+        if all(rows[i][1] - rows[i][0] == 1 for i in near):
+            point = lambda i: (rows[i][0] / 10.0**digits, (total[1] - before[i][1]) / total[1], before[i][0] / total[0])  # noqa: B023, E731
+            crossed = [i for i in near if point(i)[1] <= point(i)[2]]
+            if crossed:
+                c = point(crossed[0])
+                b = point(crossed[0] - 1) if crossed[0] else None
+                best = b if b and c[1] != c[2] and b[1] + b[2] <= c[1] + c[2] else c
+            break
+        below = before[near[0]]
+        ranges = _ranges([rows[i][:2] for i in near], bins)
+    row = (None, 1.0, 1.0, 1.0) if best is None else (best[0], min(best[1:]), max(best[1:]), (best[1] + best[2]) / 2)
+    return spark.createDataFrame([row], "threshold double, low double, high double, eer double")
+
+
 def pair_scores(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
     """score (minus distance) and genuine of all unordered pairs (a < b) of a set of vectors that is evaluated as a whole."""
     ship(embeddings.sparkSession)
-    v = embeddings.select(F.col(key).alias("key"), "label", "embedding")
+    v = cut(embeddings.select(F.col(key).alias("key"), "label", "embedding"))
     n = _blocks(v)
     kind = v.schema["key"].dataType.simpleString()
     left = v.select("*", _block(v, n).alias("a")).select("*", F.explode(_up_to(F.col("a"), n - 1)).alias("b"))

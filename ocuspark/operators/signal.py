@@ -1,7 +1,9 @@
 """Operators on sequences in long form: a row for each session and place i, a column for each channel.
 
 Every operator works by session and place, so one exchange on the session
-serves a whole chain of them. Sessions are of bounded length; their number is not.
+serves a whole chain of them. That is for sessions of bounded length, whatever
+their number. Filters and interpolation take sessions of any length in blocks of
+`block` places (see blocks.py), with the same results.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip as clip_column
 from ..functions.columns import ratio
 from ..functions.stencils import Axis, pick, stencil_1d, stencil_2d
+from . import blocks as B
+from . import splines
 
 KEY, PLACE = "session", "i"
 
@@ -40,18 +44,22 @@ def length(df: DataFrame) -> DataFrame:
     return df.groupBy(KEY).agg(F.count("*").alias("length"))
 
 
-def diff_velocity(df: DataFrame, channels: Sequence[str], sampling_frequency: float) -> DataFrame:
+def diff_velocity(df: DataFrame, channels: Sequence[str], sampling_frequency: float, block: int | None = None) -> DataFrame:
     """Central differences; 0 at both ends of a session."""
     if sampling_frequency <= 0:
         raise ValueError("the sampling frequency must be above 0")
-    w = _ordered()
+    B.check(block)
+    rows, w, own = (df, _ordered(), None) if block is None else B.haloed(B.numbered(df, channels, block), "_at", 1, block)
     inner = F.lag(PLACE).over(w).isNotNull() & F.lead(PLACE).over(w).isNotNull()
     step = lambda c: sampling_frequency / 2 * (F.lead(c).over(w) - F.lag(c).over(w))
-    return df.select(KEY, PLACE, *[F.when(inner, step(c)).otherwise(F.lit(0.0)).alias(c) for c in channels])
+    out = [F.when(inner, step(c)).otherwise(F.lit(0.0)).alias(c) for c in channels]
+    if own is None:
+        return rows.select(KEY, PLACE, *out)
+    return rows.select(KEY, PLACE, *out, own.alias("_mine")).where("_mine").drop("_mine")
 
 
 def savgol(
-    df: DataFrame, channels: Sequence[str], window: int, order: int, derivative: str | int = 0, rate: float = 1.0, erroneous: str = "null"
+    df: DataFrame, channels: Sequence[str], window: int, order: int, derivative: str | int = 0, rate: float = 1.0, erroneous: str = "null", block: int | None = None
 ) -> DataFrame:
     """Savitzky-Golay filter of each channel, or its derivative.
 
@@ -65,17 +73,18 @@ def savgol(
         raise ValueError("erroneous must be null, keep or drop")
     weights = stencil_1d(window, order, derivative, rate)
     h = window // 2
-    w = _ordered()
-    numbered = df.select(KEY, PLACE, *channels, (F.row_number().over(w) - 1).alias("_at"), F.count("*").over(_session()).alias("_n"))
     at, n = F.col("_at"), F.col("_n")
 
-    def ends(c: str) -> list[Column]:
+    def ends(c: str) -> dict[str, Column]:
         """The first h + 1 values of a session and, from its end, the last ones."""
-        value = lambda place: F.max(F.when(at == place, F.col(c))).over(_session())
-        return [F.array(*[value(F.lit(m)) for m in range(h + 1)]).alias(f"_first_{c}"), F.array(*[value(n - 1 - m) for m in range(h + 1)]).alias(f"_last_{c}")]
+        value = lambda place: F.max(F.when(at == place, F.col(c)))
+        return {f"_first_{m}_{c}": value(F.lit(m)) for m in range(h + 1)} | {f"_last_{m}_{c}": value(n - 1 - m) for m in range(h + 1)}
 
+    whole = B.of_session(B.numbered(df, channels, block), {k: v for c in channels for k, v in ends(c).items()}, block)
+    rows, w, own = B.haloed(whole, "_at", h, block)
+    packed = [F.array(*[f"_{end}_{m}_{c}" for m in range(h + 1)]).alias(f"_{end}_{c}") for c in channels for end in ("first", "last")]
     near = lambda c, k: F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w) if k else F.col(c)
-    wide = numbered.select("*", *[e for c in channels for e in ends(c)], *[near(c, k).alias(f"_{k + h}_{c}") for c in channels for k in range(-h, h + 1)])
+    wide = rows.select(KEY, PLACE, *channels, "_at", "_n", own.alias("_mine"), *packed, *[near(c, k).alias(f"_{k + h}_{c}") for c in channels for k in range(-h, h + 1)])
 
     def smooth(c: str) -> Column:
         first, last = F.col(f"_first_{c}"), F.col(f"_last_{c}")
@@ -89,17 +98,28 @@ def savgol(
             total = total + value * F.lit(weight)
         return F.when(n > h, total).otherwise(F.col(c) if erroneous == "keep" else F.lit(None).cast("double"))
 
+    wide = wide if block is None else wide.where("_mine")
     kept = wide.where(n > h) if erroneous == "drop" else wide
     return kept.select(KEY, PLACE, *[smooth(c).alias(c) for c in channels])
 
 
-def _padded(df: DataFrame, pairs: Sequence[tuple[str, str]], h: int) -> DataFrame:
-    """Rows -h .. T-1+h of channel pairs; of each pair k: far and adjacent left padding, both channels, right padding, as a struct p<k>."""
+def _padded(df: DataFrame, pairs: Sequence[tuple[str, str]], h: int, block: int | None = None) -> DataFrame:
+    """Rows -h .. T-1+h of channel pairs; of each pair k: far and adjacent left padding, both channels, right padding, as a struct p<k>.
+
+    A row near an end is also the reflected one beyond it.
+    """
     channels = sorted({c for pair in pairs for c in pair})
-    packed = df.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(PLACE, F.struct(*channels).alias("v")))).alias("rows")).where(F.size("rows") > h)
-    places = packed.select(KEY, "rows", F.size("rows").alias("n"), F.explode(F.sequence(F.lit(-h), F.size("rows") - 1 + h)).alias("r"))
-    real = F.col("rows")[F.when(F.col("r") < 0, -F.col("r")).when(F.col("r") >= F.col("n"), 2 * (F.col("n") - 1) - F.col("r")).otherwise(F.col("r"))]["v"]
-    at = places.select(KEY, "r", "n", real.alias("v"), F.col("rows")[0]["v"].alias("f"), F.element_at("rows", -1)["v"].alias("e"))
+    rows = B.numbered(df, channels, block).where(F.col("_n") > h)
+    ends = {f"_f_{c}": F.max(F.when(F.col("_at") == 0, F.col(c))) for c in channels} | {f"_e_{c}": F.max(F.when(F.col("_at") == F.col("_n") - 1, F.col(c))) for c in channels}
+    rows = B.of_session(rows, ends, block)
+    k, n = F.col("_at"), F.col("_n")
+    nothing = F.expr("cast(array() as array<bigint>)")
+    before = F.when((k >= 1) & (k <= h), F.array(-k.cast("bigint"))).otherwise(nothing)
+    after = F.when((k >= n - 1 - h) & (k <= n - 2), F.array((2 * (n - 1) - k).cast("bigint"))).otherwise(nothing)
+    at = rows.select(
+        KEY, n.alias("n"), F.explode(F.concat(F.array(k.cast("bigint")), before, after)).alias("r"),
+        *[F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in channels]).alias(name) for name, prefix in (("v", ""), ("f", "_f_"), ("e", "_e_"))],
+    )
     above, below = F.col("r") < 0, F.col("r") >= F.col("n")
 
     def one(a: str, b: str) -> Column:
@@ -135,18 +155,18 @@ def savgol_2d_taps(window: int, order: int, axis: Axis | str) -> list[tuple[int,
     return out
 
 
-def savgol_2d(df: DataFrame, a: str, b: str, window: int, order: int, axis: Axis | str = Axis.NONE) -> DataFrame:
+def savgol_2d(df: DataFrame, a: str, b: str, window: int, order: int, axis: Axis | str = Axis.NONE, block: int | None = None) -> DataFrame:
     """Polynomial surface over time and a pair of channels; its value, or derivative along time or channels.
 
     Both derivatives (BOTH) have a column each: <channel>_column and <channel>_row.
     Sessions not longer than half a window give no rows.
     """
-    found = savgol_2d_pairs(df, [a, b], window, order, axis, [(a, b)])
+    found = savgol_2d_pairs(df, [a, b], window, order, axis, [(a, b)], block)
     return found.select(KEY, PLACE, *[F.col(c).alias(c.removeprefix("p0_")) for c in found.columns[2:]])
 
 
 def savgol_2d_pairs(
-    df: DataFrame, channels: Sequence[str], window: int, order: int, axis: Axis | str = Axis.NONE, pairs: Sequence[tuple[str, str]] | None = None
+    df: DataFrame, channels: Sequence[str], window: int, order: int, axis: Axis | str = Axis.NONE, pairs: Sequence[tuple[str, str]] | None = None, block: int | None = None
 ) -> DataFrame:
     """savgol_2d() of several pairs of channels side by side: columns p<k>_<channel> of the k-th pair.
 
@@ -158,16 +178,16 @@ def savgol_2d_pairs(
         raise ValueError(f"pairs of the channels {', '.join(channels)} are needed, not {pairs}")
     h, axis = window // 2, pick(Axis, axis)
     axes = [Axis.COLUMN, Axis.ROW] if axis is Axis.BOTH else [axis]
-    w = Window.partitionBy(KEY).orderBy("r")
+    rows, w, own = B.haloed(_padded(df, pairs, h, block), "r", h, block)
 
     def total(k: int, one: Axis, ch: int) -> Column:
-        rows = [(offset, weights) for channel, offset, weights in savgol_2d_taps(window, order, one) if channel == ch]
-        return sum((F.lead(sum((F.lit(x) * F.col(f"p{k}.{c}") for c, x in weights.items()), F.lit(0.0)), offset).over(w) for offset, weights in rows), F.lit(0.0))
+        taps = [(offset, weights) for channel, offset, weights in savgol_2d_taps(window, order, one) if channel == ch]
+        return sum((F.lead(sum((F.lit(x) * F.col(f"p{k}.{c}") for c, x in weights.items()), F.lit(0.0)), offset).over(w) for offset, weights in taps), F.lit(0.0))
 
     end = {x: f"_{x.value}" if len(axes) > 1 else "" for x in axes}
     out = [total(k, x, ch).alias(f"p{k}_{c}{end[x]}") for k, pair in enumerate(pairs) for x in axes for ch, c in enumerate(pair)]
-    found = _padded(df, pairs, h).select(KEY, F.col("r").cast("bigint").alias(PLACE), "n", *out)
-    return found.where((F.col(PLACE) >= 0) & (F.col(PLACE) < F.col("n"))).drop("n")
+    found = rows.select(KEY, F.col("r").alias(PLACE), "n", own.alias("_mine"), *out)
+    return found.where((F.col(PLACE) >= 0) & (F.col(PLACE) < F.col("n")) & F.col("_mine")).drop("n", "_mine")
 
 
 def zscore(df: DataFrame, channels: Sequence[str], mean: float | None = None, std: float | None = None) -> DataFrame:
@@ -212,25 +232,28 @@ def retain(masked: DataFrame, beaten_ratio: float = 30.0, min_length: int = 500)
     return masked.withColumns({"n": n, "n_bad": bad}).where((F.col("n") >= min_length) & (100.0 * F.col("n_bad") / F.col("n") < beaten_ratio)).drop("n", "n_bad")
 
 
-METHODS = ("linear", "previous", "next", "nearest")
+METHODS = ("linear", "previous", "next", "nearest", "pchip", "cubicspline")
 
 
-def interpolate(df: DataFrame, channels: Sequence[str], method: str = "linear") -> DataFrame:
-    """Nulls between values by straight lines, or from the value before, after, or nearest (of two as near, the one before).
+def interpolate(df: DataFrame, channels: Sequence[str], method: str = "linear", block: int | None = None) -> DataFrame:
+    """Nulls between values by straight lines, from the value before, after, or nearest (of two as near, the one before), or by cubic pieces.
 
-    Trailing nulls take the last value; rows with a leading one go, but for the
-    methods that look ahead, by which it takes the first value. Values ahead are
-    those before in descending order, so that no frame is gone through again for each row.
+    pchip keeps the shape: slopes at values are weighted harmonic means of those
+    of the lines on both sides, 0 at turning points. cubicspline has continuous
+    curvature (and a continuous third derivative next to both ends), for which
+    all values of a session and channel are solved together, by one task; the
+    others take sessions of any length in blocks. Trailing nulls take the last
+    value; rows with a leading one go, but for the methods that look ahead, by
+    which it takes the first value. Values ahead are those before in descending
+    order, so that no frame is gone through again for each row.
     """
     if method not in METHODS:
         raise ValueError(f"{method} is none of {', '.join(METHODS)}")
-    back = _ordered().rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(KEY).orderBy(F.col(PLACE).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    if method in ("pchip", "cubicspline"):
+        return splines.interpolate(df, channels, method, block)
 
     def fill(c: str) -> Column:
-        at = F.when(F.col(c).isNotNull(), F.col(PLACE))
-        last = lambda x, w: F.last(x, ignorenulls=True).over(w)
-        p, pi, n, ni = last(F.col(c), back), last(at, back), last(F.col(c), ahead), last(at, ahead)
+        p, pi, n, ni = F.col(f"_p_{c}.v"), F.col(f"_p_{c}.i"), F.col(f"_n_{c}.v"), F.col(f"_n_{c}.i")
         if method == "linear":
             inner = F.when(p.isNull() | n.isNull(), p).otherwise(p + (n - p) * (F.col(PLACE) - pi) / (ni - pi))
         elif method == "previous":
@@ -241,12 +264,12 @@ def interpolate(df: DataFrame, channels: Sequence[str], method: str = "linear")
             inner = F.when(p.isNull() | (ni - F.col(PLACE) < F.col(PLACE) - pi), n).otherwise(p)
         return F.when(F.col(c).isNotNull(), F.col(c)).otherwise(inner)
 
-    return df.select(KEY, PLACE, *[fill(c).alias(c) for c in channels]).na.drop(subset=list(channels))
+    return B.carried(df, channels, block).select(KEY, PLACE, *[fill(c).alias(c) for c in channels]).na.drop(subset=list(channels))
 
 
-def clean(df: DataFrame, channels: Sequence[str], beaten_ratio: float = 30.0, min_length: int = 500) -> DataFrame:
+def clean(df: DataFrame, channels: Sequence[str], beaten_ratio: float = 30.0, min_length: int = 500, method: str = "linear") -> DataFrame:
     """mask_bad, retain and interpolate."""
-    return interpolate(retain(mask_bad(df, channels), beaten_ratio, min_length), channels)
+    return interpolate(retain(mask_bad(df, channels), beaten_ratio, min_length), channels, method)
 
 
 def transpose(df: DataFrame, channels: Sequence[str]) -> DataFrame:

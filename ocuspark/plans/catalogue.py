@@ -19,7 +19,7 @@ from ..operators import samples as SM
 from ..operators import segments as G
 from ..operators import signal as S
 from ..operators import targets as T
-from ..session import shared_folder, table
+from ..session import cut, shared_folder, table
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -997,8 +997,9 @@ def end_to_end_verification(spark, d):
     z = segments.withColumn("z", C.ratio(F.col("v") - F.avg("v").over(q), F.stddev_pop("v").over(q)))
     vectors = z.groupBy("session", "segment_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "z"))), lambda r: r["z"]).alias("embedding")).where(~F.exists("embedding", lambda v: v.isNull()))
     vectors = vectors.withColumnRenamed("session", "label")
-    protos = P.prototypes(vectors.where("segment_idx % 2 = 0"))
-    return M.eer(M.fmr_fnmr(PR.claims(vectors.where("segment_idx % 2 = 1"), protos), 8)).select(F.round("eer", 3).alias("eer"))
+    made = cut(vectors)
+    protos = P.prototypes(made.where("segment_idx % 2 = 0"))
+    return PR.equal_error_rate(made.where("segment_idx % 2 = 1"), protos, 8).select(F.round("eer", 3).alias("eer"))
 
 
 from . import learning as learning  # noqa: E402, registers its queries

@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import embedder as E
-from ..operators import metrics as M
 from ..operators import prototypes as P
 from ..operators import segments as G
 from ..operators import signal as S
 from ..operators import targets as T
-from ..operators.pairs import claims
+from ..operators.pairs import equal_error_rate
 from ..session import cut
 from ..sources import files
 
@@ -78,9 +77,9 @@ def predict_onto(samples: DataFrame, model: E.Embedder, support: DataFrame, inde
 
 
 def verify(embeddings: DataFrame, n_support: int) -> DataFrame:
-    """Equal error rate of claims of all labels by all query vectors, prototypes from each label's first n_support vectors."""
+    """Equal error rate (threshold, low, high, eer) of claims of all labels by all query vectors, prototypes from each label's first n_support vectors."""
     roles = P.support_and_query(embeddings, n_support)
-    return M.eer(M.fmr_fnmr(claims(roles.where("role = 'query'"), P.prototypes(roles.where("role = 'support'")), 12)))
+    return equal_error_rate(roles.where("role = 'query'"), P.prototypes(roles.where("role = 'support'")), 12)
 
 
 def dataset(samples: DataFrame, on_dataset: Sequence[Callable[[DataFrame], DataFrame]] = (), on_sample: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:

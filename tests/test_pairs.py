@@ -48,6 +48,30 @@ def test_claims_are_counted_where_they_are_made(spark, monkeypatch, block):
         P.claims(df, spark.createDataFrame([(0, [1.0])], "label int, prototype array<double>")).collect()
 
 
+@pytest.mark.parametrize(("block", "bins", "digits"), [(1024, 4096, 6), (7, 3, 6), (16, 40, 1), (7, 5, 12)])
+def test_equal_error_rate_of_bins_is_that_of_all_scores(spark, monkeypatch, block, bins, digits):
+    """Any number of bins; also where classes are apart, mixed, or of one kind only, and with equal scores."""
+    monkeypatch.setattr(P, "BLOCK", block)
+    for seed, labels, shift in ((1, 4, 1.0), (2, 3, 0.0), (3, 2, 9.0), (4, 1, 0.0), (5, 6, 0.3)):
+        rng = np.random.default_rng(seed)
+        y = rng.integers(0, labels, 40)
+        x = (rng.normal(size=(40, 3)) + shift * y[:, None]).round(1)
+        df = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(y, x, strict=True)], "label int, embedding array<double>")
+        protos = spark.createDataFrame([(k, x[y == k].mean(axis=0).tolist()) for k in range(labels)], "label int, prototype array<double>")
+        want = M.eer(M.fmr_fnmr(P.claims(df, protos, digits), 4)).first()
+        got = P.equal_error_rate(df, protos, digits, bins).first()
+        assert (got.low, got.high, got.eer) == pytest.approx((want.low, want.high, want.eer), abs=1e-12), (seed, labels)
+    assert P.equal_error_rate(df.limit(0), protos).first().eer == 1 == P.equal_error_rate(df, protos.limit(0)).first().eer
+
+
+def test_distances_of_a_product_are_those_of_differences():
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(30, 8)) * 1000 + 5e4
+    b = np.concatenate([a[:10], a[:10] + rng.normal(size=(10, 8)) * 1e-6, rng.normal(size=(10, 8))])
+    plain = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert np.allclose(P._distances(a, b), plain, rtol=1e-11, atol=1e-12) and (np.diag(P._distances(a, a)) == 0).all()
+
+
 def test_named_metrics(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.4), (2, 2, 0.8), (2, 2, 0.7)], "label int, predicted int, probability double")
     got = {r.metric: r.value for r in M.compute(df, ["eer", "accuracy", "error_rate"]).collect()}
