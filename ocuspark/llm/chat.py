@@ -42,6 +42,9 @@ def fold(events: DataFrame) -> DataFrame:
     text. Null texts are empty, null roles too; an op that is null or unknown is
     `message`; equal sequence numbers are told apart by op, role and text.
     A message's last event that sets its text starts it, later deltas follow.
+    Its role is that of its last event, from that start on, that has one. All
+    rows of a null conv_id are one conversation. A message is folded in one task,
+    a conversation is rendered as one row; no task needs more than one of them.
     """
     in_order = Window.partitionBy("conv_id", "message").orderBy(F.col("seq").asc_nulls_first(), "op", "role", "text")
     op = F.when(F.col("op").isin("delta", "edit", "regenerate", "delete"), F.col("op")).otherwise("message")
@@ -74,6 +77,34 @@ def turn_events(conversations: DataFrame) -> DataFrame:
     )
 
 
+PIECE = 64
+
+
+def streamed_events(conversations: DataFrame, trained: str = "assistant", piece: int = PIECE) -> DataFrame:
+    """A table of whole turns as the log of a client that streams, edits and asks again; it folds into the same turns.
+
+    A turn of `trained` is an abandoned attempt (the text's second half), a
+    regeneration, a first delta that is wrong, an edit that sets the text's
+    first half, and the rest in deltas of `piece` code points. Any other turn is
+    a draft message and an edit. Events leave in the order of a hash, not of
+    their sequence.
+    """
+    turns = turn_events(conversations).withColumns({"text": F.coalesce("text", F.lit("")), "role": F.coalesce("role", F.lit(""))})
+    event = lambda k, op, text: F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(op).alias("op"), text.alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    starts = F.sequence(F.lit(0), F.floor(F.length("rest") / piece).cast("int"))
+    deltas = F.transform(starts, lambda i: F.struct((i + 4).cast("bigint").alias("k"), F.lit("delta").alias("op"), F.substring(F.col("rest"), i * piece + 1, F.lit(piece)).alias("text")))
+    attempt = F.array(event(0, "delta", F.col("rest")), event(1, "regenerate", F.lit("")), event(2, "delta", F.lit("no, ")), event(3, "edit", F.col("first")))
+    others = F.array(event(0, "message", F.col("first")), event(1, "edit", F.col("text")))
+    of = F.when(F.col("role") == trained, F.concat(attempt, deltas)).otherwise(others)
+    each = turns.withColumns({"first": first, "rest": rest}).select("conv_id", "message", "role", of.alias("of"))
+    mixed = F.array_sort(F.transform("of", lambda e: F.struct(F.xxhash64(F.col("conv_id"), F.col("message"), e["k"]).alias("order"), e.alias("e"))))
+    rows = each.select("conv_id", "message", "role", F.explode(mixed).alias("m"))
+    seq = F.shiftleft(F.col("message"), 32) + F.col("m.e.k")
+    return rows.select("conv_id", seq.alias("seq"), "message", F.col("m.e.op").alias("op"), "role", F.col("m.e.text").alias("text"))
+
+
 def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
     """conv_id, formatted, and loss: spans [start, end) of the texts of `trained` in it, in code points."""
     turn = F.struct(

@@ -24,7 +24,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
     tricky = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
-    messages = chat.fold(chat.turn_events(table.unionByName(extra)))
+    messages = chat.fold(chat.streamed_events(table.unionByName(extra)))
     return chat.digests(chat.read_back(chat.render(messages)))
 
 

@@ -48,3 +48,20 @@ def test_events_are_folded(spark):
     df = spark.createDataFrame(log, "conv_id long, seq long, message long, op string, role string, text string").repartition(3)
     got = sorted((r.message, r.role, r.text) for r in chat.fold(df).collect())
     assert got == [(0, "user", "hey"), (1, "assistant", "Good day"), (3, "user", "")]
+
+
+def test_streams_fold_into_the_turns(spark):
+    """Of any text and any size of piece; the log has each kind of event, in another order than its own."""
+    texts = ["", "x", "ab", "### a </turn>\\h", "é👩‍👩‍👧 " * 40, None, "line\n" * 50, " "]
+    roles = ["assistant", "user", "assistant", None, "tool", "assistant"]
+    data = [(c, i, roles[(i + c) % 6] if c is not None else "assistant", t, "k") for c in (1, 2, 3, None) for i, t in enumerate(texts)] + [(2, None, "assistant", "same", "k")] * 2
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, op string").drop("op")
+    want = sorted(map(str, chat.fold(chat.turn_events(df)).collect()))
+    for piece in (1, 3, 64):
+        log = chat.streamed_events(df, piece=piece)
+        assert sorted(map(str, chat.fold(log.repartition(3)).collect())) == want
+    events = log.collect()
+    assert {e.op for e in events} == {"message", "delta", "edit", "regenerate"} and len(events) > 2 * len(data)
+    own = [e.seq for e in events if e.conv_id == 1]
+    assert own != sorted(own) and len(set(own)) == len(own)
+    assert chat.streamed_events(df.limit(0)).collect() == []
