@@ -17,6 +17,8 @@ number of copies of a text, a third of all rows say, adds nothing to them.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +31,24 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Openings of well-known license texts, for the labels that the method adds.
+# Openings of well-known public license texts and notices, for the labels that the method adds.
 TEMPLATES = {
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "apache": "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License",
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+    "boost": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "public-domain": "This is free and unencumbered software released into the public domain",
+    "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "public-domain": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
 }
 SPREAD, LEAST = 8, 0.6
+#: Of all templates: about 2 MB of grams, a proven bound for their broadcast.
+MOST_WORDS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -57,15 +67,21 @@ def grams(w: Column) -> Column:
     return let(w, roll)
 
 
-def template_positions(spark: SparkSession) -> DataFrame:
-    """name, label, is_phrase, n_grams, place, gram; a fixed table of a few hundred rows."""
-    rows = [(t, label, True) for t, label in PHRASES.items()] + [(t, label, False) for label, t in TEMPLATES.items()]
+def template_positions(spark: SparkSession, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
+    """name, label, is_phrase, n_grams, place, gram: a row for each gram of the phrases and of templates (label: text).
+
+    Templates are held by the driver and meet every text, so their words are at
+    most MOST_WORDS in all; more are an error. One of fewer words than a gram is never found.
+    """
+    if (n := sum(len(t.split()) for t in templates.values())) > MOST_WORDS:
+        raise ValueError(f"templates of {n} words; {MOST_WORDS} are the most")
+    rows = [(t, label, True) for t, label in PHRASES.items()] + [(t, label, False) for label, t in templates.items()]
     base = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "template int, text string, label string, is_phrase boolean")
     each = base.withColumn("grams", grams(words(F.col("text"))))
     return each.select("template", "label", "is_phrase", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("place", "gram"))
 
 
-def matches(docs: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """Spans of phrases and license texts: key, label, is_phrase, first, last (words), share of the template's grams.
 
     key is text_key() of the text. A phrase's span is exact. Of a license text,
@@ -73,9 +89,9 @@ def matches(docs: DataFrame) -> DataFrame:
     many words put in or left out. Null and empty texts have no spans; equal
     texts have one key and are one text.
     """
-    templates = template_positions(docs.sparkSession)
+    known = template_positions(docs.sparkSession, templates)
     each = docs.select(text_key(F.col("text")).alias("key"), F.posexplode(grams(words(F.col("text")))).alias("at", "gram"))
-    votes = each.join(F.broadcast(templates), "gram").select("key", "template", "label", "is_phrase", "n_grams", "place", "at").distinct()
+    votes = each.join(F.broadcast(known), "gram").select("key", "template", "label", "is_phrase", "n_grams", "place", "at").distinct()
     diagonals = cut(
         votes.groupBy("key", "template", "label", "is_phrase", "n_grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
             F.count("*").alias("n"), F.collect_list("at").alias("ats"), F.min("at").alias("first"), F.max("at").alias("last")
@@ -118,15 +134,16 @@ def in_order(hits: str, n_grams: str) -> Column:
     return F.element_at(F.aggregate(hits, F.array_repeat(none, F.col(n_grams) + 1), take), -1)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs.
 
     score: the largest share of a template that was found, 1 for a phrase.
     Null and empty texts have no words and no labels; repeated rows get equal
-    results; documents without a hit have score 0 and null places.
+    results; documents without a hit have score 0 and null places. templates:
+    label and text of each license to look for beside the phrases.
     """
     by_text = (
-        matches(docs)
+        matches(docs, templates)
         .groupBy("key")
         .agg(
             F.sum(F.col("is_phrase").cast("long")).alias("n_base"),

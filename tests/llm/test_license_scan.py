@@ -22,10 +22,10 @@ def base(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
-def added(text):
+def added(text, templates=None):
     """Labels and score, by trying every band of diagonals of every template."""
     w, out = words(text), {label: 1.0 for label in base(text)[4].split(",") if label}
-    for label, template in L.TEMPLATES.items():
+    for label, template in (L.TEMPLATES if templates is None else templates).items():
         t = words(template)
         votes = sorted((at, -p) for at in range(len(w) - 1) for p in range(len(t) - 1) if w[at : at + 2] == t[p : p + 2])
         for low in {(at + p) // L.SPREAD * L.SPREAD - k * L.SPREAD for at, p in votes for k in (0, 1)}:
@@ -71,3 +71,26 @@ def test_edges_and_whole_license_texts(spark):
     spans = [r for r in L.matches(df.where("doc_id in (13, 20)")).collect() if r.share == 1]
     assert sorted((r.label, r.first, r.last) for r in spans) == sorted([("apache", 80, 79 + len(words(apache)))] + [("mit", i * len(words(mit)), (i + 1) * len(words(mit)) - 1) for i in range(3)])
     assert L.scan(df.limit(0)).collect() == []
+
+
+def test_templates_of_ones_own(spark):
+    """Labels of the caller's texts alone; phrases stay; the same brute force at another table."""
+    own = {"house": "You may read this text aloud to your friends but you must not print it on paper without asking us first", "short": "one two", "void": ""}
+    texts = [own["house"], own["house"].replace("aloud ", ""), "You may read this text. " * 3, "one two one two", "All rights reserved. " + own["house"].upper(), L.TEMPLATES["mit"], None, "", "one", own["house"][40:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for templates in (own, {}):
+        for r in L.scan(df, templates).collect():
+            assert (r.labels, round(r.score, 9)) == (added(texts[r.doc_id], templates)[0], round(added(texts[r.doc_id], templates)[1], 9))
+    assert {r.labels for r in L.scan(df, own).collect()} == {"house", "", "short", "house,reserved"}
+    try:
+        L.template_positions(spark, {"long": "word " * (L.MOST_WORDS + 1)})
+        raise AssertionError
+    except ValueError as e:
+        assert "words" in str(e)
+
+
+def test_each_known_license_is_found_as_itself(spark):
+    df = spark.createDataFrame([(i, f"Before it. {t} After it.", label) for i, (label, t) in enumerate(L.TEMPLATES.items())], "doc_id long, text string, want string")
+    want = {r.doc_id: r.want for r in df.collect()}
+    for r in L.scan(df).collect():
+        assert want[r.doc_id] in r.labels.split(",") and r.score == 1
