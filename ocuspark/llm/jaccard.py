@@ -13,12 +13,16 @@ Jaccard similarity of `PERCENT` hundredths or more.
    front of it. Light sets publish all
    subsets of c = 2 of these; heavy sets, and light ones near the boundary, are
    put in the inverted lists of single tokens (c = 1). The boundary is the size
-   for which subsets and lists cost least, counted over all sets.
-3. Each subset's and list's members are tied to one leader, not to each other,
-   and tied sets form candidate groups. A group is verified exactly, in blocks:
-   in a large group, sets that link with the group's most typical set are one
-   class at once, and only blocks that hold other sets are compared. No pair
-   within a group is emitted, and no link between classes is lost.
+   for which rows and comparisons cost least, counted over all sets.
+3. Verification stays inside lists (of a subset or a token). Each member is
+   compared with its list's leader; what links is one class. A list whose
+   members are of one class is done. In the others, members of different classes
+   are compared: pair by pair in a list of up to `SHORT` members, else in blocks
+   of sets, in which those of the largest class are not compared with each
+   other. A pair is first held against the counted tokens that sets which link
+   must share, and only then, if the sets are large, against whole sets. So links
+   alone tie sets together; sets that merely share a rare shingle never form a
+   group, however many there are.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats as R
@@ -35,9 +39,9 @@ from . import textkit as K
 from .graph import components
 from .job import anew, beside, cut, ship
 
-SHINGLE, PERCENT, BLOCK = 5, 80, 1024
-#: Bytes of a published row (a signature and a set's key), and of a shingle of a set that is fetched.
-ROW_BYTES, SHINGLE_BYTES = 24, 8
+SHINGLE, PERCENT, BLOCK, SHORT = 5, 80, 1024, 8
+#: Cost of a published row and of a comparison of two sets' tokens, in microseconds of a core.
+ROW_COST, PAIR_COST = 1, 8
 MEMBERS = "doc_id bigint, has_doc boolean, n bigint, skey binary, tkey binary, tokens binary"
 WHOLE = 64
 
@@ -250,77 +254,94 @@ def _prefix(n: np.ndarray | int, shared: np.ndarray | int, percent: int) -> np.n
     return shared - common(n, percent) + 1
 
 
-def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
-    """Largest light size: that of least cost, in bytes that are moved.
+def _published(n: int, tokens: np.ndarray, light: bool, percent: int) -> np.ndarray:
+    """Signatures of a set: of its two-token subsets if light, else of single tokens."""
+    p = int(_prefix(n, len(tokens), percent))
+    if light:
+        i, j = np.triu_indices(max(0, min(p + 1, len(tokens))), 1)
+        return K.mix(tokens[i] ^ K.mix(tokens[j] + K.U64(1)))
+    return K.mix(tokens[: max(0, p)])
+
 
-    A light set costs a row for each of its subsets. A heavy one costs a row for
-    each of its lists, and as a list of its tokens nearly always has another
-    member, its shingles, which are fetched to be compared. How long a list is
-    adds nothing: its members are tied to its leader, and not to each other.
+def costs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """light, step (a quarter of a power of two of the size), rows and pairs: what sets of that size publish, and whom they meet.
+
+    Lists are counted as if all sets were heavy, subsets as if all sets of up to
+    WHOLE shingles were light: larger ones would publish thousands of subsets
+    each, more than lists of any length cost. pairs: half of a list's other
+    members for each of its members, all of which may be false candidates.
     """
 
-    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, shared = batch.column("n").to_numpy(), batch.column("shared").to_numpy()
-            p = np.maximum(_prefix(n, shared, percent), 0)
-            light, heavy = ROW_BYTES * p * (p + 1) // 2, ROW_BYTES * p + SHINGLE_BYTES * n
-            yield pa.RecordBatch.from_arrays([pa.array((4 * np.log2(n)).astype("i4")), pa.array(light), pa.array(heavy)], names=["step", "light", "heavy"])
-
-    # a row for each quarter of a power of two, under 200 in all
-    counted_rows = sets.select("n", (F.octet_length("tokens") / 8).cast("long").alias("shared")).mapInArrow(cost, "step int, light bigint, heavy bigint")
-    steps = sorted(counted_rows.groupBy("step").agg(F.sum("light"), F.sum("heavy")).collect())
-    best, at = sum(r[2] for r in steps), 0
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                tokens = np.frombuffer(data, dtype="<u8")
+                for light in (False, True) if n <= WHOLE else (False,):
+                    own = _published(n, tokens, light, percent)
+                    if len(own):
+                        arrays = [pa.array([light] * len(own)), pa.array(own.view(np.int64)), pa.array([int(4 * np.log2(n))] * len(own), pa.int32())]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["light", "sig", "step"])
+
+    each = sets.select("n", "tokens").mapInArrow(publish, "light boolean, sig bigint, step int").groupBy("light", "sig", "step").agg(F.count("*").alias("n"))
+    met = each.withColumn("all", F.sum("n").over(Window.partitionBy("light", "sig")))
+    return met.groupBy("light", "step").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("all") - 1) / 2).alias("pairs"))
+
+
+def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
+    """Largest light size: that for which the rows of all sets and the comparisons of their candidates cost least."""
+    # two rows for each quarter of a power of two, under 400 in all
+    found = {(r.light, r.step): ROW_COST * r.rows + PAIR_COST * r.pairs for r in costs(sets, percent).collect()}
+    best, at = sum(c for (light, _), c in found.items() if not light), 0
     now = best
-    for step, light, heavy in steps:
-        now += light - heavy
+    for step in sorted(k for light, k in found if light):
+        now += found[True, step] - found.get((False, step), 0)
+        # all sizes of a step are light; the last one that WHOLE cuts is taken as far as it goes
         if now < best:
-            best, at = now, int(2 ** ((step + 1) / 4))
+            best, at = now, min(WHOLE, int(2 ** ((step + 1) / 4)))
     return at
 
 
 def signatures(sets: DataFrame, x: int, percent: int = PERCENT) -> DataFrame:
-    """sig and skey: two-token subsets of light sets (of up to x shingles), single tokens of heavy ones."""
+    """sig, skey and n: two-token subsets of light sets (of up to x shingles), single tokens of heavy ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, keys = [], []
+            sigs, keys, sizes = [], [], []
             for n, key, data in zip(*(batch.column(c).to_pylist() for c in ("n", "skey", "tokens")), strict=True):
                 tokens = np.frombuffer(data, dtype="<u8")
-                p = int(_prefix(n, len(tokens), percent))
-                own = []
                 light = 1 < n <= x
-                if light and p + 1 >= 2:
-                    i, j = np.triu_indices(min(p + 1, len(tokens)), 1)
-                    own.append(K.mix(tokens[i] ^ K.mix(tokens[j] + K.U64(1))))
-                if p > 0 and (not light or 100 * n >= percent * x):
-                    own.append(K.mix(tokens[:p]))
-                if own:
-                    own = np.concatenate(own)
+                own = [_published(n, tokens, True, percent)] if light else []
+                if not light or 100 * n >= percent * x:
+                    own.append(_published(n, tokens, False, percent))
+                own = np.concatenate(own)
+                if len(own):
                     sigs.append(own.view(np.int64))
                     keys += [key] * len(own)
+                    sizes += [n] * len(own)
                 if len(keys) > 100_000:
-                    yield _signature_batch(sigs, keys)
-                    sigs, keys = [], []
+                    yield _signature_batch(sigs, keys, sizes)
+                    sigs, keys, sizes = [], [], []
             if keys:
-                yield _signature_batch(sigs, keys)
+                yield _signature_batch(sigs, keys, sizes)
 
-    return sets.select("n", "skey", "tokens").mapInArrow(run, "sig bigint, skey binary")
+    return sets.select("n", "skey", "tokens").mapInArrow(run, "sig bigint, skey binary, n bigint")
 
 
-def _signature_batch(sigs: list, keys: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(keys, pa.binary())], names=["sig", "skey"])
+def _signature_batch(sigs: list, keys: list, sizes: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], names=["sig", "skey", "n"])
 
 
-def ties(tied: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the sets of each signature: of signatures(), one row for each set and for each of its leaders.
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Sizes for which sets can link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    A signature's leader is its smallest set. A set is tied to the smallest of
-    its leaders only, and its other leaders are tied to that one as well. In a
-    large group nearly all leaders are the same, so most of these edges are too.
-    """
-    leaders = tied.groupBy("sig").agg(F.min("skey").alias("leader"), F.count("*").alias("members")).where("members > 1").select("sig", "leader")
-    led = tied.join(leaders, "sig").groupBy("skey").agg(F.collect_set("leader").alias("leaders"))
-    return led.select(F.explode(F.array_union("leaders", F.array("skey"))).alias("a"), F.array_min("leaders").alias("b")).where("a <> b").distinct()
+
+def with_leaders(tied: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of a set and the leader, its smallest set, of one of its lists, once each; tied: signatures()."""
+    leader = F.min(F.struct("skey", "n"))
+    leaders = tied.groupBy("sig").agg(leader.alias("l"), F.count("*").alias("members")).where("members > 1").select("sig", F.col("l.skey").alias("b"), F.col("l.n").alias("bn"))
+    met = tied.join(leaders, "sig").where(F.col("skey") != F.col("b")).where(_alike("n", "bn", percent))
+    return met.select(F.col("skey").alias("a"), "b").distinct()
 
 
 def _linked(inter: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray:
@@ -354,14 +375,13 @@ def link_classes(sizes: np.ndarray, tokens: list[np.ndarray], start: np.ndarray,
 
 
 def _verifier(percent: int):
+    """Of a block of sets (skey, n, tokens, class): each set with one of those that links tie it to, within its class or beyond."""
+
     def run(table: pa.Table) -> pa.Table:
         keys = table.column("skey").to_pylist()
         sizes = table.column("n").to_numpy()
         tokens = [np.frombuffer(t, dtype="<u8") for t in table.column("tokens").to_pylist()]
-        absorbed = np.asarray(table.column("absorbed").to_numpy(zero_copy_only=False), dtype=bool)
-        start = np.arange(len(keys))
-        if absorbed.any():
-            start[absorbed] = np.flatnonzero(absorbed)[0]
+        start = np.unique(np.array([c.hex() for c in table.column("class").to_pylist()]), return_inverse=True)[1]
         label = link_classes(sizes, tokens, start, percent)
         roots: dict[int, bytes] = {}
         for k, i in zip(keys, label.tolist(), strict=True):
@@ -371,16 +391,33 @@ def _verifier(percent: int):
     return run
 
 
-def _with_leader(percent: int):
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with size and tokens of both: an, at, bn, bt."""
+    of = lambda x: sets.select(F.col("skey").alias(x), F.col("n").alias(f"{x}n"), F.col("tokens").alias(f"{x}t"))
+    return pairs.join(anew(of("a"), "a"), "a").join(anew(of("b"), "b"), "b")
+
+
+def _judged(pairs: DataFrame, whole: bool, percent: int) -> DataFrame:
+    """a, b and linked of the pairs that can link. By counted tokens, linked is null where only whole sets can tell; by whole sets it is not."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for n, t, ln, lt in zip(*(batch.column(c).to_pylist() for c in ("n", "tokens", "leader_n", "leader_tokens")), strict=True):
-                inter = len(np.intersect1d(np.frombuffer(t, dtype="<u8"), np.frombuffer(lt, dtype="<u8"), assume_unique=True))
-                out.append(bool(_linked(inter, n, ln, percent)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "skey", "n", "tokens", "leader")], pa.array(out)], names=["component", "skey", "n", "tokens", "leader", "absorbed"])
-
-    return run
+            keep, linked = [], []
+            for k, (an, at, bn, bt) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("an", "at", "bn", "bt")), strict=True)):
+                inter = len(np.intersect1d(np.frombuffer(at, dtype="<u8"), np.frombuffer(bt, dtype="<u8"), assume_unique=True))
+                if whole or max(an, bn) <= WHOLE:  # sets of up to WHOLE shingles are counted whole
+                    yes = bool(_linked(inter, an, bn, percent))
+                elif inter >= max(int(common(an, percent)), int(common(bn, percent))):
+                    yes = None
+                else:
+                    yes = False
+                if yes is not False:
+                    keep.append(k)
+                    linked.append(yes)
+            chosen = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return pairs.mapInArrow(run, "a binary, b binary, linked boolean")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -406,45 +443,74 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFr
     return one.mapInArrow(run, ", ".join(f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in rest) + ", tokens binary")
 
 
+def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Those of pairs (a, b) of sets (skey, n, tkey, tokens) that link; exact."""
+    judged = cut(_judged(_beside(pairs, sets), False, percent))
+    found, open_pairs = judged.where("linked").select("a", "b"), judged.where("linked is null").select("a", "b")
+    keys = open_pairs.select(F.col("a").alias("skey")).unionByName(open_pairs.select(F.col("b").alias("skey"))).distinct()
+    whole = cut(full_sets(docs, sets.join(anew(keys, "skey"), "skey").select(F.col("tkey").alias("key"), "skey", "n"), size))
+    return found.unionByName(_judged(_beside(open_pairs, whole), True, percent).select("a", "b"))
+
+
+def open_lists(tied: DataFrame, classes_now: DataFrame) -> DataFrame:
+    """sig, skey, n, class, top (the list's largest class) and members of lists with more than one class; of lists of the same sets, one."""
+    own = tied.join(anew(classes_now.select(F.col("node").alias("skey"), F.col("component").alias("class")), "skey"), "skey", "left").withColumn("class", F.coalesce("class", "skey"))
+    mixed = [F.bit_xor(F.xxhash64(F.lit(i), "skey")).alias(f"x{i}") for i in (0, 1)]
+    by_class = own.groupBy("sig", "class").agg(F.count("*").alias("k"), *mixed)
+    lists = by_class.groupBy("sig").agg(F.count("*").alias("kinds"), F.sum("k").alias("members"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"), F.max(F.struct("k", "class"))["class"].alias("top"))
+    once = lists.where("kinds > 1").groupBy("x0", "x1", "members").agg(F.min(F.struct("sig", "top")).alias("l")).select("l.sig", "l.top", "members")
+    return own.join(once, "sig")
+
+
+def across(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of sets of different classes, once each, of lists of up to SHORT members."""
+    other = listed.select("sig", F.col("skey").alias("b"), F.col("n").alias("bn"), F.col("class").alias("b_class"))
+    met = listed.join(other, "sig").where(F.col("skey") < F.col("b")).where(F.col("class") != F.col("b_class")).where(_alike("n", "bn", percent))
+    return met.select(F.col("skey").alias("a"), "b").distinct()
+
+
+def in_blocks(docs: DataFrame, sets: DataFrame, listed: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) by which the links of each list tie its sets, from tasks of at most `block` sets.
+
+    Sets of a list's largest class are not compared with each other: blocks of
+    the others meet each other and those of that class.
+    """
+    keys = listed.select("skey").distinct()
+    whole = cut(full_sets(docs, sets.join(anew(keys, "skey"), "skey").select(F.col("tkey").alias("key"), "skey", "n"), size))
+    half = max(1, block // 2)
+    done = F.col("class") == F.col("top")
+    counts = listed.groupBy("sig").agg(F.ceil(F.count_if(~done) / half).alias("open_blocks"), F.ceil(F.count_if(done) / half).alias("done_blocks"))
+    dealt = listed.join(counts, "sig").withColumn("mine", F.pmod(F.xxhash64("skey"), F.when(done, F.col("done_blocks")).otherwise(F.col("open_blocks"))))
+    task = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_open = F.transform(upto("open_blocks"), lambda k: task(F.least(k, F.col("mine")), F.greatest(k, F.col("mine"))))
+    with_done = F.transform(upto("done_blocks"), lambda k: task(F.col("mine"), -k - 1))
+    from_done = F.transform(upto("open_blocks"), lambda k: task(k, -F.col("mine") - 1))
+    tasks = dealt.select("sig", "skey", "class", F.explode(F.when(done, from_done).otherwise(F.concat(with_open, with_done))).alias("task"))
+    placed = tasks.join(anew(whole, "skey"), "skey").select("sig", "task", "skey", "n", "tokens", "class")
+    return placed.groupBy("sig", "task").applyInArrow(_verifier(percent), "a binary, b binary").where(F.col("a") != F.col("b"))
+
+
 def classes(docs: DataFrame, members: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """node and component (set keys) of all sets that may have links with other sets; members: shared_shingles(docs).
+    """node and component (set keys) of all sets that link with others; members: shared_shingles(docs).
 
     Rows of documents, and of sets without shared tokens, are left out; of a set
-    in several chunks one row counts. No sets give no rows.
+    in several chunks one row counts. No sets give no rows, and null tokens none.
     """
     some = ("n", "tkey", "tokens")
     sets = cut(members.where("tokens is not null").groupBy("skey").agg(*[F.first(c).alias(c) for c in some]))
     tied = cut(signatures(sets, boundary(sets, percent), percent))
-    groups = components(ties(tied))
-    sized = groups.join(anew(groups.groupBy("component").agg(F.count("*").alias("members")), "component"), "component")
-    rank = -F.octet_length("tokens") / F.col("n")
-    wanted = sized.join(sets, F.col("node") == F.col("skey")).select(F.col("tkey").alias("key"), "component", "members", "skey", "n", rank.alias("rank"))
-    placed = cut(full_sets(docs, wanted, size))
-
-    task = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
-    small = placed.where(F.col("members") <= block).select("component", task(F.lit(0), F.lit(0)).alias("task"), "skey", "n", "tokens", F.lit(False).alias("absorbed"))
-    direct = small.groupBy("component", "task").applyInArrow(_verifier(percent), "a binary, b binary").select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-    large = placed.where(F.col("members") > block)
-    if large.isEmpty():
-        return direct
-    first = F.struct("rank", "skey", F.col("n").alias("leader_n"), F.col("tokens").alias("leader_tokens"))
-    leader = large.groupBy("component").agg(F.min(first).alias("l")).select("component", F.col("l.skey").alias("leader"), "l.leader_n", "l.leader_tokens")
-    split = cut(large.join(anew(leader, "component"), "component").mapInArrow(_with_leader(percent), "component binary, skey binary, n bigint, tokens binary, leader binary, absorbed boolean"))
-    at_once = split.where("absorbed").select(F.col("skey").alias("a"), F.col("leader").alias("b"))
-    blocks = split.groupBy("component").agg(
-        F.ceil(F.count_if(~F.col("absorbed")) / (block // 2)).alias("open_blocks"), F.ceil(F.count_if("absorbed") / (block // 2)).alias("done_blocks")
-    )
-    dealt = split.join(anew(blocks.where("open_blocks > 0"), "component"), "component")
-    mine = F.pmod(F.xxhash64("skey"), F.when(F.col("absorbed"), F.col("done_blocks")).otherwise(F.col("open_blocks")))
-    dealt = dealt.withColumn("mine", mine)
-    # blocks of sets that are in no class yet meet each other, and those of the class of the leader
-    with_open = F.transform(F.sequence(F.lit(0).cast("long"), F.col("open_blocks") - 1), lambda k: task(F.least(k, F.col("mine")), F.greatest(k, F.col("mine"))))
-    with_done = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("done_blocks"), F.lit(1))), lambda k: task(F.col("mine"), -k))
-    from_done = F.transform(F.sequence(F.lit(0).cast("long"), F.col("open_blocks") - 1), lambda k: task(k, -F.col("mine") - 1))
-    tasks = dealt.withColumn("task", F.explode(F.when(F.col("absorbed"), from_done).otherwise(F.concat(with_open, with_done))))
-    compared = tasks.select("component", "task", "skey", "n", "tokens", "absorbed").groupBy("component", "task").applyInArrow(_verifier(percent), "a binary, b binary")
-    return direct.unionByName(components(at_once.unionByName(compared)))
+    led = cut(links(docs, sets, with_leaders(tied, percent), size, percent))
+    now = components(led)
+    left = cut(open_lists(tied, now))
+    short = F.col("members") <= min(SHORT, block)
+    more = links(docs, sets, across(left.where(short), percent), size, percent)
+    long = left.where(~short)
+    if not long.isEmpty():
+        more = more.unionByName(in_blocks(docs, sets, long, size, percent, block))
+    # classes so far are stars; new links join them
+    stars = now.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stars.unionByName(cut(more)))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
