@@ -264,40 +264,40 @@ def _published(n: int, tokens: np.ndarray, light: bool, percent: int) -> np.ndar
 
 
 def costs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """light, step (a quarter of a power of two of the size), rows and pairs: what sets of that size publish, and whom they meet.
+    """light, step (a quarter of a power of two of the size), rows and pairs: what sets of that size publish, and whom they are compared with.
 
-    Lists are counted as if all sets were heavy, subsets as if all sets of up to
-    WHOLE shingles were light: larger ones would publish thousands of subsets
-    each, more than lists of any length cost. pairs: half of a list's other
-    members for each of its members, all of which may be false candidates.
+    Counted once as if all sets of up to WHOLE shingles were heavy, and once as
+    if all were light; larger ones are heavy, as they would publish thousands of
+    subsets each. pairs: each set with the leaders of its lists, once each, be
+    they false candidates or not; what subsets save are false ones.
     """
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, data in zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            for n, key, data in zip(*(batch.column(c).to_pylist() for c in ("n", "skey", "tokens")), strict=True):
                 tokens = np.frombuffer(data, dtype="<u8")
-                for light in (False, True) if n <= WHOLE else (False,):
+                for light in (False, True):
                     own = _published(n, tokens, light, percent)
                     if len(own):
-                        arrays = [pa.array([light] * len(own)), pa.array(own.view(np.int64)), pa.array([int(4 * np.log2(n))] * len(own), pa.int32())]
-                        yield pa.RecordBatch.from_arrays(arrays, names=["light", "sig", "step"])
+                        arrays = [pa.array([light] * len(own)), pa.array(own.view(np.int64)), pa.array([key] * len(own), pa.binary()), pa.array([int(4 * np.log2(n))] * len(own), pa.int32())]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["light", "sig", "skey", "step"])
 
-    each = sets.select("n", "tokens").mapInArrow(publish, "light boolean, sig bigint, step int").groupBy("light", "sig", "step").agg(F.count("*").alias("n"))
-    met = each.withColumn("all", F.sum("n").over(Window.partitionBy("light", "sig")))
-    return met.groupBy("light", "step").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("all") - 1) / 2).alias("pairs"))
+    each = cut(sets.where(F.col("n") <= WHOLE).select("n", "skey", "tokens").mapInArrow(publish, "light boolean, sig bigint, skey binary, step int"))
+    leaders = each.groupBy("light", "sig").agg(F.min("skey").alias("leader"))
+    met = each.join(leaders, ["light", "sig"]).where(F.col("skey") != F.col("leader")).select("light", "step", "skey", "leader").distinct()
+    rows = each.groupBy("light", "step").agg(F.count("*").alias("rows"))
+    return rows.join(met.groupBy("light", "step").agg(F.count("*").alias("pairs")), ["light", "step"], "left").fillna(0, ["pairs"])
 
 
 def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
-    """Largest light size: that for which the rows of all sets and the comparisons of their candidates cost least."""
-    # two rows for each quarter of a power of two, under 400 in all
+    """Largest light size: that for which the rows of all sets and the comparisons of their candidates cost least; the larger one of two that cost the same."""
+    # two rows for each quarter of a power of two up to WHOLE: 50 at most
     found = {(r.light, r.step): ROW_COST * r.rows + PAIR_COST * r.pairs for r in costs(sets, percent).collect()}
-    best, at = sum(c for (light, _), c in found.items() if not light), 0
-    now = best
-    for step in sorted(k for light, k in found if light):
-        now += found[True, step] - found.get((False, step), 0)
-        # all sizes of a step are light; the last one that WHOLE cuts is taken as far as it goes
-        if now < best:
-            best, at = now, min(WHOLE, int(2 ** ((step + 1) / 4)))
+    best = now = at = 0
+    for step in sorted({k for _, k in found}):
+        now += found.get((True, step), 0) - found.get((False, step), 0)
+        if now <= best:  # sizes of this step are light
+            best, at = now, min(WHOLE, int(np.ceil(2 ** ((step + 1) / 4))) - 1)
     return at
 
 
@@ -472,23 +472,27 @@ def across(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
 def in_blocks(docs: DataFrame, sets: DataFrame, listed: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) by which the links of each list tie its sets, from tasks of at most `block` sets.
 
-    Sets of a list's largest class are not compared with each other: blocks of
-    the others meet each other and those of that class.
+    Lists of the same largest class are one family: that class, and the sets that
+    are in its lists but not in it. So a set is moved once for a family, not for
+    each list, and a family is no larger than a class and its next neighbours.
+    Sets of the class are not compared with each other: blocks of the others meet
+    each other and those of the class.
     """
+    listed = listed.groupBy("top", "skey").agg(F.first("class").alias("class"))
     keys = listed.select("skey").distinct()
     whole = cut(full_sets(docs, sets.join(anew(keys, "skey"), "skey").select(F.col("tkey").alias("key"), "skey", "n"), size))
     half = max(1, block // 2)
     done = F.col("class") == F.col("top")
-    counts = listed.groupBy("sig").agg(F.ceil(F.count_if(~done) / half).alias("open_blocks"), F.ceil(F.count_if(done) / half).alias("done_blocks"))
-    dealt = listed.join(counts, "sig").withColumn("mine", F.pmod(F.xxhash64("skey"), F.when(done, F.col("done_blocks")).otherwise(F.col("open_blocks"))))
+    counts = listed.groupBy("top").agg(F.ceil(F.count_if(~done) / half).alias("open_blocks"), F.ceil(F.count_if(done) / half).alias("done_blocks"))
+    dealt = listed.join(anew(counts, "top"), "top").withColumn("mine", F.pmod(F.xxhash64("skey"), F.when(done, F.col("done_blocks")).otherwise(F.col("open_blocks"))))
     task = lambda i, j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     with_open = F.transform(upto("open_blocks"), lambda k: task(F.least(k, F.col("mine")), F.greatest(k, F.col("mine"))))
     with_done = F.transform(upto("done_blocks"), lambda k: task(F.col("mine"), -k - 1))
     from_done = F.transform(upto("open_blocks"), lambda k: task(k, -F.col("mine") - 1))
-    tasks = dealt.select("sig", "skey", "class", F.explode(F.when(done, from_done).otherwise(F.concat(with_open, with_done))).alias("task"))
-    placed = tasks.join(anew(whole, "skey"), "skey").select("sig", "task", "skey", "n", "tokens", "class")
-    return placed.groupBy("sig", "task").applyInArrow(_verifier(percent), "a binary, b binary").where(F.col("a") != F.col("b"))
+    tasks = dealt.select("top", "skey", "class", F.explode(F.when(done, from_done).otherwise(F.concat(with_open, with_done))).alias("task"))
+    placed = tasks.join(anew(whole, "skey"), "skey").select("top", "task", "skey", "n", "tokens", "class")
+    return placed.groupBy("top", "task").applyInArrow(_verifier(percent), "a binary, b binary").where(F.col("a") != F.col("b"))
 
 
 def classes(docs: DataFrame, members: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
