@@ -443,13 +443,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFr
     return one.mapInArrow(run, ", ".join(f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in rest) + ", tokens binary")
 
 
-def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b) of sets (skey, n, tkey, tokens) that link; exact."""
+def links(sets: DataFrame, whole: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of pairs (a, b) of sets that link; exact. sets: skey, n and counted tokens; whole: all tokens of each."""
     judged = cut(_judged(_beside(pairs, sets), False, percent))
-    found, open_pairs = judged.where("linked").select("a", "b"), judged.where("linked is null").select("a", "b")
-    keys = open_pairs.select(F.col("a").alias("skey")).unionByName(open_pairs.select(F.col("b").alias("skey"))).distinct()
-    whole = cut(full_sets(docs, sets.join(anew(keys, "skey"), "skey").select(F.col("tkey").alias("key"), "skey", "n"), size))
-    return found.unionByName(_judged(_beside(open_pairs, whole), True, percent).select("a", "b"))
+    found, left = judged.where("linked").select("a", "b"), judged.where("linked is null").select("a", "b")
+    return found.unionByName(_judged(_beside(left, whole), True, percent).select("a", "b"))
 
 
 def open_lists(tied: DataFrame, classes_now: DataFrame) -> DataFrame:
@@ -469,7 +467,7 @@ def across(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
     return met.select(F.col("skey").alias("a"), "b").distinct()
 
 
-def in_blocks(docs: DataFrame, sets: DataFrame, listed: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def in_blocks(whole: DataFrame, listed: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) by which the links of each list tie its sets, from tasks of at most `block` sets.
 
     Lists of the same largest class are one family: that class, and the sets that
@@ -479,8 +477,6 @@ def in_blocks(docs: DataFrame, sets: DataFrame, listed: DataFrame, size: int = S
     each other and those of the class.
     """
     listed = listed.groupBy("top", "skey").agg(F.first("class").alias("class"))
-    keys = listed.select("skey").distinct()
-    whole = cut(full_sets(docs, sets.join(anew(keys, "skey"), "skey").select(F.col("tkey").alias("key"), "skey", "n"), size))
     half = max(1, block // 2)
     done = F.col("class") == F.col("top")
     counts = listed.groupBy("top").agg(F.ceil(F.count_if(~done) / half).alias("open_blocks"), F.ceil(F.count_if(done) / half).alias("done_blocks"))
@@ -504,17 +500,16 @@ def classes(docs: DataFrame, members: DataFrame, size: int = SHINGLE, percent: i
     some = ("n", "tkey", "tokens")
     sets = cut(members.where("tokens is not null").groupBy("skey").agg(*[F.first(c).alias(c) for c in some]))
     tied = cut(signatures(sets, boundary(sets, percent), percent))
-    led = cut(links(docs, sets, with_leaders(tied, percent), size, percent))
-    now = components(led)
+    # read once: what verification compares in all its steps
+    whole = cut(full_sets(docs, sets.select(F.col("tkey").alias("key"), "skey", "n"), size))
+    now = components(links(sets, whole, with_leaders(tied, percent), percent))
     left = cut(open_lists(tied, now))
     short = F.col("members") <= min(SHORT, block)
-    more = links(docs, sets, across(left.where(short), percent), size, percent)
-    long = left.where(~short)
-    if not long.isEmpty():
-        more = more.unionByName(in_blocks(docs, sets, long, size, percent, block))
+    more = links(sets, whole, across(left.where(short), percent), percent).unionByName(in_blocks(whole, left.where(~short), percent, block))
     # classes so far are stars; new links join them
     stars = now.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(stars.unionByName(cut(more)))
+    more = cut(more)
+    return now if more.isEmpty() else components(stars.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -127,3 +127,67 @@ def test_representatives_are_chosen_by_row(spark):
     places = {r.n for r in rows}
     assert len(places) == len(rows) and len(places & {3, 4, 5, 6}) == 1
     assert places - {3, 4, 5, 6} == {0, 2, 8, 9, 11, 12, 13, 14, 15}
+
+
+def _family(size=60, many=90, seed=9):
+    """Near copies of one text, some too far from each other to link, and texts that share single tokens with them."""
+    rng = random.Random(seed)
+    base, docs = [f"t{i}" for i in range(size)], []
+    for n in range(many):
+        w = list(base)
+        for at in rng.sample(range(size), rng.choice([0, 1, 1, 2, 3])):
+            w[at] = f"z{rng.randrange(40)}"
+        docs.append((n, " ".join(w)))
+    return docs
+
+
+def test_links_that_only_short_or_long_lists_show(spark):
+    """The same classes whether lists are taken pair by pair, in small blocks, or in large ones, and as brute force says."""
+    docs = _family() + [(1000 + d, t) for d, t in variants(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {shingles(t) for _, t in docs}
+    want = {c for _, _, c in brute(docs)}
+    for block in (2, 8, 1024):
+        members = J.cut(J.shared_shingles(df))
+        found = J.classes(df, members, block=block)
+        assert found.groupBy("node").count().where("count > 1").isEmpty()
+        rows = members.where("has_doc").join(found.select(F.col("node").alias("skey"), "component"), "skey", "left").select("doc_id", F.coalesce("component", "skey").alias("c")).collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault(bytes(r.c) if r.c is not None else r.doc_id, []).append(r.doc_id)
+        assert {min(g) for g in groups.values()} == want and len(groups) == len(want) <= len(sets)
+
+
+def test_lists_without_links_tie_nothing(spark):
+    """Each text shares a fifth of itself with the next one: candidates of a chain, of which none link."""
+    words = [f"w{i}" for i in range(40 * 60)]
+    docs = [(i, " ".join(words[40 * i : 40 * i + 50])) for i in range(59)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(J.near_duplicates(df)) == brute(docs) and all(c == d for d, _, c in brute(docs))
+    assert J.classes(df, J.cut(J.shared_shingles(df))).collect() == []
+
+
+def test_costs_are_counted_over_all_sets(spark):
+    df = spark.createDataFrame(variants() + _family(), "doc_id long, text string")
+    sets = J.cut(J.shared_shingles(df).where("tokens is not null").dropDuplicates(["skey"]))
+    rows, lists, step = {}, {}, {}
+    for r in sets.where(f"n <= {J.WHOLE}").collect():
+        tokens, key = np.frombuffer(r.tokens, dtype="<u8"), bytes(r.skey)
+        step[key] = int(4 * np.log2(r.n))
+        p = max(0, len(tokens) - int(J.common(r.n)) + 1)
+        for light, own in ((False, [(int(t),) for t in tokens[:p]]), (True, [(int(a), int(b)) for i, a in enumerate(tokens[: p + 1]) for b in tokens[i + 1 : p + 1]])):
+            rows[light, step[key]] = rows.get((light, step[key]), 0) + len(own)
+            for sig in own:
+                lists.setdefault((light, sig), set()).add(key)
+    pairs = {}
+    for (light, _), keys in lists.items():
+        for k in keys - {min(keys)}:
+            pairs.setdefault((light, step[k]), set()).add((k, min(keys)))
+    want = {k: (n, len(pairs.get(k, ()))) for k, n in rows.items() if n}
+    assert {(r.light, r.step): (r.rows, r.pairs) for r in J.costs(sets).collect()} == want
+    cost = lambda light, s: J.ROW_COST * want.get((light, s), (0, 0))[0] + J.PAIR_COST * want.get((light, s), (0, 0))[1]
+    steps = sorted({s for _, s in want})
+    total = [sum(cost(s <= last, s) for s in steps) for last in (-1, *steps)]
+    best = max(i for i, c in enumerate(total) if c == min(total))
+    x = J.boundary(sets)
+    assert (x == 0) == (best == 0) and (best == 0 or int(4 * np.log2(x)) >= steps[best - 1] and x < 2 ** ((steps[best - 1] + 1) / 4))
