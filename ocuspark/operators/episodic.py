@@ -72,6 +72,30 @@ def episode_gradient(net: Embedder, x: np.ndarray, label: np.ndarray, support: n
     return loss, int((distance.argmin(axis=1) == own).sum()), back(d)
 
 
+@dataclass
+class Classes:
+    """The objective of a classification head: the last linear layer has a value for each label, 0 to its size less one."""
+
+    weights: tuple[float, ...] | None = None  # of labels; 1 each without
+    smoothing: float = 0.0
+
+
+def class_gradient(net: Embedder, x: np.ndarray, label: np.ndarray, of: Classes, run: Run | None = None) -> tuple[float, int, Arrays]:
+    """Weighted mean cross entropy, as layers.cross_entropy() has it, how many labels are predicted, and the gradients of the loss."""
+    z, back = recorded(net, x, run)
+    if label.min() < 0 or label.max() >= z.shape[1]:
+        raise ValueError(f"labels {label.min()} to {label.max()} for {z.shape[1]} outputs")
+    w = np.ones(z.shape[1]) if of.weights is None else np.asarray(of.weights, dtype=np.float64)
+    log_p = z - z.max(axis=1, keepdims=True)
+    log_p -= np.log(np.exp(log_p).sum(axis=1, keepdims=True))
+    target = np.full(z.shape, of.smoothing / z.shape[1])
+    target[np.arange(len(z)), label] += 1 - of.smoothing
+    target *= w
+    total = w[label].sum()
+    d = (np.exp(log_p) * target.sum(axis=1, keepdims=True) - target) / total
+    return float(-(target * log_p).sum() / total), int((z.argmax(axis=1) == label).sum()), back(d)
+
+
 def AdamW(rate: float, decay: float, every: int = 5, gamma: float = 0.1) -> Optimiser:  # noqa: N802
     """Adam with decoupled weight decay; the rate falls by `gamma` every `every` steps."""
     return Optimiser("AdamW", rate, decay, schedule="StepLR", schedule_options={"step_size": every, "gamma": gamma})
@@ -125,24 +149,30 @@ class _State:
         self.optimiser.restore(part("m"), notes["optimiser"])
 
 
-def _episode(channels: int, shared, training: bool, draw: Sequence[int]) -> Callable[[pa.Table], pa.Table]:
+def _episode(channels: int, shared, training: bool, draw: Sequence[int], classes: Classes | None) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         config, length, weights = shared.value
         net = Embedder(config, length)
         net.weights = weights
         x = np.array(table.column("data").to_pylist(), dtype=np.float64).reshape(-1, channels, length)
-        label = np.unique(np.array(table.column("label").to_pylist()), return_inverse=True)[1]
+        given = np.array(table.column("label").to_pylist())
+        label = np.unique(given, return_inverse=True)[1]
         support = np.array([r == "support" for r in table.column("role").to_pylist()])
         keys = table.column("unit").to_numpy().astype(np.int64).view(np.uint64)
         episode = table.column("episode")[0].as_py()
         # in one order, so that a task that runs again gives the same sums
         order = np.lexsort((np.array(table.column("shot").to_pylist()), label))
         own = Run(weights, training, keys[order], (*draw, episode))
-        loss, correct, grads = episode_gradient(net, x[order], label[order], support[order], own)
+        if classes is None:
+            loss, correct, grads = episode_gradient(net, x[order], label[order], support[order], own)
+            judged = int((~support).sum())
+        else:
+            loss, correct, grads = class_gradient(net, x[order], given[order], classes, own)
+            judged = len(given)
         flat = np.concatenate([grads[k].ravel() for k in sorted(grads)]) if training else np.empty(0)
         moments = np.concatenate([np.empty(0), *[own.moments[k] for k in sorted(own.moments)]])
         return pa.table({
-            "episode": table.column("episode")[:1], "loss": [loss], "accuracy": [correct / max(1, int((~support).sum()))],
+            "episode": table.column("episode")[:1], "loss": [loss], "accuracy": [correct / max(1, judged)],
             "gradient": pa.array([flat.tobytes()], pa.binary()), "moments": pa.array([moments.tobytes()], pa.binary()),
         })
 
@@ -182,6 +212,7 @@ def step_of(weights: Arrays, got: Sequence[dict]) -> tuple[Arrays, Arrays]:
 def train(
     samples: DataFrame, model: Embedder, config: ModelConfig, per_step: int = 10, seed: int = 0, every: int = 5, gamma: float = 0.1,
     validation: DataFrame | None = None, validate_every: int = 10, validation_episodes: int = 10, path: str | None = None, save_every: int = 10,
+    classes: Classes | None = None,
 ) -> Trained:
     """A model trained on samples (guid, label, data) by `iterations` episodes, `per_step` of them for each step of the optimiser.
 
@@ -195,14 +226,15 @@ def train(
     this run alone that the driver will find again), episodes and, every
     `save_every` steps, the state are written there, and a run that finds a state
     there goes on from it. Samples must be the same then; another configuration
-    is an error.
+    is an error. With classes, all samples of an episode are judged by the
+    network's values for the labels, not queries by prototypes.
     """
     optimiser = optimiser_of(config, every, gamma)
     spark = samples.sparkSession
     ship(spark)
     channels, length = model.config.conv[0].in_channels, model.length
     place = path or f"{shared_folder(spark)}/training-{uuid.uuid4().hex}"
-    about = json.dumps({"config": asdict(config), "network": asdict(model.config), "length": length, "per_step": per_step, "seed": seed, "every": every, "gamma": gamma, "validate_every": validate_every}, sort_keys=True)
+    about = json.dumps({"config": asdict(config), "network": asdict(model.config), "length": length, "per_step": per_step, "seed": seed, "every": every, "gamma": gamma, "validate_every": validate_every, "classes": classes and asdict(classes)}, sort_keys=True)
     state = _State(dict(model.weights), dict(model.weights), optimiser)
     if path is not None:
         state.load(spark, place, about)
@@ -211,7 +243,7 @@ def train(
 
     def ran(episodes: DataFrame, training: bool) -> list[dict]:
         shared = spark.sparkContext.broadcast((model.config, length, state.weights))
-        made = episodes.groupBy("episode").applyInArrow(_episode(channels, shared, training, (seed, state.done)), _MADE)
+        made = episodes.groupBy("episode").applyInArrow(_episode(channels, shared, training, (seed, state.done), classes), _MADE)
         # per_step rows at most, or validation_episodes
         got = sorted((r.asDict() for r in made.collect()), key=lambda r: r["episode"])
         shared.unpersist()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
 from .signal import KEY, PLACE
 
 
@@ -100,10 +101,16 @@ def sliding_2d(long: DataFrame, channels: int, shape: tuple[int, int], dx: int,
 def renumber(segments: DataFrame) -> DataFrame:
     """guid: segments in order of session and segment_idx, from 0.
 
-    A running number over everything is one task's work; segments are counted by
-    session first, and only the counts, one row a session, are summed in one.
+    Segments are counted by session; where a session starts is found from the
+    counts of the sessions before it, in ranges of sessions.
     """
-    per = segments.select(KEY, "segment_idx").distinct().groupBy(KEY).agg(F.count("*").alias("k"))
-    before = per.select(KEY, F.coalesce(F.sum("k").over(Window.orderBy(KEY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    per = ranked(segments.select(KEY, "segment_idx").distinct().groupBy(KEY).agg(F.count("*").alias("k")), [KEY])
+    # sums inside spans of 4,096 sessions, and over the spans: one row for as many sessions
+    span = F.floor(F.col("rank") / 4096)
+    inside_span = F.coalesce(F.sum("k").over(Window.partitionBy("span").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = per.withColumn("span", span).withColumn("inside_span", inside_span)
+    spans = summed.groupBy("span").agg(F.sum("k").alias("k"))
+    starts = spans.select("span", F.coalesce(F.sum("k").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    before = summed.join(starts, "span").select(KEY, (F.col("start") + F.col("inside_span")).alias("before"))
     inside = F.dense_rank().over(Window.partitionBy(KEY).orderBy("segment_idx")) - 1
     return segments.withColumn("inside", inside).join(before, KEY).withColumn("guid", (F.col("before") + F.col("inside")).cast("bigint")).drop("before", "inside")

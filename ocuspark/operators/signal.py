@@ -18,6 +18,7 @@ from ..functions.columns import ratio
 from ..functions.stencils import Axis, pick, stencil_1d, stencil_2d
 from . import blocks as B
 from . import splines
+from .ranks import medians
 
 KEY, PLACE = "session", "i"
 
@@ -278,10 +279,19 @@ def transpose(df: DataFrame, channels: Sequence[str]) -> DataFrame:
     return df.select(KEY, PLACE, F.explode(pairs).alias("p")).select(KEY, "p.ch", PLACE, "p.v")
 
 
-def quantitative_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
+def quantitative_stats(df: DataFrame, by: Sequence[str], value: str, whole_groups: bool = True) -> DataFrame:
+    """Mean, population std, median, least and largest value of each group.
+
+    An exact median holds a group's distinct values in one task; without
+    whole_groups it is found by counts (ranks.medians()), for groups of any size.
+    """
+    of = {"mean": F.avg(value), "std": F.stddev_pop(value), "min": F.min(value), "max": F.max(value)}
+    if whole_groups:
+        return df.groupBy(*by).agg(*[of[k].alias(k) for k in ("mean", "std")], F.percentile(value, 0.5).alias("median"), *[of[k].alias(k) for k in ("min", "max")])
+    keys = [F.col(c).alias(f"_of_{i}") for i, c in enumerate(by)]
+    middle = medians(df, by, value).select(*keys, "median")
+    others = df.groupBy(*by).agg(*[c.alias(k) for k, c in of.items()])
+    return others.join(middle, [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(by)]).select(*by, "mean", "std", "median", "min", "max")
 
 
 def categorical_stats(df: DataFrame, value: str) -> DataFrame:

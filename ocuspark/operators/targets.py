@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
 from ..functions.columns import one_hot, shuffled
+from ..session import cut
+from .ranks import ranked
 
 
 def extract(df: DataFrame, field: str) -> DataFrame:
@@ -27,8 +29,8 @@ def annotate(config: DataFrame, split: DataFrame) -> DataFrame:
 
 
 def index(config: DataFrame) -> DataFrame:
-    """Contiguous idx over the names that are not skipped, in order of pos. One row for each name: a dimension table."""
-    return config.where("not skip").withColumn("idx", (F.row_number().over(Window.orderBy("pos", "name")) - 1).cast("bigint"))
+    """Contiguous idx over the names that are not skipped, in order of pos."""
+    return ranked(config.where("not skip"), ["pos", "name"]).withColumnRenamed("rank", "idx").drop("n")
 
 
 def lookup(samples: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -105,15 +107,13 @@ def _slices(ranked: DataFrame, shares: Mapping[str, float]) -> DataFrame:
 def ordered_split(samples: DataFrame, shares: Mapping[str, float]) -> DataFrame:
     """Names by descending number of samples, ties by first sample, in slices."""
     counts = samples.groupBy("name").agg(F.count("*").alias("c"), F.min("pos").alias("p"))
-    order = Window.orderBy(F.col("c").desc(), "p")
-    return _slices(counts.select("name", (F.row_number().over(order) - 1).alias("rank"), F.count("*").over(Window.partitionBy()).alias("n")), shares)
+    return _slices(ranked(counts, [F.col("c").desc(), F.col("p")]), shares)
 
 
 def random_split(samples: DataFrame, shares: Mapping[str, float], seed: int) -> DataFrame:
     """Names shuffled by a hash of the seed and the name, in slices."""
     names = samples.select("name").distinct()
-    order = Window.orderBy(shuffled(seed, F.col("name")), "name")
-    return _slices(names.select("name", (F.row_number().over(order) - 1).alias("rank"), F.count("*").over(Window.partitionBy()).alias("n")), shares)
+    return _slices(ranked(names, [shuffled(seed, F.col("name")), F.col("name")]), shares)
 
 
 def split_samples(samples: DataFrame, split: DataFrame) -> DataFrame:
@@ -148,12 +148,11 @@ def time_based_split(records: DataFrame, shares: Mapping[str, float], gap: str,
     if late not in shares:
         raise ValueError(f"{late} is none of {', '.join(shares)}")
     spans = records.groupBy("user_id").agg((F.max("ts") >= F.min("ts") + F.expr(f"interval {gap}")).alias("apart"))
-    everyone = Window.partitionBy()
-    order = lambda *before: Window.orderBy(*before, shuffled(seed, F.col("user_id")), "user_id")
-    ranked = spans.withColumns({"rank": F.row_number().over(order(F.col("apart").desc())) - 1, "n": F.count("*").over(everyone)})
+    order = [shuffled(seed, F.col("user_id")), F.col("user_id")]
+    everyone = ranked(spans, [F.col("apart").desc(), *order])
     chosen = F.col("apart") & (F.col("rank") < F.floor(F.col("n") * F.lit(shares[late]) + 1e-9))
-    marked = ranked.select("user_id", chosen.alias("chosen"))
-    rest = marked.where("not chosen").select(F.col("user_id").alias("name"), (F.row_number().over(order()) - 1).alias("rank"), F.count("*").over(everyone).alias("n"))
+    marked = cut(everyone.select("user_id", chosen.alias("chosen")))
+    rest = ranked(marked.where("not chosen").select("user_id"), order).withColumnRenamed("user_id", "name")
     others = {k: v for k, v in shares.items() if k != late}
     dealt = _slices(rest, {k: v / sum(others.values()) for k, v in others.items()}).withColumnRenamed("name", "user_id")
     users = marked.where("chosen").select("user_id", F.lit(late).alias("split")).unionByName(dealt.where("split is not null"))

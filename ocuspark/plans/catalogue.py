@@ -810,22 +810,27 @@ def collate_samples(spark, d):
 
 
 _UNIFORM = "(CAST('0x' || substr(md5(concat_ws('|', '{seed}', o, j)), 1, 8) AS BIGINT) + 0.5e0) / 4294967296.0e0"
-_PLACES = "(SELECT CAST(k // 16 AS INT) AS o, CAST(k % 16 AS INT) AS j FROM range(128) r(k))"
+_SIZES = "z AS (SELECT count(DISTINCT label) AS outs, max(len(embedding)) AS ins FROM embeddings), places AS (SELECT CAST(k // ins AS INT) AS o, CAST(k % ins AS INT) AS j, outs, ins FROM (SELECT unnest(range(outs * ins)) AS k, outs, ins FROM z))"
 
 
-@query(f"SELECT o, j, round(({_UNIFORM.format(seed=3)} * 2 - 1) * sqrt(6.0e0 / 24), 6) AS w FROM {_PLACES}")
+def _layer_sizes(spark, d) -> tuple[int, int]:
+    """Labels, and values of a vector: the sizes of a layer from vectors to labels."""
+    return tuple(embeddings(spark, d).agg(F.countDistinct("label"), F.max(F.size("embedding"))).first())
+
+
+@query(f"WITH {_SIZES} SELECT o, j, round(({_UNIFORM.format(seed=3)} * 2 - 1) * sqrt(6.0e0 / (outs + ins)), 6) AS w FROM places")
 def initial_linear_weights(spark, d):
-    return rounded(L.initial_weights(spark, 8, 16, "linear", 3), "w")
+    return rounded(L.initial_weights(spark, *_layer_sizes(spark, d), "linear", 3), "w")
 
 
-@query(f"SELECT o, j, round(sqrt(-2 * ln({_UNIFORM.format(seed=3)})) * cos(2 * pi() * {_UNIFORM.format(seed=4)}), 6) AS w FROM {_PLACES}")
+@query(f"WITH {_SIZES} SELECT o, j, round(sqrt(-2 * ln({_UNIFORM.format(seed=3)})) * cos(2 * pi() * {_UNIFORM.format(seed=4)}), 6) AS w FROM places")
 def initial_embedding_weights(spark, d):
-    return rounded(L.initial_weights(spark, 8, 16, "embedding", 3), "w")
+    return rounded(L.initial_weights(spark, *_layer_sizes(spark, d), "embedding", 3), "w")
 
 
-@query("SELECT CAST(k AS INT) AS o, CAST(1 AS DOUBLE) AS gain, CAST(0 AS DOUBLE) AS b FROM range(32) r(k)")
+@query("SELECT CAST(k AS INT) AS o, CAST(1 AS DOUBLE) AS gain, CAST(0 AS DOUBLE) AS b FROM (SELECT unnest(range(n)) AS k FROM (SELECT max(len(embedding)) AS n FROM embeddings))")
 def initial_layer_norm(spark, d):
-    return L.initial_layer_norm(spark, 32)
+    return L.initial_layer_norm(spark, _layer_sizes(spark, d)[1])
 
 
 @query(f"""WITH {LONG}, w AS (SELECT o, j, ({_UNIFORM.format(seed=3)} * 2 - 1) * sqrt(6.0e0 / 72) AS w FROM (SELECT CAST(k // 64 AS INT) AS o, CAST(k % 64 AS INT) AS j FROM range(512) r(k)))
@@ -844,10 +849,10 @@ def body_identity(spark, d):
 # --- samples ----------------------------------------------------------------------
 
 
-@query("SELECT event_id, user_id FROM events UNION ALL SELECT event_id, user_id FROM events WHERE user_id < 20")
+@query("SELECT event_id, user_id FROM events UNION ALL SELECT event_id, user_id FROM events")
 def samples_union(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id")
-    return SM.union(e, e.where("user_id < 20"))
+    return SM.union(e, e)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -949,12 +954,13 @@ def recordings_csv(spark, d):
     return files.read_recordings_csv(spark, place, rows.schema, "label").select("c_custkey", "c_acctbal", "target.name", "target.subtype")
 
 
-@query("SELECT layer, CAST(k AS INT) AS place, CAST(k AS DOUBLE) / 4 AS value FROM (VALUES ('a', 6), ('b', 4)) t(layer, n), range(6) r(k) WHERE k < n")
+@query(f"WITH {PROTO} SELECT 'class' || label AS layer, CAST(pos AS INT) AS place, round(c, 6) AS value FROM proto")
 def saved_weights(spark, d):
+    """Each label's mean vector as a layer."""
     place = _place(spark, "weights")
-    files.save_weights(spark, {"a": np.arange(6).reshape(2, 3) / 4, "b": np.arange(4) / 4}, place)
+    files.save_weights(spark, {f"class{r.label}": np.array(r.prototype) for r in P.prototypes(embeddings(spark, d)).collect()}, place)
     rows = [(layer, i, float(v)) for layer, w in files.load_weights(spark, place).items() for i, v in enumerate(w.ravel())]
-    return spark.createDataFrame(rows, "layer string, place int, value double")
+    return rounded(spark.createDataFrame(rows, "layer string, place int, value double"), "value")
 
 
 @query(f"""WITH {REC}, p AS (SELECT session, max(i) AS n, max(x) AS mx, min(x) AS mn FROM rec GROUP BY 1)

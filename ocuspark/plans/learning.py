@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import layers as L
 from ..operators import prototypes as P
 from ..operators.embedder import ConvBlock, Embedder, EmbedderConfig, embed
-from .catalogue import DIST, GATE_SQL, LONG, PRED, _features, _grid, _place, embeddings, query, rounded
+from ..operators import signal as S
+from ..session import table
+from .catalogue import DIST, GATE_SQL, LONG, PRED, REC, SHARES, _features, _grid, _place, embeddings, query, rec, rounded
 
 # --- a network of two blocks, as SQL and as weights -------------------------------
 
@@ -135,3 +137,56 @@ def hot_distances(spark, d):
     store = P.Store(spark, _place(spark, "prototypes"))
     store.update(e.where("vec_id % 2 = 0").withColumn("embedding", F.transform("embedding", lambda v: v + 1)))
     return P.distances(e, P.chosen(support=e, store=store)).select("vec_id", "proto_label", F.round("distance", 6).alias("distance"))
+
+
+# --- regression, medians, schemes, cubic pieces -----------------------------------
+
+
+@query(f"WITH {REC} SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM rec WHERE x IS NOT NULL AND y IS NOT NULL")
+def regression_head(spark, d):
+    """The line of the least squares of one channel by the other, by a head of one input and one output."""
+    from ..operators.training import fit_regression_head
+
+    head = fit_regression_head(rec(spark, d).where("x is not null and y is not null").select(F.array("x").alias("embedding"), F.array("y").alias("target")))
+    both = head.weights.join(head.bias, "o")
+    return rounded(both.select(F.col("w").alias("slope"), F.col("b").alias("intercept")), "slope", "intercept")
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
+def quantitative_stats_by_counts(spark, d):
+    """Medians of groups of any size, from counts in bins."""
+    return rounded(S.quantitative_stats(table(spark, d, "events"), ["event_type"], "value", whole_groups=False), "mean", "std", "median")
+
+
+@query("""WITH u AS (SELECT CAST(o_custkey AS VARCHAR) AS name, max(o_orderdate) >= min(o_orderdate) + INTERVAL 365 DAY AS apart, min(o_orderkey) AS pos FROM orders GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY apart DESC, md5(concat_ws('|', '11', name)), name) - 1 AS rank, count(*) OVER () AS n FROM u),
+m AS (SELECT *, apart AND rank < floor(n * 0.2e0 + 1e-9) AS chosen FROM r),
+o AS (SELECT name, pos, row_number() OVER (ORDER BY md5(concat_ws('|', '11', name)), name) - 1 AS rank, count(*) OVER () AS n FROM m WHERE NOT chosen)
+SELECT name, false AS skip, pos, CASE WHEN rank < floor(n * 0.75e0 + 1e-9) THEN 'train' ELSE 'validation' END AS dataset_type FROM o UNION ALL SELECT name, false, pos, 'test' FROM m WHERE chosen""")
+def target_generation_by_time(spark, d):
+    """The time-based scheme of the generator: customers as targets, their orders as samples."""
+    from . import pipelines as PL
+
+    samples = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").cast("string").alias("name"), F.lit(False).alias("skip"), F.col("o_orderdate").alias("ts"))
+    return PL.generate_targets(samples, SHARES, 11, "time_based", gap="365 days")
+
+
+_GAPS = f"""{REC}, gaps AS (SELECT session, i, CASE WHEN i % 5 NOT IN (1, 2) THEN x END AS x FROM rec),
+knots AS (SELECT session, i, x, lag(i) OVER w AS pi, lag(x) OVER w AS px, lead(i) OVER w AS ni, lead(x) OVER w AS nx, lead(i, 2) OVER w AS n2i, lead(x, 2) OVER w AS n2x, lag(i, 2) OVER w AS p2i, lag(x, 2) OVER w AS p2x
+  FROM gaps WHERE x IS NOT NULL WINDOW w AS (PARTITION BY session ORDER BY i)),
+steps AS (SELECT *, (x - px) / (i - pi) AS mp, (nx - x) / (ni - i) AS mn, i - pi AS hp, ni - i AS hn, (n2x - nx) / (n2i - ni) AS mn2, n2i - ni AS hn2, (px - p2x) / (pi - p2i) AS mp2, pi - p2i AS hp2 FROM knots),
+raw AS (SELECT *, ((2 * hn + hn2) * mn - hn * mn2) / (hn + hn2) AS e1, ((2 * hp + hp2) * mp - hp * mp2) / (hp + hp2) AS e2 FROM steps),
+sloped AS (SELECT session, i, x, CASE WHEN pi IS NULL AND ni IS NULL THEN 0 WHEN pi IS NULL AND n2i IS NULL THEN mn WHEN ni IS NULL AND p2i IS NULL THEN mp
+  WHEN pi IS NULL THEN CASE WHEN sign(e1) <> sign(mn) THEN 0 WHEN sign(mn) <> sign(mn2) AND abs(e1) > 3 * abs(mn) THEN 3 * mn ELSE e1 END
+  WHEN ni IS NULL THEN CASE WHEN sign(e2) <> sign(mp) THEN 0 WHEN sign(mp) <> sign(mp2) AND abs(e2) > 3 * abs(mp) THEN 3 * mp ELSE e2 END
+  WHEN mp * mn <= 0 THEN 0 ELSE 3 * (hp + hn) / ((2 * hn + hp) / mp + (hn + 2 * hp) / mn) END AS s FROM raw),
+spans AS (SELECT session, i AS a, x AS ya, s AS sa, lead(i) OVER w AS b, lead(x) OVER w AS yb, lead(s) OVER w AS sb FROM sloped WINDOW w AS (PARTITION BY session ORDER BY i)),
+spots AS (SELECT g.session, g.i, s.a, s.ya, s.sa, s.b, s.yb, s.sb, (g.i - s.a) / CAST(s.b - s.a AS DOUBLE) AS t FROM gaps g ASOF JOIN spans s ON g.session = s.session AND g.i >= s.a)"""
+
+
+@query(f"""WITH {_GAPS} SELECT session, i, round(CASE WHEN i = a OR b IS NULL THEN ya
+  ELSE ya * (1 + 2 * t) * (1 - t) * (1 - t) + (b - a) * sa * t * (1 - t) * (1 - t) + yb * t * t * (3 - 2 * t) + (b - a) * sb * t * t * (t - 1) END, 6) AS x FROM spots""")
+def interpolate_pchip(spark, d):
+    """Two of five values are taken out and come back as pieces of cubics that keep the shape."""
+    gaps = rec(spark, d).select("session", "i", F.when(~(F.col("i") % 5).isin(1, 2), F.col("x")).alias("x"))
+    return rounded(S.interpolate(gaps, ["x"], "pchip", block=64), "x")

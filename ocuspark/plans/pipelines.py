@@ -16,16 +16,25 @@ from ..operators.pairs import equal_error_rate
 from ..session import cut
 from ..sources import files
 
-SCHEMES: dict[str, Callable[..., DataFrame]] = {"random": T.random_split, "ordered": lambda samples, shares, seed: T.ordered_split(samples, shares)}
+def _by_time(samples: DataFrame, shares: Mapping[str, float], seed: int, gap: str = "14 days", late: str = "test") -> DataFrame:
+    """Names, as users, by the time between their samples; see targets.time_based_split()."""
+    records = samples.where("name is not null").select(F.col("name").alias("user_id"), "ts")
+    return T.time_based_split(records, shares, gap, seed, late).select(F.col("user_id").alias("name"), "split").distinct()
 
 
-def generate_targets(samples: DataFrame, splits: Mapping[str, float], seed: int = 11, scheme: str = "random", min_targets: int = 1, path: str | None = None) -> DataFrame:
-    """Configuration of the targets of samples (pos, name, skip): extracted, split and, with a path, written."""
+SCHEMES: dict[str, Callable[..., DataFrame]] = {"random": T.random_split, "ordered": lambda samples, shares, seed: T.ordered_split(samples, shares), "time_based": _by_time}
+
+
+def generate_targets(samples: DataFrame, splits: Mapping[str, float], seed: int = 11, scheme: str = "random", min_targets: int = 1, path: str | None = None, **options: str) -> DataFrame:
+    """Configuration of the targets of samples (pos, name, skip): extracted, split and, with a path, written.
+
+    Scheme time_based needs ts as well; its options are gap (an interval) and late (the split of later sessions).
+    """
     if scheme not in SCHEMES:
         raise ValueError(f"{scheme} is none of {', '.join(SCHEMES)}")
     config = T.configuration(samples)
     shares = T.proportions(splits, config.count(), min_targets)
-    done = T.annotate(config, SCHEMES[scheme](samples, shares, seed))
+    done = T.annotate(config, SCHEMES[scheme](samples, shares, seed, **options))
     if path is not None:
         files.save_targets(done, path)
     return done

@@ -44,6 +44,15 @@ def load_samples(spark: SparkSession, path: str, fmt: str = "json", schema: T.St
     return head(found, n_samples).orderBy("pos")
 
 
+def load_numbered(spark: SparkSession, path: str, schema: T.StructType, n_samples: int = -1) -> DataFrame:
+    """Samples of a folder with a JSON file for each, named by its number (0.json, 1.json, …), in order of these; a name without a number is an error."""
+    check_not_empty(spark, path)
+    found = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1)
+    pos = F.when(stem.rlike("^[0-9]+$"), stem.cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("no number: "), stem)).cast("bigint"))
+    return head(found.withColumn("pos", pos), n_samples).orderBy("pos")
+
+
 def read_recordings_csv(spark: SparkSession, path: str, schema: T.StructType, target_column: str, **options: str) -> DataFrame:
     """Rows of CSV files with a header; rows without a label go, `class:subtype` labels are split."""
     check_not_empty(spark, path)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from ocuspark.functions.parameters import ModelConfig
 from ocuspark.operators import episodic as E
+from ocuspark.operators import layers as L
 from ocuspark.operators.embedder import ConvBlock, Embedder, EmbedderConfig
 from ocuspark.operators.optimisers import Optimiser
 
@@ -145,3 +146,36 @@ def test_moments_of_a_step_are_those_of_its_episodes_in_one_task(spark):
     net.through(np.concatenate(parts), whole)
     assert np.allclose(moments["spatial0_norm"], whole.moments["spatial0_norm"], rtol=1e-12, atol=1e-12) and moments["norm0"][0] == whole.moments["norm0"][0]
     assert grads.keys() == {k for k in net.weights if not k.endswith(E.FIXED)} and all(grads[k].shape == net.weights[k].shape for k in grads)
+
+
+def test_a_classification_head_is_trained_with_weights_and_smoothing(spark):
+    """Loss as the layers' own, gradients as differences, with dropout in front of the head; a run learns the labels."""
+    config = EmbedderConfig([ConvBlock(1, 6, 5, activation="tanh")], [(8, "relu", 0.2), (3, "none", 0.0, 0.3)])
+    net, rng = Embedder(config, 16, seed=5), np.random.default_rng(6)
+    x, label, keys = rng.normal(size=(12, 1, 16)), np.arange(12) % 3, np.arange(12).astype(np.uint64)
+    of = E.Classes((0.5, 1.0, 3.0), 0.1)
+    loss, correct, _ = E.class_gradient(net, x, label, of)
+    z = net.forward(x)
+    logits = spark.createDataFrame([(i, o, float(v)) for i, row in enumerate(z) for o, v in enumerate(row)], "id long, o int, v double")
+    truth = spark.createDataFrame([(i, int(k)) for i, k in enumerate(label)], "id long, label int")
+    weights = spark.createDataFrame(list(enumerate(of.weights)), "o int, w double")
+    assert abs(L.cross_entropy(L.softmax(logits), truth, 0.1, weights).first()["loss"] - loss) < 1e-9 and correct == (z.argmax(axis=1) == label).sum()
+    value = lambda: E.class_gradient(net, x, label, of, E.Run(net.weights, True, keys, (1, 2)))
+    for name, grad in value()[2].items():
+        for at in list(np.ndindex(grad.shape))[:: max(1, grad.size // 5)]:
+            old, two = net.weights[name][at], []
+            for move in (1e-5, -1e-5):
+                net.weights[name][at] = old + move
+                two.append(value()[0])
+            net.weights[name][at] = old
+            assert abs((two[0] - two[1]) / 2e-5 - grad[at]) < 1e-6, (name, at)
+    run = ModelConfig(n_support=4, n_query=4, iterations=60, n_classes=3, optimizer="Adam", learning_rate=0.02, schedule="none")
+    waves = _waves(spark)
+    done = E.train(waves, Embedder(config, 16, seed=1), run, per_step=3, seed=2, classes=E.Classes())
+    assert done.history[-1][1] < 0.6 * done.history[0][1]
+    # in use nothing is dropped
+    rows = [(r["label"], r["data"]) for r in waves.where("guid < 900").collect()]
+    guess = done.model.forward(np.array([d for _, d in rows])).argmax(axis=1)
+    assert np.mean([a == b for (a, _), b in zip(rows, guess, strict=True)]) > 0.8
+    with pytest.raises(ValueError, match="for 3 outputs"):
+        E.class_gradient(net, x, label + 1, of)
