@@ -40,7 +40,7 @@ from .graph import components
 from .job import anew, beside, cut, ship
 
 SHINGLE, PERCENT, BLOCK, SHORT = 5, 80, 1024, 8
-#: Cost of a published row and of a comparison of two sets' tokens, in microseconds of a core.
+#: Relative cost of a published row and of a comparison of two sets' tokens; assumed, not timed.
 ROW_COST, PAIR_COST = 1, 8
 MEMBERS = "doc_id bigint, has_doc boolean, n bigint, skey binary, tkey binary, tokens binary"
 WHOLE = 64
